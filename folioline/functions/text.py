@@ -7,10 +7,12 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioline.functions.once import add_once
+
 # Unicode white space plus the four separator controls that text tools strip as well.
 _SPACE = r"[\s\x1c-\x1f]"
 
@@ -72,7 +74,9 @@ def _translate_table() -> tuple[str, str, str]:
 
 
 _FROM, _TO, _HARD = _translate_table()
-_NEEDS_PYTHON = "[^\\x00-\\x{24f}]|[" + "".join(f"\\x{{{ord(c):x}}}" for c in _HARD) + "]"
+_NEEDS_PYTHON = (
+    f"[\\x{{{_TRANSLATE_LIMIT:x}}}-\\x{{10ffff}}" + "".join(f"\\x{{{ord(c):x}}}" for c in _HARD) + "]"
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -80,11 +84,16 @@ def _normalize_udf(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text, na_action="ignore")
 
 
-def normalize(text: Column) -> Column:
-    """Normalised text; only rows with characters beyond extended Latin visit Python."""
-    hard = text.rlike(_NEEDS_PYTHON)
-    easy = F.trim(F.regexp_replace(F.translate(text, _FROM, _TO), " +", " "))
-    return F.when(hard, _normalize_udf(F.when(hard, text))).otherwise(easy)
+def normalize_column(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the normalised text; only rows with characters beyond extended Latin visit Python."""
+    slow = f"{name}_slow"
+    visited = add_once(df, **{f"{name}_hard": F.col(text).rlike(_NEEDS_PYTHON)}).withColumn(
+        slow, _normalize_udf(F.when(F.col(f"{name}_hard"), F.col(text)))
+    )
+    fast = F.trim(F.regexp_replace(F.translate(text, _FROM, _TO), "  +", " "))
+    return add_once(
+        visited, **{name: F.when(F.col(f"{name}_hard"), F.col(slow)).otherwise(fast)}
+    ).drop(slow, f"{name}_hard")
 
 
 @lru_cache(maxsize=200_000)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioline.operators.numbering import number_rows
+from folioline.session import written
 
 BLOCK_PAGES = 1024
 # Fixed values of the review record for a page without a clear document.
@@ -62,6 +63,8 @@ def group_pages(values: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         ),
         F.coalesce(value != before, value.isNotNull()).alias("is_start"),
     )
+    # Read four times below, so the scan is run once and stored.
+    placed = written(placed, "placed")
 
     # Each value keeps its first run; the group-by itself yields one row per document.
     kept = (

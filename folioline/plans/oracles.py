@@ -640,7 +640,7 @@ SELECT document, page, {_page_name(".png")}, quality_score, {_tier("quality_scor
        coalesce('"' || flag || '"', 'null') || ',"' || status || '",' || cents,
        confidence || ',' || confidence || ',' || confidence,
        CASE WHEN model = '' THEN 0::DOUBLE ELSE
-         (input_tokens * {_IN} / 1000000 + output_tokens * {_OUT} / 1000000)::{_COST}::DOUBLE END,
+         input_tokens * {_IN} / 1000000 + output_tokens * {_OUT} / 1000000 END,
        model
 FROM grouped WHERE document_index IS NULL""",
     "document_records": f"""WITH {_DOCUMENTS}

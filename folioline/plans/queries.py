@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioline.functions import labels
-from folioline.functions.text import clean_value, normalize
+from folioline.functions.text import clean_value, normalize_column
 from folioline.operators import (
     cost,
     gate,
@@ -30,7 +30,7 @@ from folioline.operators import (
     templates,
 )
 from folioline.plans import views
-from folioline.session import shared_dir
+from folioline.session import shared_dir, spread, written
 from folioline.sources import files
 from folioline.sources.tables import LARGE_MODEL, model_pricing, tier_models
 from folioline.streaming import runs
@@ -63,16 +63,16 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(normalize(F.col("text"))).alias("normalized")
-    )
+    texts = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    normed = normalize_column(texts, "text", "norm")
+    return normed.select("doc_id", F.md5("norm").alias("normalized"))
 
 
 # --- gate ------------------------------------------------------------------------------
 
 
 def _gate(spark: SparkSession, sf_dir: str, markers: list[str], threshold: float) -> DataFrame:
-    return gate.gate_pages(views.page_text(spark, sf_dir), markers, threshold)
+    return gate.gate_pages(spread(views.page_text(spark, sf_dir)), markers, threshold)
 
 
 def gate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,14 +201,24 @@ def _values(lines: DataFrame) -> DataFrame:
     return lines.select("document", "page", value.alias("value"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pages as a stored table: the queries below read them several times."""
+    return written(views.line_pages(spark, sf_dir), "lines")
+
+
 def group_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = grouping.group_pages(_values(views.line_pages(spark, sf_dir)))
     place = F.when(F.col("document_index").isNull(), "review").otherwise("document")
     return assigned.select("document", "page", "value", "document_index", place.alias("destination"))
 
 
+def _assigned(lines: DataFrame) -> DataFrame:
+    assigned = grouping.group_pages(_values(lines)).select("document", "page", "document_index")
+    return written(assigned, "assigned")
+
+
 def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = grouping.group_pages(_values(views.line_pages(spark, sf_dir)))
+    assigned = _assigned(views.line_pages(spark, sf_dir))
     file = grouping.output_file(F.lit(""), F.col("document_index"), True)
     return grouping.document_manifest(assigned).withColumn("file", file)
 
@@ -241,24 +251,28 @@ def helper_page_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- merge and records -----------------------------------------------------------------
 
 
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return merge.merge_fields(_assigned(lines), views.line_fields(lines), views.TEMPLATE)
+
+
 def merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.line_pages(spark, sf_dir)
-    assigned = grouping.group_pages(_values(lines))
-    return merge.merge_fields(assigned, views.line_fields(lines), views.TEMPLATE)
+    numbered = merge.number_fields(written(_merged(spark, sf_dir), "merged"))
+    return numbered.drop(*merge.FIELD_ORDER)
 
 
 def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.overall_confidence(merge_fields(spark, sf_dir), DOC)
+    return merge.overall_confidence(_merged(spark, sf_dir), DOC)
 
 
 def _assigned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.line_pages(spark, sf_dir)
+    lines = _lines(spark, sf_dir)
     assigned = grouping.group_pages(_values(lines)).select("document", "page", "document_index")
     return assigned.filter(F.col("document_index").isNotNull()).join(lines, quality.PAGE)
 
 
 def document_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = _assigned_lines(spark, sf_dir)
+    inside = written(_assigned_lines(spark, sf_dir), "inside")
     models = merge.models_used(inside, DOC).select(*DOC, _joined("models_used").alias("models_used"))
     return merge.call_totals(inside, DOC).join(models, DOC, "left").withColumn(
         "models_used", F.coalesce("models_used", F.lit(""))
@@ -278,8 +292,8 @@ def skip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.line_pages(spark, sf_dir)
-    rejects = grouping.grouping_rejects(grouping.group_pages(_values(lines)))
+    lines = _lines(spark, sf_dir)
+    rejects = grouping.grouping_rejects(_assigned(lines))
     unclear = records.gate_review_records(_decided(spark, sf_dir))
     unplaced = records.grouping_review_records(
         rejects, lines, views.line_fields(lines), model_pricing(spark)
@@ -303,10 +317,9 @@ def review_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.line_pages(spark, sf_dir)
-    assigned = grouping.group_pages(_values(lines))
+    lines = _lines(spark, sf_dir)
     return records.document_records(
-        assigned, lines, views.line_fields(lines), views.TEMPLATE, model_pricing(spark)
+        _assigned(lines), lines, views.line_fields(lines), views.TEMPLATE, model_pricing(spark)
     )
 
 

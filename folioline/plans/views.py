@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioline.operators.numbering import number_rows
 from folioline.operators.quality import quality_tier
+from folioline.session import spread
 from folioline.sources.files import ocr_words
 from folioline.sources.tables import LARGE_MODEL, MEDIUM_MODEL, SMALL_MODEL
 
@@ -40,7 +41,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR words keyed by text id: the page number is looked up after they are counted."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("doc_id") * 37 % 101 - 20
 
     def conf(_: Column, position: Column) -> Column:
