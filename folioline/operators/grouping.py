@@ -31,16 +31,13 @@ def group_pages(values: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     rows = values.select(
         "document", "page", "value", F.floor(F.col("page") / block_pages).alias("block")
     )
-    back = Window.partitionBy(*block).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*block).orderBy(F.desc("page")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    in_page_order = "OVER (PARTITION BY document, block ORDER BY page)"
     so_far = Window.partitionBy(*block).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
 
     value, near = F.col("value"), F.col("near_before")
     scanned = (
-        rows.withColumn("near_before", F.last("value", ignorenulls=True).over(back))
-        .withColumn("near_after", F.last("value", ignorenulls=True).over(ahead))
+        rows.withColumn("near_before", F.expr(f"lag(value) IGNORE NULLS {in_page_order}"))
+        .withColumn("near_after", F.expr(f"lead(value) IGNORE NULLS {in_page_order}"))
         .withColumn("turn", (value.isNotNull() & near.isNotNull() & (value != near)).cast("int"))
         .withColumn("turns", F.sum("turn").over(so_far))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioline.functions.json import accept_repeated_keys, kind_of_text, parse_whole
 from folioline.functions.names import file_stem, has_suffix
 
 PLACE = ["bucket", "folder", "stem"]
@@ -48,14 +49,11 @@ def list_documents(files: DataFrame) -> DataFrame:
     )
 
 
-def valid_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
-
-
 def bucket_listing(files: DataFrame, records: DataFrame, image_format: str = "png") -> DataFrame:
     """Pages and documents of a bucket with their record, ``{}`` when missing or corrupt."""
     items = list_pages(files, image_format).unionByName(list_documents(files))
-    readable = records.filter(valid_json(F.col("record"))).select(*PLACE, "record")
+    accept_repeated_keys(records.sparkSession)
+    readable = records.filter(parse_whole(F.col("record")).isNotNull()).select(*PLACE, "record")
     return items.join(readable, PLACE, "left").select(
         "bucket", "kind", "name", "file", F.coalesce("record", F.lit("{}")).alias("record")
     )
@@ -63,8 +61,9 @@ def bucket_listing(files: DataFrame, records: DataFrame, image_format: str = "pn
 
 def cost_sources(records: DataFrame) -> DataFrame:
     """Records the cost tracker reads: all of output, those of review with a cost."""
-    names = F.json_object_keys("record")
-    readable = records.filter(valid_json(F.col("record")) & (F.size(names) > 0))
+    accept_repeated_keys(records.sparkSession)
+    is_object = kind_of_text(F.col("record")) == "OBJECT"
+    readable = records.filter(is_object & (F.size(F.json_object_keys("record")) > 0))
     output = readable.filter((F.col("bucket") == "output") & (F.col("folder") != ""))
     review = readable.filter(
         (F.col("bucket") == "review")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioline.functions.json import accept_repeated_keys, kind_of_text
 from folioline.functions.names import file_stem, has_suffix, last_segment
 from folioline.schemas import CALLS
 
@@ -40,10 +41,9 @@ def _below(path: Column, root: str) -> Column:
 def read_record_texts(spark: SparkSession, root: str, bucket: str) -> DataFrame:
     """JSON records below a bucket's folder as ``(bucket, folder, stem, record)`` texts."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(root)
+        spark.read.text(
+            root, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True
+        )
         .select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("path"))
     )
     place = F.url_decode(_below(F.col("path"), root))
@@ -54,23 +54,27 @@ def read_record_texts(spark: SparkSession, root: str, bucket: str) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Records with a declared schema; a corrupt file gives an all-null row, which is dropped."""
-    marked = f"{schema}, _corrupt_record string"
-    rows = (
-        spark.read.schema(marked)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .json(root)
+def read_records(
+    spark: SparkSession, root: str, schema: str, one_per_file: bool = False
+) -> DataFrame:
+    """Records with a declared schema, from JSON lines or from one record per file.
+
+    Unreadable texts and texts that are no object are dropped.
+    """
+    accept_repeated_keys(spark)
+    texts = spark.read.text(
+        root, wholetext=one_per_file, pathGlobFilter="*.json", recursiveFileLookup=True
+    )
+    return (
+        texts.filter(kind_of_text(F.col("value")) == "OBJECT")
+        .select(F.from_json("value", schema).alias("record"))
+        .select("record.*")
     )
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Template files as ``(path, template)`` texts."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("template")
     )
 
