@@ -42,6 +42,8 @@ def group_pages(values: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         .withColumn("turns", F.sum("turn").over(so_far))
     )
 
+    # Both tables are read several times below, so each is computed once and stored.
+    scanned = written(scanned, "scanned")
     carried = _carry_over_blocks(scanned)
     before = F.coalesce(near, F.col("carry_before"))
     after = F.coalesce(F.col("near_after"), F.col("carry_after"))
@@ -60,7 +62,6 @@ def group_pages(values: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         ),
         F.coalesce(value != before, value.isNotNull()).alias("is_start"),
     )
-    # Read four times below, so the scan is run once and stored.
     placed = written(placed, "placed")
 
     # Each value keeps its first run; the group-by itself yields one row per document.

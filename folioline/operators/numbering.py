@@ -1,9 +1,10 @@
 """Row numbers that do not pull one key into one task.
 
 A plain ``row_number() over (partition by key)`` sorts all rows of a key in one task.
-Here a key's rows are cut into blocks by an expression that rises with the wanted
-order; rows are numbered inside a block, and a running total over the (much smaller)
-table of block sizes gives each block its start.
+That is right for ordinary keys. The rows of a key with more than ``HOT_ROWS`` of them are
+cut into blocks by an expression that rises with the wanted order; they are numbered
+inside a block, and a running total over the much smaller table of block sizes gives each
+block its start.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# One task sorts this many narrow rows without trouble. It also bounds the broadcast list
+# of hot keys: N rows have at most N / HOT_ROWS of them, a million for 10^12 rows.
+HOT_ROWS = 1_000_000
+
 
 def number_rows(
     df: DataFrame,
@@ -19,29 +24,37 @@ def number_rows(
     block: Column,
     name: str,
     total: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``name`` = 1, 2, ... per key in ``order``; ``total`` adds the rows per key.
 
-    ``block`` must be non-decreasing along ``order``.
+    ``block`` must be non-decreasing along ``order``. Keys must not be null.
     """
-    rows = df.withColumn("_block", block)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.filter(F.col("_rows") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    rows = df.join(F.broadcast(hot), keys, "left").withColumn(
+        "_block", F.when(F.col("_hot"), block).otherwise(0)
+    )
     group = [*keys, "_block"]
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = rows.filter("_hot").groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select(
         *group,
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
-        *([F.sum("_size").over(Window.partitionBy(*keys)).alias(total)] if total else []),
+        F.sum("_size").over(earlier).alias("_start"),
+        F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    inside = Window.partitionBy(*group).orderBy(*order)
-    return (
-        rows.withColumn("_inside", F.row_number().over(inside))
-        .join(starts, group)
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop("_block", "_start", "_inside")
+    inside = Window.partitionBy(*group)
+    numbered = rows.withColumn("_inside", F.row_number().over(inside.orderBy(*order)))
+    if total:
+        numbered = numbered.withColumn("_size", F.count(F.lit(1)).over(inside))
+    numbered = numbered.join(starts, group, "left").withColumn(
+        name, F.coalesce("_start", F.lit(0)) + F.col("_inside")
     )
+    if total:
+        numbered = numbered.withColumn(total, F.coalesce("_total", "_size")).drop("_size")
+    return numbered.drop("_block", "_start", "_inside", "_hot", "_total")
 
 
 def running_total(

@@ -1,15 +1,18 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioline.operators.numbering import number_rows, running_total
 
 
-def test_numbers_match_a_plain_count(spark):
+@pytest.mark.parametrize("hot_rows", [0, 200, 10**6])
+def test_numbers_match_a_plain_count(spark, hot_rows):
     random.seed(1)
     rows = [(random.choice("ab"), n) for n in random.sample(range(5000), 400)]
     df = spark.createDataFrame(rows, "k string, n int")
-    got = number_rows(df, ["k"], ["n"], F.floor(F.col("n") / 64), "no", "total").collect()
+    block = F.floor(F.col("n") / 64)
+    got = number_rows(df, ["k"], ["n"], block, "no", "total", hot_rows).collect()
     for key in "ab":
         ordered = sorted(n for k, n in rows if k == key)
         mine = {r.n: (r.no, r.total) for r in got if r.k == key}
@@ -18,7 +21,7 @@ def test_numbers_match_a_plain_count(spark):
 
 def test_one_key_with_nearly_all_rows_is_spread(spark):
     df = spark.range(20000).select(F.lit("hot").alias("k"), F.col("id").alias("n"))
-    numbered = number_rows(df, ["k"], ["n"], F.floor(F.col("n") / 512), "no")
+    numbered = number_rows(df, ["k"], ["n"], F.floor(F.col("n") / 512), "no", hot_rows=1000)
     assert numbered.filter(F.col("no") != F.col("n") + 1).count() == 0
     window = [l for l in numbered._jdf.queryExecution().executedPlan().toString().split("\n")
               if "row_number" in l]
