@@ -157,8 +157,13 @@ def line_fields(lines: DataFrame) -> DataFrame:
     return lines.select("document", "page", "confidence", F.inline(fields))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["event_id", "user_id", "event_type", "props"]
+    return spread(table(spark, sf_dir, "events").select(*columns))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     key = F.col("event_id")
     k = F.get_json_object("props", "$.k")
     body = F.concat(
@@ -186,7 +191,7 @@ EDGE_CONFIDENCES = [
 
 def edge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies with every kind of value and confidence, and a repeated key."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     key = F.col("event_id")
     value = F.replace(
         F.get(F.array(*[F.lit(v) for v in EDGE_VALUES]), (key % 6).cast("int")),
@@ -340,6 +345,6 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("{k}"),
         F.get_json_object("props", "$.k"),
     )
-    return table(spark, sf_dir, "events").select(
+    return _events(spark, sf_dir).select(
         key.alias("template_id"), F.nullif(filled, F.lit("")).alias("template")
     )
