@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioline.operators.numbering import number_rows
 from folioline.session import written
 
-BLOCK_PAGES = 1024
+BLOCK_PAGES = 4096
 # Fixed values of the review record for a page without a clear document.
 REVIEW_REPLY = "document grouping"
 REVIEW_REASON = (

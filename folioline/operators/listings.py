@@ -59,6 +59,11 @@ def bucket_listing(files: DataFrame, records: DataFrame, image_format: str = "pn
     )
 
 
+def ordered_listing(listing: DataFrame) -> DataFrame:
+    """Listing in display order: pages before documents, by file name. For the last step."""
+    return listing.orderBy("bucket", F.desc("kind"), "file")
+
+
 def cost_sources(records: DataFrame) -> DataFrame:
     """Records the cost tracker reads: all of output, those of review with a cost."""
     accept_repeated_keys(records.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioline.operators import gate, grouping, listings, records, requests, templates
+from folioline.operators import gate, grouping, listings, requests, templates
 from folioline.plans import views
 from folioline.sources.tables import (
     LARGE_MODEL,
@@ -598,6 +598,11 @@ SELECT document, document_index, page AS source_page,
        row_number() OVER (PARTITION BY document, document_index ORDER BY page) AS position,
        'invoice-' || document_index || '.pdf' AS file
 FROM grouped WHERE document_index IS NOT NULL""",
+    "call_ingest": """SELECT user_id::VARCHAR AS document, event_id AS page,
+       CASE WHEN event_id % 4 <> 3 THEN event_type ELSE '' END AS reply,
+       CASE WHEN event_id % 5 <> 0 THEN user_id ELSE 0 END AS input_tokens,
+       CASE WHEN event_id % 3 <> 0 THEN event_id % 1000 ELSE 0 END AS output_tokens
+FROM events""",
     "parse_replies": f"""WITH {_REPLIES}
 SELECT document, page, ord, name, value, value_kind, confidence FROM parsed""",
     "reply_edge_types": f"""WITH {_edge_replies()}

@@ -226,6 +226,11 @@ def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- replies ---------------------------------------------------------------------------
 
 
+def call_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies and usage as a model returns them, some of it missing."""
+    return files.ingest_calls(views.raw_calls(spark, sf_dir))
+
+
 def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.parse_replies(views.replies(spark, sf_dir))
 
@@ -626,7 +631,7 @@ QUERIES: dict[str, Query] = {
         gate_exact, gate_fuzzy, page_split_counts, single_document, document_run_lines,
         call_price, cost_by_document, cost_global, cost_block_count, price_overrides,
         group_pages, document_manifest,
-        parse_replies, reply_edge_types, helper_split, helper_page_values,
+        call_ingest, parse_replies, reply_edge_types, helper_split, helper_page_values,
         merge_fields, document_confidence, document_calls, document_errors,
         skip_records, review_records, document_records, meta_unpivot, field_list,
         cost_labels, page_labels, run_summary,

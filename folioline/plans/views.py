@@ -24,7 +24,7 @@ def _document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is a file whose texts are its pages; keys only, without the text."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source")
     numbered = number_rows(
-        documents, ["source"], ["doc_id"], F.floor(F.col("doc_id") / 512), "page", "page_count"
+        documents, ["source"], ["doc_id"], F.floor(F.col("doc_id") / 65536), "page", "page_count"
     )
     return numbered.select(
         "doc_id",
@@ -162,6 +162,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "events").select(*columns))
 
 
+def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("document"),
+        key.alias("page"),
+        F.when(key % 4 != 3, F.col("event_type")).alias("reply"),
+        F.when(key % 5 != 0, F.col("user_id")).alias("prompt_tokens"),
+        F.when(key % 3 != 0, key % 1000).alias("completion_tokens"),
+    )
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     key = F.col("event_id")

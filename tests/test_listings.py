@@ -19,6 +19,8 @@ def test_listing_joins_records_by_stem(spark):
         "bucket string, folder string, stem string, record string",
     )
     got = {r.name: (r.kind, r.file, r.record) for r in listings.bucket_listing(files, records).collect()}
+    listed = listings.ordered_listing(listings.bucket_listing(files, records)).collect()
+    assert [r.name for r in listed] == ["A/invoice-1", "a_1"]
     assert got == {
         "a_1": ("page", "a_1.png", '{"p":1}'),
         "A/invoice-1": ("document", "A/invoice-1.pdf", "{}"),
