@@ -6,6 +6,7 @@ Lists are joined to text and structs flattened, so that results can be compared
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from folioline.operators import (
     templates,
 )
 from folioline.plans import views
-from folioline.session import shared_dir, spread, written
+from folioline.session import shared_dir, ship_package, spread, written
 from folioline.sources import files
 from folioline.sources.tables import LARGE_MODEL, model_pricing, tier_models
 from folioline.streaming import runs
@@ -624,8 +625,19 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/pages").drop("batch")
 
 
+def _shipped(query: Query) -> Query:
+    """The query, with this package at hand in the Python workers."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    query.__name__: query
+    query.__name__: _shipped(query)
     for query in (
         ocr_quality_route, document_quality, normalized_text,
         gate_exact, gate_fuzzy, page_split_counts, single_document, document_run_lines,
