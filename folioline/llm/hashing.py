@@ -83,6 +83,15 @@ class Words:
     data: np.ndarray
 
 
+def stretch_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hash of each byte range."""
+    up, down = _CHARS.upto(data.size + 1)
+    sums = np.zeros(data.size + 1, dtype=U64)
+    np.cumsum((_FOLDED if fold else _BYTES)[data] * up[: data.size], out=sums[1:])
+    raw = (sums[ends] - sums[starts]) * down[starts]
+    return mixed(raw + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     """``fold`` takes A-Z as a-z. ``offsets`` start at 0 and end at ``data.size``."""
     inside = ~_SEPARATOR[data]
@@ -93,12 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
         begins[1:] &= ~inside[:-1] | edge[1:-1]
         stops[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    up, down = _CHARS.upto(data.size + 1)
-    sums = np.zeros(data.size + 1, dtype=U64)
-    np.cumsum((_FOLDED if fold else _BYTES)[data] * up[: data.size], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    hashes = mixed(raw + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
+    return Words(stretch_keys(data, starts, ends, fold), starts, ends, np.searchsorted(starts, offsets), data)
 
 
 def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
