@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioline.llm import language_id, packing, shingle_join, substring_dedup
+from folioline.llm import language_id, mixing, packing, shingle_join, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,85 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_classes(table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
+#: Target weights of the corpus: by domain, language within it, source within that.
+MIX = mixing.Mix(
+    weights={
+        "domain": {"domain0": 5, "domain1": 3, "domain2": 2},
+        "lang": {"en": 6, "de": 2, "fr": 1, "es": 1},
+        "source": {"src0": 3},
+    },
+    share=(1, 1),
+    max_epochs=2,
+)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.select_mix(mixing.with_domain(docs), MIX)
+
+
+def _level_sql(level: str, above: list[str]) -> str:
+    """The children ``level`` of every node ``above``: the amount each one gets."""
+    weights = MIX.weights[level]
+    cases = " ".join(f"WHEN {level} = '{name}' THEN {weight}" for name, weight in weights.items())
+    names = ", ".join([*above, level])
+    same = " AND ".join(f"n.{a} IS NOT DISTINCT FROM p.{a}" for a in above) or "true"
+    parent = f"given_{above[-1]}" if above else "root"
+    return f"""
+nodes_{level} AS (
+  SELECT {names}, sum(tokens) * {MIX.max_epochs} AS capacity,
+         max(CASE {cases} ELSE {MIX.default_weight} END) AS weight
+  FROM leaves GROUP BY {names}),
+pairs_{level} AS (
+  -- For each child, what all siblings would take if they were filled up to its own level.
+  SELECT n.*, p.given AS parent_given FROM nodes_{level} n JOIN {parent} p ON {same}),
+levels_{level} AS (
+  SELECT a.{level} AS level_of, {"".join(f"a.{x}, " for x in above)} a.parent_given, a.capacity, a.weight,
+         sum(CASE WHEN b.capacity * a.weight <= a.capacity * b.weight THEN b.capacity ELSE 0 END) AS below,
+         sum(CASE WHEN b.capacity * a.weight > a.capacity * b.weight THEN b.weight ELSE 0 END) AS open_weight
+  FROM pairs_{level} a JOIN pairs_{level} b
+    ON {" AND ".join(f"a.{x} IS NOT DISTINCT FROM b.{x}" for x in above) or "true"}
+  GROUP BY ALL),
+full_{level} AS (
+  SELECT *, below * weight + open_weight * capacity <= parent_given * weight AS is_full FROM levels_{level}),
+rest_{level} AS (
+  SELECT {"".join(f"{x}, " for x in above)} max(parent_given) - coalesce(sum(capacity) FILTER (is_full), 0) AS amount,
+         sum(weight) FILTER (NOT is_full) AS open_weight
+  FROM full_{level} GROUP BY ALL),
+given_{level} AS (
+  SELECT {"".join(f"n.{x}, " for x in above)} n.level_of AS {level},
+         (CASE WHEN is_full THEN capacity ELSE least(capacity, p.amount * weight // p.open_weight) END)::BIGINT AS given
+  FROM full_{level} n JOIN rest_{level} p ON {same})"""
+
+
+def _mix_sql() -> str:
+    levels = list(MIX.levels)
+    parts = [_level_sql(level, levels[:i]) for i, level in enumerate(levels)]
+    leaf = ", ".join(levels)
+    on = " AND ".join(f"l.{x} IS NOT DISTINCT FROM g.{x}" for x in levels)
+    return f"""
+WITH sized AS (
+  SELECT doc_id, 'domain' || ascii(right(source, 1)) % 3 AS domain, lang, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens
+  FROM documents),
+leaves AS (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens FROM sized GROUP BY {leaf}),
+root AS (SELECT sum(tokens)::BIGINT AS given FROM leaves),{",".join(parts)},
+epochs AS (
+  SELECT l.*, e.epoch, least(l.tokens, g.given - e.epoch * l.tokens) AS quota
+  FROM leaves l JOIN given_source g ON {on} CROSS JOIN (SELECT unnest(range({MIX.max_epochs})) AS epoch) e
+  WHERE g.given > e.epoch * l.tokens),
+placed AS (
+  SELECT l.doc_id, {", ".join(f"l.{x}" for x in levels)}, g.epoch, l.n_tokens, g.tokens, g.quota,
+         coalesce(sum(l.n_tokens) OVER (
+           PARTITION BY {", ".join(f"l.{x}" for x in levels)}, g.epoch
+           ORDER BY md5('{MIX.seed}:' || g.epoch || ':' || l.doc_id), l.doc_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM sized l JOIN epochs g ON {on})
+SELECT doc_id, {leaf}, epoch::INTEGER AS epoch, n_tokens, (epoch * tokens + place)::BIGINT AS start,
+       least(n_tokens, quota - place)::BIGINT AS taken
+FROM placed WHERE place < quota"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.learn(docs.where(~language_id.held_out()))
@@ -40,8 +119,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_source_mixing": _mix_sql(),
+}
