@@ -146,8 +146,8 @@ def _window_rows(width: int):
     return run
 
 
-def cut(found: Words, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of each document's kept words, joined by one space."""
+def cut(found: Words, offsets: np.ndarray, keep: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of each document's kept words, joined by one space; ``whole`` ones unchanged."""
     size = found.data.size
     kept = np.zeros(size + 1, dtype=np.int8)
     np.add.at(kept, found.starts[keep], 1)
@@ -156,15 +156,16 @@ def cut(found: Words, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray
     # One byte after each kept word becomes its space, but not after a document's last.
     number = np.flatnonzero(keep)
     doc = np.searchsorted(found.first, number, side="right") - 1
-    goes_on = number[:-1][doc[1:] == doc[:-1]] if number.size else number
+    goes_on = number[:-1][(doc[1:] == doc[:-1]) & ~whole[doc[1:]]] if number.size else number
     text = found.data.copy()
     text[found.ends[goes_on]] = 0x20
     kept[found.ends[goes_on]] = True
+    kept |= np.repeat(whole, np.diff(offsets))
     lengths = np.concatenate([[0], np.cumsum(kept)])
     return text[kept], lengths[offsets]
 
 
-def _cut_rows(width: int):
+def _cut_rows(width: int, keep_layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column("spans").fill_null([])
@@ -179,9 +180,9 @@ def _cut_rows(width: int):
                 np.add.at(gone, start, 1)
                 np.add.at(gone, start + span % _LENGTHS - 1 + width, -1)
                 keep = np.cumsum(gone)[:-1] == 0
-                text, bounds = cut(found, offsets, keep)
                 kept = np.concatenate([[0], np.cumsum(keep)])[found.first]
                 n = np.diff(found.first)
+                text, bounds = cut(found, offsets, keep, keep_layout & (np.diff(kept) == n))
                 column = pa.LargeStringArray.from_buffers(
                     end - row, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(text)
                 ).cast(pa.string())
@@ -242,10 +243,11 @@ def removal_spans(docs: DataFrame, width: int = 35) -> DataFrame:
     return repeated.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
-def cut_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
+def cut_repeats(docs: DataFrame, width: int = 35, keep_layout: bool = False) -> DataFrame:
     """The documents with ``text`` cut to its kept words, and ``n_words`` and ``n_removed`` longs.
 
-    Columns of the input with these two names are replaced.
+    With ``keep_layout`` a text that loses nothing stays as it is. Columns of the input named
+    ``n_words`` or ``n_removed`` are replaced.
     """
     spans = removal_spans(docs, width)
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
@@ -258,7 +260,7 @@ def cut_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
         joined.schema["row"], T.StructField("text", T.StringType()),
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
     ])
-    made = joined.mapInArrow(_cut_rows(width), out)
+    made = joined.mapInArrow(_cut_rows(width, keep_layout), out)
     order = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     return made.select(
         *[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in order], "n_words", "n_removed"
