@@ -24,6 +24,7 @@ are one node; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,13 @@ from folioline.session import ship_package, written
 
 #: Ratio of a band's upper to its lower size.
 BAND_RATIO = 1.5
-#: Fragments beyond those needed, so that equality of empty segments alone is rare.
-SPARE = 2
+#: Bits of the filter of document ids, at most; beyond some 30 million ids it lets more pass.
+FILTER_BITS = 1 << 27
 SKETCH_BITS = 256
 #: Documents compared with each other in one block.
 BLOCK = 1000
+#: Signatures that a task gathers before it passes them on.
+GATHER = 1 << 22
 #: Coarse fragments in which overlaps are counted; a power of 2.
 PARTS = 4
 
@@ -56,126 +59,184 @@ class Bands:
             limits.append(max(limits[-1] + 1, int(limits[-1] * BAND_RATIO)))
         self.limits = np.array(limits, dtype=np.int64)
         self.most = [self.difference(2 * (top - 1)) for top in limits[1:]]
+        self.spare = [self._spare(low, d) for low, d in zip(limits, self.most, strict=False)]
+
+    @staticmethod
+    def _spare(size: int, difference: int) -> int:
+        """Fragments beyond difference + 1: more than the empty segments that a document of this
+        size is likely to have, so that linked documents share one that is not empty."""
+        spare, most = 2, max(2, difference)
+        while True:
+            fragments = difference + 1 + spare
+            empty = fragments * math.exp(-size / fragments)
+            need = min(math.ceil(empty + 4 * math.sqrt(empty) + 1), most)
+            if spare >= need:
+                return spare
+            spare = need
 
     def difference(self, sizes: int) -> int:
         """The largest symmetric difference of two linked sets of so many n-grams together."""
         return (100 - self.percent) * sizes // (100 + self.percent)
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(band, fragments) in which a document of ``n`` n-grams looks for partners."""
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, fragments, spare ones) in which a document of ``n`` n-grams looks for partners."""
         band = int(np.searchsorted(self.limits, n, side="right")) - 1
         last = int(np.searchsorted(self.limits, 100 * n // self.percent, side="right")) - 1
-        return [(k, self.most[k] + 1 + SPARE) for k in range(band, last + 1) if self.most[k]]
+        return [(k, self.most[k] + 1 + self.spare[k], self.spare[k]) for k in range(band, last + 1) if self.most[k]]
 
 
 def _signatures(grams: np.ndarray, spread: np.ndarray, bands: Bands) -> list[np.ndarray]:
     """Hashes of (band, fragment, segment) of one sorted set."""
     found = []
-    for band, fragments in bands.of(grams.size):
+    for band, fragments, spare in bands.of(grams.size):
         part = ((grams >> U64(32)) * U64(fragments)) >> U64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         salt = part[starts] * U64(0x9E3779B97F4A7C15) + U64(band * 0xC2B2AE3D27D4EB4F & (2**64 - 1))
         found.append(mixed(np.add.reduceat(spread, starts) ^ mixed(salt)))
-        if fragments - starts.size > SPARE:
+        if fragments - starts.size > spare:
             # So many empty segments may be all that two linked documents share.
             empty = np.setdiff1d(np.arange(fragments, dtype=U64), part)
             found.append(mixed(empty * U64(0x9E3779B97F4A7C15) + U64(band + 1), salt=7))
     return found
 
 
-SET_COLUMNS = (
-    "doc_id long, n long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, signatures array<long>"
-)
+_NUMBERS = ("doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3")
 
 
-def _set_rows(width: int, percent: int):
-    bands = Bands(percent)
-    schema = pa.schema(
-        [(c, pa.int64()) for c in ("doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3")]
-        + [("signatures", pa.list_(pa.int64()))]
-    )
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(ids, sorted distinct n-gram hashes of each) of pieces of the input."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for row, end, data, offsets in pieces(batch.column("text")):
+            grams, bounds = shingles(words(data, offsets, fold=True), width)
+            yield ids[row:end], [np.unique(grams[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _digest(spread: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return spread.sum(dtype=U64), mixed(spread, salt=2).sum(dtype=U64)
+
+
+def _set_rows(width: int):
+    """Each document's number of n-grams, set digest and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, end, data, offsets in pieces(batch.column("text")):
-                grams, bounds = shingles(words(data, offsets, fold=True), width)
-                size = end - row
-                numbers = np.zeros((8, size), dtype=np.int64)
-                numbers[0] = ids[row:end]
-                lists, lengths = [], np.zeros(size + 1, dtype=np.int32)
-                for i in range(size):
-                    own = np.unique(grams[bounds[i] : bounds[i + 1]])
-                    if not own.size:
-                        continue
+        for ids, sets in _sets(batches, width):
+            numbers = np.zeros((8, ids.size), dtype=np.int64)
+            numbers[0] = ids
+            for i, own in enumerate(sets):
+                if own.size:
                     spread = mixed(own, salt=1)
-                    parity = np.packbits((np.bincount(own & U64(SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1).astype(np.uint8))
-                    digest = [spread.sum(dtype=U64), mixed(own, salt=2).sum(dtype=U64)]
+                    counts = np.bincount(own & U64(SKETCH_BITS - 1), minlength=SKETCH_BITS)
                     numbers[1, i] = own.size
-                    numbers[2:4, i] = np.array(digest, dtype=U64).view(np.int64)
-                    numbers[4:8, i] = parity.view(np.int64)
-                    # Equal sets are found by their digest, whatever their size.
-                    found = [mixed(np.array(digest[:1], dtype=U64), salt=3), *_signatures(own, spread, bands)]
-                    lists += found
-                    lengths[i + 1] = sum(f.size for f in found)
-                values = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
-                sigs = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), sigs], schema=schema)
+                    numbers[2:4, i] = np.array(_digest(spread), dtype=U64).view(np.int64)
+                    numbers[4:8, i] = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers)], names=list(_NUMBERS))
 
     return run
 
 
-def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each segment only the task's smallest document goes on; the others link to it here.
+def _signature_rows(width: int, percent: int):
+    """(key, shared, doc_id): what a task knows of each segment's documents.
 
-    Rows (signature, doc, null) go on, rows (null, doc, smallest) are links.
+    A segment that several of the task's documents have is known to be shared: all of them go on
+    with it in ``shared``, under keys of their own. For the rest, and one of those, the key is
+    the segment, under which they meet those of other tasks.
     """
-    sigs, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        lists = batch.column("signatures")
-        sigs.append(lists.flatten().to_numpy())
-        lengths = np.diff(lists.offsets.to_numpy())
-        docs.append(np.repeat(batch.column("doc_id").to_numpy(), lengths))
-    sig, doc = np.concatenate(sigs), np.concatenate(docs)
+    bands = Bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, docs, held = [], [], 0
+        for ids, sets in _sets(batches, width):
+            for doc, own in zip(ids, sets, strict=True):
+                if own.size:
+                    spread = mixed(own, salt=1)
+                    # Equal sets are found by their digest, whatever their size.
+                    found = [mixed(np.array(_digest(spread)[:1]), salt=3), *_signatures(own, spread, bands)]
+                    sigs += found
+                    number = sum(f.size for f in found)
+                    docs.append(np.full(number, doc))
+                    held += number
+            if held > GATHER:
+                yield from _shared(sigs, docs)
+                sigs, docs, held = [], [], 0
+        yield from _shared(sigs, docs)
+
+    return run
+
+
+def _shared(sigs: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if not sigs:
+        return
+    sig, doc = np.concatenate(sigs), np.concatenate(docs).astype(np.int64)
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
-    head = np.concatenate([[True], sig[1:] != sig[:-1]]) if sig.size else np.zeros(0, bool)
-    least = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if sig.size else doc
-    links = np.unique(np.stack([doc[~head], least[~head]], axis=1), axis=0)
-    links = links[links[:, 0] != links[:, 1]]
-    for at in range(0, int(head.sum()), 1 << 16):
-        own = np.flatnonzero(head)[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(sig[own]), pa.array(doc[own]), pa.nulls(own.size, pa.int64())],
-            names=["signature", "doc_id", "least"],
-        )
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(len(links), pa.int64()), pa.array(links[:, 0]), pa.array(links[:, 1])],
-        names=["signature", "doc_id", "least"],
+    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    count = np.diff(np.concatenate([head, [sig.size]]))
+    several = np.repeat(count > 1, count)
+    for rows, shared in ((head, False), (np.flatnonzero(several), True)):
+        for at in range(0, rows.size, 1 << 16):
+            own = rows[at : at + (1 << 16)]
+            key = mixed(sig[own] ^ mixed(doc[own].view(U64))) if shared else sig[own]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key.view(np.int64)),
+                    pa.array(sig[own].view(np.int64)) if shared else pa.nulls(own.size, pa.int64()),
+                    pa.array(doc[own]),
+                ],
+                names=["key", "shared", "doc_id"],
+            )
+
+
+def _segments(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, part, grams): the sorted n-gram hashes in each coarse fragment, of the documents
+    with the given ids and maybe some others.
+
+    A bitmap of hashed ids, of bounded size, spares a shuffle of all texts.
+    """
+    bits = 1 << 20
+    wanted = 16 * ids.count()
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    maps = (
+        ids.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+        .collect()
+    )
+    # 4096 bytes for each bucket of 32768 bits.
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    for row in maps:
+        whole[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["map"], dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+    return docs.withColumn("place", place - 1).mapInArrow(
+        _segment_rows(width, shared), "doc_id long, part int, grams binary"
     )
 
 
-def _segments(width: int):
-    """(doc_id, part, grams): a document's sorted n-gram hashes in each coarse fragment."""
+def _segment_rows(width: int, shared):
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy(zero_copy_only=False)
+            hit = (shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, end, data, offsets in pieces(batch.column("text")):
-                grams, bounds = shingles(words(data, offsets, fold=True), width)
-                out: tuple[list, list, list] = ([], [], [])
-                for i in range(end - row):
-                    own = np.unique(grams[bounds[i] : bounds[i + 1]])
-                    cuts = np.searchsorted(own, [U64(p << 62) for p in range(1, PARTS)])
-                    for part, piece in enumerate(np.split(own, cuts)):
-                        out[0].append(ids[row + i])
-                        out[1].append(part)
-                        # The top 6 bytes: within a fragment of one pair they tell n-grams apart.
-                        out[2].append(piece.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
-                    names=["doc_id", "part", "grams"],
-                )
+        cuts = np.array([p << 62 for p in range(1, PARTS)], dtype=U64)
+        for ids, sets in _sets(chosen(batches), width):
+            # The top 6 bytes: within a fragment of one pair they tell n-grams apart.
+            blobs = [
+                piece.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                for own in sets
+                for piece in np.split(own, np.searchsorted(own, cuts))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(ids, PARTS)), pa.array(np.tile(np.arange(PARTS, dtype=np.int32), ids.size)),
+                    pa.array(blobs, pa.binary()),
+                ],
+                names=["doc_id", "part", "grams"],
+            )
 
     return run
 
@@ -250,10 +311,9 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and parities do not rule out; ``same`` marks equal sets."""
-    narrow = sets.drop("signatures")
     for side in ("a", "b"):
-        own = narrow.select(*[F.col(c).alias(side if c == "doc_id" else f"{side}_{c}") for c in narrow.columns])
-        pairs = pairs.join(own, side)
+        own = sets.select(*[F.col(c).alias(side if c == "doc_id" else f"{side}_{c}") for c in sets.columns])
+        pairs = pairs.join(own.hint("merge"), side)
     apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(1, 4)),
                 F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
     return pairs.where(
@@ -265,13 +325,15 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, a_n, b_n) those whose overlaps, summed over fragments, suffice."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    segments = written(_segments(docs, ids, width), "segments")
     x = segments.select(F.col("doc_id").alias("a"), "part", F.col("grams").alias("x"))
     y = segments.select(F.col("doc_id").alias("b"), "part", F.col("grams").alias("y"))
     sizes = pairs.select("a", "b", "a_n", "b_n")
     parts = (
-        sizes.select("a", "b").join(x, "a").join(y, ["b", "part"]).select("a", "b", "part", "x", "y")
+        sizes.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), ["b", "part"]).select("a", "b", "part", "x", "y")
         .mapInArrow(_overlaps, "a long, b long, part int, overlap long")
     )
     # A row that is repeated in the input gives the same count again, not more overlap.
@@ -290,47 +352,49 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL")
-    sets = written(named.mapInArrow(_set_rows(width, percent), SET_COLUMNS), "sets")
-
-    heads = written(
-        sets.select("doc_id", "signatures").mapInArrow(_local_stars, "signature long, doc_id long, least long"), "heads"
-    )
-    across = heads.where("signature IS NOT NULL").selectExpr(
-        "doc_id", "min(doc_id) OVER (PARTITION BY signature) AS least"
+    sets = written(named.mapInArrow(_set_rows(width), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
+
+    # (signature, doc_id) of the segments that two documents or more have.
+    groups = written(
+        named.mapInArrow(_signature_rows(width, percent), "key long, shared long, doc_id long")
+        .selectExpr("shared", "key", "doc_id", "count(*) OVER (PARTITION BY key) AS n")
+        .where("n > 1 OR shared IS NOT NULL")
+        .select(F.coalesce("shared", "key").alias("signature"), "doc_id")
+        .distinct(),
+        "groups",
     )
+    # A group's star has as its centre the document that most others share segments with.
+    sizes = groups.groupBy("signature").agg(F.count(F.lit(1)).alias("size"))
+    central = groups.join(sizes.hint("merge"), "signature").groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    ranked = groups.join(central.hint("merge"), "doc_id")
+    centres = ranked.groupBy("signature").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("top"))
     stars = (
-        across.where("doc_id != least")
-        .unionByName(heads.where("signature IS NULL").select("doc_id", "least"))
-        .select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+        groups.join(centres.hint("merge"), "signature")
+        .select((-F.col("top.col2")).alias("centre"), "doc_id")
+        .where("centre != doc_id")
+        .select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
         .distinct()
     )
-    stars = written(stars, "stars")
-    # Every member of a group of two or more is in a star link.
-    members = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
     pairs = written(_bounded(stars, sets, percent), "pairs")
-    segments = written(
-        named.join(members, "doc_id", "left_semi").mapInArrow(_segments(width), "doc_id long, part int, grams binary"),
-        "segments",
-    )
     links = written(
-        pairs.where("same").select("a", "b").unionByName(_linked(pairs.where("NOT same"), segments, percent)), "links"
+        pairs.where("same").select("a", "b").unionByName(_linked(pairs.where("NOT same"), named, width, percent)),
+        "links",
     )
     first = written(components(links, "a", "b"), "classes")
 
-    # What the stars left apart: groups with documents of more than one component.
-    member_sets = (
-        sets.join(members, "doc_id", "left_semi")
-        .join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # What the stars left apart: groups with documents of more than one component. Of equal sets
+    # one document stands for all.
+    members = groups.select("doc_id").distinct()
+    placed = (
+        sets.join(members.hint("merge"), "doc_id", "left_semi")
+        .join(first.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
     )
-    one_each = written(
-        member_sets.groupBy("d1", "d2", "n").agg(
-            *[F.min_by(c, "doc_id").alias(c) for c in ("component", "s0", "s1", "s2", "s3", "signatures")],
-            F.min("doc_id").alias("doc_id"),
-        ),
-        "members",
-    )
-    spread = one_each.withColumn("signature", F.explode("signatures")).drop("signatures")
+    one_each = placed.groupBy("d1", "d2", "n").agg(
+        *[F.min_by(c, "doc_id").alias(c) for c in ("component", "s0", "s1", "s2", "s3")],
+        F.min("doc_id").alias("doc_id"),
+    ).drop("d1", "d2")
+    spread = written(groups.join(one_each.hint("merge"), "doc_id"), "members")
     mixed_groups = (
         spread.groupBy("signature")
         .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -338,7 +402,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
         .select("signature", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
     blocks = (
-        spread.join(mixed_groups, "signature")
+        spread.join(mixed_groups.hint("merge"), "signature")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other"))
@@ -348,8 +412,9 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
         .sortWithinPartitions("signature", "low", "high")
     )
     rest = blocks.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
-    rest = written(_bounded(rest.join(pairs, ["a", "b"], "left_anti"), sets, percent), "rest")
-    more = _linked(rest, segments, percent)
+    rest = rest.join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    rest = written(_bounded(rest, sets, percent), "rest")
+    more = _linked(rest, named, width, percent)
     classes = components(links.unionByName(more), "a", "b")
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles"))
