@@ -4,11 +4,12 @@ Nearest by inner product becomes nearest by distance: a row x gets the further c
 sqrt(M^2 - |x|^2) with M the largest norm, a query 0.
 
 Each of ``TABLES`` tables has some functions floor-like in (a . x + b) / w with Gaussian a; their
-slots form the table's buckets. A neighbour at distance R lies on a function's line R times a
-standard normal number away from the query, so each bucket has a probability of
-holding it. A query visits a table's buckets, its own and perturbed ones, in the order of
-that probability, until the tables together reach ``TARGET``. R is the distance of the k-th
-neighbour within a bounded sample, which is never nearer than in the whole table.
+slots form the table's buckets. On a function's line a neighbour's place is normal, given the
+query's: around c M / |q| times the query's own, with variance M^2 (1 - c^2), where c is the cosine
+to the neighbour. So each bucket has a probability of holding it. A query visits a table's
+buckets, its own and perturbed ones, in the order of that probability, until the tables together
+reach ``TARGET`` for a k-th neighbour, a close one and one in between. The k-th neighbour's c is
+measured within a bounded sample, where it is never nearer than in the whole table.
 
 The candidates of all tables are scored exactly, in blocks of rows against at most
 ``BLOCK`` queries; each block passes on its best k. Where the vectors are spread out evenly, near
@@ -36,7 +37,7 @@ from folioline.session import ship_package, written
 TABLES = 2
 SLOTS = 4
 TARGET = 0.96
-#: Rows of the sample that gives R.
+#: Rows of the sample that gives the k-th neighbour's cosine.
 SAMPLE = 4000
 #: Rows wanted in a bucket.
 OCCUPANCY = 200
@@ -48,10 +49,11 @@ _normal = np.vectorize(lambda x: 0.5 * (1.0 + erf(x / 2**0.5)), otypes=[np.float
 class Hashing:
     """The functions of all tables for vectors of a dimension and a largest norm."""
 
-    def __init__(self, dimensions: int, norm: float, rows: int, radius: float):
+    def __init__(self, dimensions: int, norm: float, rows: int, cosine: float):
         wanted = max(1.0, rows / OCCUPANCY)
         self.functions = int(np.clip(np.ceil(np.log(wanted) / np.log(SLOTS)), 2, 7))
-        self.norm, self.radius = norm, max(radius, 1e-9 * norm)
+        self.norm = norm
+        self.cosines = (cosine, (1 + cosine) / 2, 0.98)
         self.width = 3.0 * norm / SLOTS
         rng = np.random.default_rng(97)
         self.lines = rng.standard_normal((TABLES, self.functions, dimensions + 1))
@@ -64,45 +66,53 @@ class Hashing:
         rest = self.norm**2 - (vectors**2).sum(axis=1)
         extra = np.zeros(len(vectors)) if is_query else np.sqrt(np.maximum(rest, 0.0))
         wide = np.concatenate([vectors, extra[:, None]], axis=1)
-        return self.lines @ wide.T + self.shift[:, :, None]
+        return self.lines @ wide.T
 
     def buckets(self, vectors: np.ndarray) -> np.ndarray:
         """(table, row): each row's bucket."""
-        slots = np.searchsorted(self.borders, self.project(vectors, is_query=False).ravel(), side="right")
+        slots = np.searchsorted(
+            self.borders, (self.project(vectors, is_query=False) + self.shift[:, :, None]).ravel(), side="right"
+        )
         slots = slots.reshape(TABLES, self.functions, len(vectors))
         return (slots * SLOTS ** np.arange(self.functions)[None, :, None]).sum(axis=1)
 
     def probes(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each table (query row, bucket) in the order of visits."""
-        at = self.project(queries, is_query=True)
+        at = self.project(queries, is_query=True) * self.norm / np.linalg.norm(queries, axis=1)
         share = 1.0 - (1.0 - TARGET) ** (1.0 / TABLES)
         found = []
         for table in range(TABLES):
-            chance = np.ones((len(queries), 1))
-            for f in range(self.functions):
-                upto = _normal((self.borders[None, :] - at[table, f][:, None]) / self.radius)
-                slot = np.diff(np.concatenate([np.zeros((len(queries), 1)), upto, np.ones((len(queries), 1))], axis=1), axis=1)
-                # The first function is the lowest digit of the bucket's number.
-                chance = (slot[:, :, None] * chance[:, None, :]).reshape(len(queries), -1)
-            order = np.argsort(-chance, axis=1, kind="stable")
-            reached = np.cumsum(np.take_along_axis(chance, order, axis=1), axis=1)
-            visits = (reached < share).sum(axis=1) + 1
+            chances = [self._chance(at[table], table, c) for c in self.cosines]
+            order = np.argsort(-sum(chances), axis=1, kind="stable")
+            reached = np.min([np.cumsum(np.take_along_axis(c, order, axis=1), axis=1) for c in chances], axis=0)
+            visits = np.minimum((reached < share).sum(axis=1) + 1, order.shape[1])
             row, nth = np.nonzero(np.arange(order.shape[1])[None, :] < visits[:, None])
             found.append((row, order[row, nth]))
         return found
 
-
-def _radius(drawn: np.ndarray, norm: float, k: int) -> float:
-    """Distance, in the space with the further component, within which the k-th neighbour lies."""
+    def _chance(self, at: np.ndarray, table: int, cosine: float) -> np.ndarray:
+        """(query, bucket): the probability that a neighbour of this cosine is there."""
+        spread = self.norm * max(1e-6, (1 - cosine**2) ** 0.5)
+        chance = np.ones((at.shape[1], 1))
+        for f in range(self.functions):
+            place = cosine * at[f] + self.shift[table, f]
+            upto = _normal((self.borders[None, :] - place[:, None]) / spread)
+            slot = np.diff(upto, axis=1, prepend=0.0, append=1.0)
+            # The first function is the lowest digit of the bucket's number.
+            chance = (slot[:, :, None] * chance[:, None, :]).reshape(at.shape[1], -1)
+        return chance
+
+
+def _cosine(drawn: np.ndarray, norm: float, k: int) -> float:
+    """Cosine, with the further component, that the k-th neighbours of three in four queries reach."""
     if len(drawn) < 2:
-        return norm
+        return 0.0
     queries = drawn[:400]
     scores = queries @ drawn.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    kth = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-    kth = np.where(np.isfinite(kth), kth, scores.max(axis=1))
-    squared = norm**2 + (queries**2).sum(axis=1) - 2 * kth
-    return float(np.sqrt(np.maximum(np.quantile(squared, 0.75), 0.0)))
+    at = max(1, scores.shape[1] - k)
+    kth = np.partition(scores, at, axis=1)[:, at]
+    return float(np.clip(np.quantile(kth / np.linalg.norm(queries, axis=1) / norm, 0.25), 0.0, 0.98))
 
 
 _ROWS = "table_no int, bucket long, block int, is_row int, vec_id long, vector binary"
@@ -213,7 +223,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     drawn = sample(vectors, SAMPLE, dimensions) if size else np.zeros((0, 0))
     norms = vectors.mapInArrow(_norm_rows(dimensions), "norm double, n long").agg(F.max("norm"), F.sum("n")).first()
     norm, count = norms[0] or 1.0, norms[1] or 0
-    hashing = Hashing(dimensions, norm, count, _radius(drawn, norm, k))
+    hashing = Hashing(dimensions, norm, count, _cosine(drawn, norm, k))
     queries = vectors.where(is_query)
     blocks = max(1, -(-queries.count() // BLOCK))
     dealt = vectors.mapInArrow(_bucket_rows(hashing, dimensions, blocks, queries=False), _ROWS).unionByName(
