@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioline.llm import language_id, mixing, neighbours, packing, shingle_join, substring_dedup
+from folioline.llm import embedding_dedup, language_id, mixing, neighbours, packing, shingle_join, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -121,6 +121,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER, ranks_path=RANKS)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
@@ -128,6 +132,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": _mix_sql(),
