@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioline.llm import embedding_dedup, language_id, main_text, mixing, neighbours, packing, shingle_join, substring_dedup
+from folioline.llm import embedding_dedup, language_id, main_text, mixing, neighbours, packing, quality, shingle_join, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -129,6 +129,11 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
@@ -138,6 +143,7 @@ QUERIES = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": _mix_sql(),
