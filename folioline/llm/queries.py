@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioline.llm import embedding_dedup, language_id, main_text, mixing, neighbours, packing, quality, shingle_join, substring_dedup
+from folioline.llm import capture_index, embedding_dedup, language_id, main_text, mixing, neighbours, packing, quality, shingle_join, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no time of capture: a page a second, in the order of ids.
+    pages = table(spark, sf_dir, "pages").withColumn("seconds", F.col("page_id") + 1_704_067_200)
+    index = capture_index.capture_index(capture_index.write_archives(pages))
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp"
+    )
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_classes(table(spark, sf_dir, "documents"), percent=90, width=3)
 
@@ -135,6 +144,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
