@@ -17,11 +17,13 @@ def accept_repeated_keys(spark: SparkSession) -> None:
 def parse_whole(text: Column) -> Column:
     """Variant of a text that is one JSON value and nothing else, or null.
 
-    The parser alone stops after the first value; inside brackets a rest shows up as an
-    error or as a second element.
+    The parser alone stops after the first value. Inside brackets a rest shows up as an
+    error or as a second element, unless it closes the bracket itself; the same rest is then
+    an error inside braces, which it does not close.
     """
     boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull() & named.isNotNull()
     return F.when(alone, F.try_variant_get(boxed, "$[0]", "variant"))
 
 

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,9 +31,18 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(f"(?U)[^\\s\\x1c-\\x1f]")
 
 
+# The characters of _SPACE one by one, for the cheaper translate.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def visible_chars(text: Column) -> Column:
     """Number of characters that are not white space."""
-    return F.char_length(F.regexp_replace(text, f"(?U){_SPACE}+", ""))
+    return F.char_length(F.translate(text, _SPACES, ""))
+
+
+def number_text(text: Column) -> Column:
+    """The text unless it ends in a Java type suffix, as in "90d", which a cast would read."""
+    return F.when(~text.rlike(r"(?i)[0-9.][df]\s*$"), text)
 
 
 def clean_value(value: Column, kind: Column) -> Column:
@@ -46,11 +55,29 @@ def blank_to_null(value: Column, kind: Column) -> Column:
     return F.when(~((kind == "STRING") & is_blank(value)), value)
 
 
+class _Spelling(dict):
+    """What each character becomes: itself, its confusable's spelling, a space or nothing.
+
+    Letters and numbers (categories L and N) stay, separators and control spaces divide words,
+    everything else, combining marks included, disappears. Filled as characters turn up.
+    """
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        group = unicodedata.category(char)[0]
+        divides = group == "Z" or char in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
+        made = CONFUSABLES.get(char) or (char if group in "LN" else " " if divides else "")
+        self[code] = made
+        return made
+
+
+_SPELLING = _Spelling()
+
+
 def normalize_text(text: str) -> str:
-    """Lower case, compatibility decomposition, confusables, letters and digits only."""
-    folded = unicodedata.normalize("NFKD", text.lower()).translate(str.maketrans(CONFUSABLES))
-    kept = "".join(c if c.isalnum() else " " if c.isspace() else "" for c in folded)
-    return " ".join(kept.split())
+    """Lower case in compatibility form, spelled with letters and digits, one space between."""
+    decomposed = unicodedata.normalize("NFKD", text.lower())
+    return " ".join(decomposed.translate(_SPELLING).split())
 
 
 def _translate_table() -> tuple[str, str, str]:
@@ -58,9 +85,7 @@ def _translate_table() -> tuple[str, str, str]:
     same, changed, dropped, other = [], [], [], []
     for code in range(_TRANSLATE_LIMIT):
         char = chr(code)
-        folded = unicodedata.normalize("NFKD", char.lower())
-        folded = "".join(CONFUSABLES.get(c, c) for c in folded)
-        kept = "".join(c if c.isalnum() else " " if c.isspace() else "" for c in folded)
+        kept = unicodedata.normalize("NFKD", char.lower()).translate(_SPELLING)
         if len(kept) > 1 or len(char.lower()) > 1:
             other.append(char)
         elif not kept:
@@ -100,23 +125,3 @@ def normalize_column(df: DataFrame, text: str, name: str) -> DataFrame:
 def similarity(first: str, second: str) -> float:
     """Ratcliff-Obershelp ratio; not symmetric, the wanted text comes first."""
     return SequenceMatcher(None, first, second).ratio()
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else similarity(a, b) for a, b in zip(first, second)],
-        dtype="float64",
-    )
-
-
-@F.pandas_udf(T.StringType())
-def nfkd_normalize(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
-
-
-def register_functions(spark: SparkSession) -> None:
-    """Make the Python functions callable from SQL."""
-    spark.udf.register("sequence_ratio", sequence_ratio)
-    spark.udf.register("nfkd_normalize", nfkd_normalize)
-    spark.udf.register("normalize_marker_text", _normalize_udf)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioline.functions.rounding import mean_of_tenths, round_binary
-from folioline.functions.text import visible_chars
+from folioline.functions.text import number_text, visible_chars
 
 PAGE = ["document", "page"]
 
@@ -38,9 +38,7 @@ def quality_tier(
 
 def parse_confidence(conf: Column) -> Column:
     """Confidence text as a number in 0..100, NaN kept; null when unusable."""
-    text = conf.cast("string")
-    # The cast would also read Java's type suffixes, as in "90d".
-    number = F.when(~text.rlike(r"(?i)[0-9.][df]\s*$"), text).try_cast("double")
+    number = number_text(conf.cast("string")).try_cast("double")
     clipped = F.when(F.isnan(number), number).otherwise(F.least(number, F.lit(100.0)))
     return F.when(number >= 0, clipped)
 
@@ -78,6 +76,61 @@ def page_quality(
         F.sum(F.when(readable, chars)).alias("readable_chars"),
         F.sum(F.when(readable, F.col("confidence") * chars)).alias("weighted"),
     )
+    return _scored(pages.join(sums, PAGE, "left"), pages.columns, clear_above, blurry_from)
+
+
+def page_quality_of_arrays(
+    pages: DataFrame,
+    text: str = "text",
+    conf: str = "conf",
+    clear_above: float = CLEAR_ABOVE,
+    blurry_from: float = BLURRY_FROM,
+) -> DataFrame:
+    """``page_quality`` where each page's row holds its words and confidences as arrays.
+
+    The sums are made within the row: nothing is exploded or shuffled.
+    """
+    pairs = F.arrays_zip(F.col(text).alias("text"), F.col(conf).alias("conf"))
+    sized = F.transform(
+        pairs,
+        lambda w: F.struct(
+            visible_chars(F.coalesce(w.text, F.lit(""))).alias("chars"),
+            number_text(w.conf.cast("string")).try_cast("double").alias("number"),
+        ),
+    )
+    countable = F.transform(
+        F.filter(sized, lambda w: (w.chars > 0) & (w.number >= 0)),
+        lambda w: F.struct(
+            w.chars.cast("bigint").alias("chars"),
+            F.when(F.isnan(w.number), F.lit(-1.0)).otherwise(F.least(w.number, F.lit(100.0))).alias("confidence"),
+        ),
+    )
+
+    def add(sums: Column, word: Column) -> Column:
+        chars = F.when(word.confidence >= READABLE_CONFIDENCE, word.chars).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(
+            (sums.words + 1).alias("words"),
+            (sums.all_chars + word.chars).alias("all_chars"),
+            (sums.readable_words + F.when(chars > 0, 1).otherwise(0)).alias("readable_words"),
+            (sums.readable_chars + chars).alias("readable_chars"),
+            (sums.weighted + word.confidence * chars).alias("weighted"),
+        )
+
+    zero = F.lit(0).cast("bigint")
+    names = ["words", "all_chars", "readable_words", "readable_chars"]
+    start = F.struct(*[zero.alias(n) for n in names], F.lit(0.0).alias("weighted"))
+    kept = [c for c in pages.columns if c not in (text, conf)]
+    summed = pages.select(*kept, F.aggregate(countable, start, add).alias("_sums"))
+    sums = [F.nullif(f"_sums.{n}", zero).alias(n) for n in names]
+    return _scored(
+        summed.select(*kept, *sums, F.col("_sums.weighted").alias("weighted")), kept, clear_above, blurry_from
+    )
+
+
+def _scored(
+    sums: DataFrame, columns: list[str], clear_above: float, blurry_from: float
+) -> DataFrame:
+    """Score, tier and metrics from the sums of each page, null where it has no words."""
     mean = F.coalesce(F.col("weighted") / F.col("readable_chars"), F.lit(0.0))
     coverage = F.least(F.lit(1.0), F.col("readable_chars") / F.lit(FULL_COVERAGE_CHARS))
     raw = F.coalesce(F.col("mean") * coverage, F.lit(0.0))
@@ -86,12 +139,11 @@ def page_quality(
         return F.coalesce(F.col(name), F.lit(0)).cast("double")
 
     scored = (
-        pages.join(sums, PAGE, "left")
-        .withColumn("mean", mean)
+        sums.withColumn("mean", mean)
         .withColumn("quality_score", round_binary(F.least(raw, F.lit(100.0))))
     )
     return scored.select(
-        *pages.columns,
+        *columns,
         "quality_score",
         quality_tier(F.col("quality_score"), clear_above, blurry_from).alias("quality_tier"),
         F.col("quality_score").alias("ocr_confidence"),

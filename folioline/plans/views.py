@@ -40,6 +40,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR words in long form, keyed by text id."""
+    return ocr_words(word_arrays(spark, sf_dir))
+
+
+def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR words keyed by text id: the page number is looked up after they are counted."""
     texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("doc_id") * 37 % 101 - 20
@@ -54,7 +59,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("page"),
         F.split("text", "[ \t\r\n]+").alias("text"),
     ).withColumn("doc_id", F.col("page"))
-    return ocr_words(arrays.withColumn("conf", F.transform("text", conf)))
+    return arrays.withColumn("conf", F.transform("text", conf)).drop("doc_id")
 
 
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +264,8 @@ def _place() -> tuple[Column, Column, Column]:
     key = F.col("page_id")
     bucket = F.get(F.array(*[F.lit(b) for b in BUCKETS]), (key % 4).cast("int"))
     nested = (key % 4 != 0) & (F.floor(key / 4) % 2 == 0)
-    folder = F.when(nested, F.concat(F.lit("d"), F.floor(key / 20).cast("string"))).otherwise("")
+    deeper = F.when(key % 11 == 0, "/inner").otherwise("")
+    folder = F.when(nested, F.concat(F.lit("d"), F.floor(key / 20).cast("string"), deeper)).otherwise("")
     return bucket, folder, F.concat(F.lit("p"), key.cast("string"))
 
 
@@ -323,7 +329,8 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = (
         F.when(key % 6 == 0, F.concat(F.lit("scan/"), number, F.lit(".pdf")))
         .when(key % 6 == 1, F.concat(number, F.lit(".PDF")))
-        .when(key % 6 == 2, "..")
+        .when(key % 12 == 2, "..")
+        .when(key % 12 == 8, F.when(key % 24 == 8, ".").otherwise("./."))
         .when(key % 6 == 3, F.concat(number, F.lit(".txt")))
         .when(key % 6 == 4, F.concat(F.lit("a/b/"), number, F.lit(".pdf/")))
         .otherwise(F.concat(F.lit("a/../"), number))

@@ -84,3 +84,20 @@ def test_nan_confidence_is_kept_but_not_readable(spark):
     df = spark.createDataFrame([("NaN",), ("inf",)], "c string")
     got = [r.p for r in df.select(quality.parse_confidence(F.col("c")).alias("p")).collect()]
     assert math.isnan(got[0]) and got[1] == 100.0
+
+
+def test_arrays_give_the_same_as_long_words(spark):
+    from folioline.sources.files import ocr_words
+
+    rows = [
+        ("d", 1, ["a", "  ", "bcd", None, "ef"], ["90", "80", "NaN", "50", "29.9"]),
+        ("d", 2, [], []), ("d", 3, None, None), ("d", 4, ["x", "yy"], ["90d", "-1"]),
+        ("d", 5, ["long word " * 20, "b"], ["150", "30"]), ("d", 6, ["a", "b"], ["10"]),
+    ]
+    arrays = spark.createDataFrame(rows, "document string, page int, text array<string>, conf array<string>")
+    pages = arrays.select("document", "page")
+    long = quality.page_quality(pages, ocr_words(arrays))
+    wide = quality.page_quality_of_arrays(arrays)
+    assert wide.columns == long.columns
+    assert wide.orderBy("page").collect() == long.orderBy("page").collect()
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
