@@ -1,8 +1,9 @@
 """Consecutive pages with the same helper value become one document.
 
-The scan along a document's pages is done in two levels so that a document of any
-length is spread over many tasks: blocks of pages are scanned on their own, and one
-row per block carries the neighbouring values and run counts across block borders.
+Ordinary documents are scanned along their pages with window functions, after one shuffle
+by document. Documents of very many pages are spread over many tasks: blocks of pages are
+scanned on their own, and one row per block carries the neighbouring values and run counts
+across block borders.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioline.operators.numbering import number_rows
+from folioline.operators.numbering import HOT_ROWS, hot_keys, number_rows
 from folioline.session import written
 
 BLOCK_PAGES = 4096
@@ -21,12 +22,52 @@ REVIEW_REASON = (
 )
 
 
-def group_pages(values: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+def group_pages(
+    values: DataFrame, block_pages: int = BLOCK_PAGES, hot_pages: int = HOT_ROWS
+) -> DataFrame:
     """``(document, page, value)`` to ``(document, page, value, segment, document_index)``.
 
     ``value`` is the cleaned helper value, null when missing. ``document_index`` numbers
     the kept runs 1, 2, ... in page order and is null for pages that go to review.
+    Documents of more than ``hot_pages`` pages are scanned in blocks.
     """
+    values = values.select("document", "page", "value")
+    hot = hot_keys(values, ["document"], hot_pages)
+    if hot is None:
+        return _group_whole(values)
+    ordinary = _group_whole(values.join(hot, "document", "left_anti"))
+    return ordinary.unionByName(
+        _group_by_blocks(values.join(hot, "document", "left_semi"), block_pages)
+    )
+
+
+def _group_whole(values: DataFrame) -> DataFrame:
+    """All windows are within a document, so that its pages are shuffled once."""
+    in_page_order = "OVER (PARTITION BY document ORDER BY page)"
+    so_far = f"{in_page_order[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    near = values.selectExpr(
+        "*",
+        f"lag(value) IGNORE NULLS {in_page_order} AS before",
+        f"lead(value) IGNORE NULLS {in_page_order} AS after",
+    ).withColumn("start", F.expr("value IS NOT NULL AND value IS DISTINCT FROM before"))
+    runs = near.withColumn("run", F.expr(f"sum(int(start)) {so_far}"))
+    # A value keeps its first run; the runs kept are numbered in page order.
+    first = runs.withColumn(
+        "kept", F.expr("run = min(run) OVER (PARTITION BY document, value)")
+    ).withColumn("number", F.expr(f"sum(int(start AND kept)) {so_far}"))
+    inside = F.expr("value IS NOT NULL OR before <=> after AND before IS NOT NULL")
+    # Pages without value take over whether the run they are in was kept.
+    run_kept = F.expr(f"last(if(value IS NOT NULL, kept, NULL)) IGNORE NULLS {so_far}")
+    return first.withColumn("run_kept", run_kept).select(
+        "document",
+        "page",
+        "value",
+        F.when(inside, F.col("run")).alias("segment"),
+        F.when(inside & F.col("run_kept"), F.col("number")).alias("document_index"),
+    )
+
+
+def _group_by_blocks(values: DataFrame, block_pages: int) -> DataFrame:
     block = ["document", "block"]
     rows = values.select(
         "document", "page", "value", F.floor(F.col("page") / block_pages).alias("block")

@@ -1,10 +1,10 @@
 """Row numbers that do not pull one key into one task.
 
-A plain ``row_number() over (partition by key)`` sorts all rows of a key in one task.
-That is right for ordinary keys. The rows of a key with more than ``HOT_ROWS`` of them are
-cut into blocks by an expression that rises with the wanted order; they are numbered
-inside a block, and a running total over the much smaller table of block sizes gives each
-block its start.
+``row_number() over (partition by key)`` sorts all rows of a key in one task. That is right
+for ordinary keys, and where no key has more than ``HOT_ROWS`` rows it is the whole plan. The
+rows of larger keys are cut into blocks by an expression that rises with the wanted order;
+they are numbered inside a block, and a running total over the much smaller table of block
+sizes gives each block its start.
 """
 
 from __future__ import annotations
@@ -12,11 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# One task sorts this many narrow rows without trouble. It also bounds the broadcast list
-# of hot keys: N rows have at most N / HOT_ROWS of them, a million for 10^12 rows.
+# One task sorts this many narrow rows without trouble.
 HOT_ROWS = 1_000_000
 
 
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or None without any.
+
+    The look reads the key columns alone and runs at once; counts combine map-side.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.filter(F.col("_rows") > hot_rows).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
 def number_rows(
     df: DataFrame,
     keys: list[str],
@@ -30,31 +39,47 @@ def number_rows(
 
     ``block`` must be non-decreasing along ``order``. Keys must not be null.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    rows = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_block", F.when(F.col("_hot"), block).otherwise(0)
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return _number_within(df, keys, order, name, total)
+    ordinary = _number_within(df.join(hot, keys, "left_anti"), keys, order, name, total)
+    return ordinary.unionByName(
+        _number_by_blocks(df.join(hot, keys, "left_semi"), keys, order, block, name, total)
     )
+
+
+def _number_within(
+    df: DataFrame, keys: list[str], order: list[str | Column], name: str, total: str | None
+) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    numbered = df.withColumn(name, F.row_number().over(whole.orderBy(*order)).cast("bigint"))
+    return numbered.withColumn(total, F.count(F.lit(1)).over(whole)) if total else numbered
+
+
+def _number_by_blocks(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str | Column],
+    block: Column,
+    name: str,
+    total: str | None,
+) -> DataFrame:
+    rows = df.withColumn("_block", block)
     group = [*keys, "_block"]
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    sizes = rows.filter("_hot").groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select(
         *group,
-        F.sum("_size").over(earlier).alias("_start"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
         F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    inside = Window.partitionBy(*group)
-    numbered = rows.withColumn("_inside", F.row_number().over(inside.orderBy(*order)))
-    if total:
-        numbered = numbered.withColumn("_size", F.count(F.lit(1)).over(inside))
-    numbered = numbered.join(starts, group, "left").withColumn(
-        name, F.coalesce("_start", F.lit(0)) + F.col("_inside")
-    )
+    numbered = _number_within(rows, group, order, "_inside", None).join(starts, group)
+    numbered = numbered.withColumn(name, F.col("_start") + F.col("_inside"))
     if total:
-        numbered = numbered.withColumn(total, F.coalesce("_total", "_size")).drop("_size")
-    return numbered.drop("_block", "_start", "_inside", "_hot", "_total")
+        numbered = numbered.withColumn(total, F.col("_total"))
+    return numbered.drop("_block", "_start", "_inside", "_total")
 
 
 def running_total(

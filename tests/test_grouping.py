@@ -1,4 +1,5 @@
 import random
+from itertools import product
 
 import pytest
 
@@ -7,63 +8,47 @@ from folioline.operators import grouping
 SCHEMA = "document string, page int, value string"
 
 
-def expected(values):
-    """Page lists of the documents and the review pages, walking page by page."""
-    runs, waiting, review = [], [], set()
-    for page in sorted(values):
+def check_rules(values, index):
+    """``values`` and ``index`` by page; each rule is stated on its own."""
+    pages = sorted(values)
+    valued = [p for p in pages if values[p] is not None]
+    for page in pages:
         value = values[page]
-        if value is None:
-            waiting.append(page)
-            continue
-        if runs and runs[-1][0] == value:
-            runs[-1][1].extend([*waiting, page])
+        if value is not None:
+            # Only the first unbroken stretch of a value is a document.
+            first = next(p for p in valued if values[p] == value)
+            broken = any(values[p] != value for p in valued if first < p < page)
+            assert (index[page] is None) == broken
         else:
-            review.update(waiting)
-            runs.append((value, [page]))
-        waiting = []
-    review.update(waiting)
-    documents, seen = [], set()
-    for value, pages in runs:
-        if value in seen:
-            review.update(pages)
-        else:
-            seen.add(value)
-            documents.append(pages)
-    return documents, review
+            # A page without value belongs where both neighbours with one agree.
+            left = [p for p in valued if p < page][-1:]
+            right = [p for p in valued if p > page][:1]
+            agree = bool(left and right) and values[left[0]] == values[right[0]]
+            assert index[page] == (index[left[0]] if agree else None)
+    placed = [p for p in valued if index[p] is not None]
+    # One document per value, numbered in the order of their first pages.
+    assert len({(values[p], index[p]) for p in placed}) == len({values[p] for p in placed})
+    assert list(dict.fromkeys(index[p] for p in placed)) == list(range(1, len({index[p] for p in placed}) + 1))
 
 
 def grouped(spark, values, block_pages=1024):
     rows = [(d, p, v) for (d, p), v in values.items()]
-    got = grouping.group_pages(spark.createDataFrame(rows, SCHEMA), block_pages).collect()
+    hot = {} if block_pages == 1024 else {"hot_pages": 3}
+    got = grouping.group_pages(spark.createDataFrame(rows, SCHEMA), block_pages, **hot).collect()
     assert len(got) == len(rows)
     result = {}
     for row in got:
-        documents, review = result.setdefault(row.document, ({}, set()))
-        if row.document_index is None:
-            review.add(row.page)
-        else:
-            documents.setdefault(row.document_index, []).append(row.page)
-    return {
-        d: ([sorted(docs[i]) for i in sorted(docs)], review, sorted(docs))
-        for d, (docs, review) in result.items()
-    }
-
-
-CASES = [
-    ["123", "123", "456", "2468", "2468", "2468"], [None, "1", "1"], ["1", "1", None],
-    ["1", None, "1"], ["1", None, "4"], ["1", None, None, "4"], ["1", "4", "1"],
-    ["1", "4", "4", "1", "1"], [None, None], ["1", None, "4", None, "1"],
-    ["1", "4", None, "4", "1", None, "1"], [None],
-]
+        result.setdefault(row.document, {})[row.page] = row.document_index
+    return result
 
 
 @pytest.mark.parametrize("block_pages", [2, 1024])
-def test_rules(spark, block_pages):
-    values = {(f"d{i}", p): v for i, case in enumerate(CASES) for p, v in enumerate(case, 1)}
+def test_all_short_sequences(spark, block_pages):
+    cases = [case for size in range(1, 7) for case in product([None, "a", "b"], repeat=size)]
+    values = {(f"d{i}", p): v for i, case in enumerate(cases) for p, v in enumerate(case, 1)}
     got = grouped(spark, values, block_pages)
-    for i, case in enumerate(CASES):
-        documents, review = expected(dict(enumerate(case, 1)))
-        assert got[f"d{i}"] == (documents, review, list(range(1, len(documents) + 1))), case
+    for i, case in enumerate(cases):
+        check_rules(dict(enumerate(case, 1)), got[f"d{i}"])
 
 
 @pytest.mark.parametrize("block_pages", [3, 7])
@@ -76,8 +61,7 @@ def test_random_pages_in_small_blocks(spark, block_pages):
             values[f"d{d}", page] = random.choice(["a", "a", "b", "c", None, None])
     got = grouped(spark, values, block_pages)
     for d in range(40):
-        documents, review = expected({p: v for (k, p), v in values.items() if k == f"d{d}"})
-        assert got[f"d{d}"][:2] == (documents, review)
+        check_rules({p: v for (k, p), v in values.items() if k == f"d{d}"}, got[f"d{d}"])
 
 
 def test_one_file_with_nearly_all_pages(spark):
@@ -90,7 +74,7 @@ def test_one_file_with_nearly_all_pages(spark):
         .otherwise(F.floor(F.col("id") / 50).cast("string"))
         .alias("value"),
     )
-    got = grouping.group_pages(pages, 256)
+    got = grouping.group_pages(pages, 256, hot_pages=20000)
     assert got.count() == 30000
     assert got.agg(F.max("document_index")).first()[0] == 601
     wrong = got.filter(
