@@ -8,9 +8,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 CALL_FIELDS = [
     T.StructField("raw_response", T.StringType()),
@@ -47,16 +48,32 @@ def run_inference(
         seconds = round(time.perf_counter() - started, 2)
         return (*outcome, seconds, failure is None, failure)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = None
-        for frame in frames:
+        for batch in incoming:
             if client is None:
                 client = make_client()
-            rows = [one(client, m, r) for m, r in zip(frame["model"], frame["request"])]
-            calls = pd.DataFrame(rows, columns=[f.name for f in CALL_FIELDS], index=frame.index)
-            yield pd.concat([frame.drop(columns="request"), calls], axis=1)
+            pairs = zip(batch["model"].to_pylist(), batch["request"].to_pylist(), strict=True)
+            yield _with_columns(batch, "request", [one(client, m, r) for m, r in pairs], CALL_FIELDS)
 
-    return requests.mapInPandas(batches, schema)
+    return requests.mapInArrow(batches, schema)
+
+
+def _with_columns(
+    batch: pa.RecordBatch, dropped: str, rows: list[tuple], fields: list[T.StructField]
+) -> pa.RecordBatch:
+    """The batch without one column, and the rows' values as further ones.
+
+    The other columns stay Arrow arrays, so that keys keep their exact values.
+    """
+    kept = [name for name in batch.schema.names if name != dropped]
+    values = list(zip(*rows, strict=True)) or [()] * len(fields)
+    made = [
+        pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(values, fields, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(
+        [*[batch[name] for name in kept], *made], names=[*kept, *[f.name for f in fields]]
+    )
 
 
 def apply_media(
@@ -74,19 +91,19 @@ def apply_media(
     keep = [f for f in pages.schema.fields if f.name != image]
     names = [f.name for f in outputs.fields]
 
-    def one(function, content: bytes) -> dict:
+    def one(function, content: bytes | None) -> tuple:
         try:
-            return function(content)
+            made = function(bytes(content))
         except Exception:  # noqa: BLE001
-            return fallback
+            made = fallback
+        return tuple(made[name] for name in names)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = None
-        for frame in frames:
+        for batch in incoming:
             if function is None:
                 function = make_function()
-            rows = [one(function, bytes(content)) for content in frame[image]]
-            made = pd.DataFrame(rows, columns=names, index=frame.index)
-            yield pd.concat([frame.drop(columns=image), made], axis=1)
+            rows = [one(function, content) for content in batch[image].to_pylist()]
+            yield _with_columns(batch, image, rows, outputs.fields)
 
-    return pages.mapInPandas(batches, T.StructType(keep + outputs.fields))
+    return pages.mapInArrow(batches, T.StructType(keep + outputs.fields))

@@ -8,21 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioline.operators.cost import COSTS, TOKENS
+from folioline.session import written
 
 _MONEY = "decimal(38,12)"
 
 
 def process_new(
-    rows: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    rows: DataFrame,
+    operator: Callable[[DataFrame], DataFrame],
+    out: str,
+    checkpoint: str,
+    complete: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Run a batch operator over the unseen files of a stream, until none is left.
 
-    All pages of a document must arrive in one file, since grouping needs all of them.
-    A batch that is repeated after a failure overwrites its own folder.
+    Grouping needs all pages of a document. With ``complete``, which turns a table of rows
+    into (document, arrived, wanted), the rows of documents whose pages have not all arrived
+    wait in ``{out}/waiting`` for those of later runs; ``read_done`` leaves that folder out.
+    A batch that is repeated after a failure overwrites its own folders.
     """
+    spark = rows.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        operator(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if complete is None:
+            operator(batch).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
+            return
+        earlier = f"{out}/waiting/batch={batch_id - 1}"
+        if batch_id:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(earlier))
+        whole = written(batch, "arrived")
+        ready = complete(whole).where("arrived >= wanted").select("document")
+        operator(whole.join(ready, "document", "left_semi")).write.mode("overwrite").parquet(
+            f"{out}/done/batch={batch_id}"
+        )
+        whole.join(ready, "document", "left_anti").write.mode("overwrite").parquet(
+            f"{out}/waiting/batch={batch_id}"
+        )
 
     query = (
         rows.writeStream.foreachBatch(write)
@@ -33,6 +54,11 @@ def process_new(
     query.awaitTermination()
 
 
+def read_done(spark: SparkSession, out: str) -> DataFrame:
+    """What ``process_new`` has made of complete documents so far."""
+    return spark.read.parquet(f"{out}/done").drop("batch")
+
+
 def live_costs(priced: DataFrame) -> DataFrame:
     """Running totals by model; the state is one row per model."""
     return priced.groupBy("model").agg(
@@ -63,6 +89,9 @@ def refresh_costs(priced: DataFrame, out: str, checkpoint: str) -> None:
 
 def latest_costs(spark: SparkSession, out: str) -> DataFrame:
     """Totals of the last refresh."""
-    refreshes = spark.read.parquet(out)
-    last = refreshes.agg(F.max("batch").alias("batch"))
-    return refreshes.join(last, "batch").drop("batch")
+    # A folder per refresh: its name tells the last one, no earlier one is read.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    last = max(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+    return spark.read.parquet(f"{out}/batch={last}")

@@ -32,9 +32,16 @@ def test_media_function_falls_back(spark):
     def make():
         return lambda content: {"size": 10 // (len(content) - 1)}
 
-    df = spark.createDataFrame([(1, b"abc"), (2, b"a")], "page int, content binary")
+    large = 9007199254740993
+    df = spark.createDataFrame([(large, b"abc"), (2, b"a"), (None, b"abcd"), (4, None)], "page long, content binary")
     got = {r.page: r.size for r in inference.apply_media(df, make, outputs, {"size": 0}).collect()}
-    assert got == {1: 5, 2: 0}
+    assert got == {large: 5, 2: 0, None: 3, 4: 0}
+
+
+def test_inference_keeps_large_keys(spark):
+    df = spark.createDataFrame([(9007199254740993, "m", "x"), (None, "m", "y")], "id long, model string, request string")
+    got = inference.run_inference(df, lambda: lambda model, request: (request, 1, 1)).collect()
+    assert {r.id: r.raw_response for r in got} == {9007199254740993: "x", None: "y"}
 
 
 def test_raster_measures_by_hand(spark):

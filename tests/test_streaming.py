@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from folioline.operators.cost import price_calls
 from folioline.operators.grouping import group_pages
 from folioline.session import shared_dir
@@ -16,7 +18,7 @@ def test_each_file_is_taken_once(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         runs.process_new(stream, group_pages, f"{out}/pages", f"{out}/log")
-        return spark.read.parquet(f"{out}/pages")
+        return spark.read.parquet(f"{out}/pages/done")
 
     arrive("a", ["1", None, "1"])
     assert run().count() == 3
@@ -26,6 +28,24 @@ def test_each_file_is_taken_once(spark, tmp_path):
     assert run().count() == 5
 
 
+def test_documents_wait_for_their_pages(spark, tmp_path):
+    schema = "document string, page int, page_count int, value string"
+    out = shared_dir(spark, "test-waiting")
+
+    def complete(rows):
+        return rows.groupBy("document").agg(F.count("page").alias("arrived"), F.max("page_count").alias("wanted"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        runs.process_new(stream, group_pages, f"{out}/pages", f"{out}/log", complete)
+        return {(r.document, r.page): r.document_index for r in runs.read_done(spark, f"{out}/pages").collect()}
+
+    assert run([("a", 1, 3, "x"), ("b", 1, 1, "y")]) == {("b", 1): 1}
+    assert run([("a", 3, 3, "z")]) == {("b", 1): 1}
+    assert run([("a", 2, 3, "x")]) == {("b", 1): 1, ("a", 1): 1, ("a", 2): 1, ("a", 3): 2}
+
+
 def test_costs_refresh(spark, tmp_path):
     schema = "model string, input_tokens long, output_tokens long"
     out = shared_dir(spark, "test-costs")
