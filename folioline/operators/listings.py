@@ -65,11 +65,12 @@ def ordered_listing(listing: DataFrame) -> DataFrame:
 
 
 def cost_sources(records: DataFrame) -> DataFrame:
-    """Records the cost tracker reads: all of output, those of review with a cost."""
+    """Records the cost tracker reads: output's one folder down, review's with a cost."""
     accept_repeated_keys(records.sparkSession)
     is_object = kind_of_text(F.col("record")) == "OBJECT"
     readable = records.filter(is_object & (F.size(F.json_object_keys("record")) > 0))
-    output = readable.filter((F.col("bucket") == "output") & (F.col("folder") != ""))
+    one_down = (F.col("folder") != "") & ~F.col("folder").contains("/")
+    output = readable.filter((F.col("bucket") == "output") & one_down)
     review = readable.filter(
         (F.col("bucket") == "review")
         & (F.col("folder") == "")
@@ -79,10 +80,18 @@ def cost_sources(records: DataFrame) -> DataFrame:
 
 
 def record_lookup(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """One record per request ``(bucket, stem)``; ``found`` is false when there is none."""
+    """One record per request ``(bucket, stem)``; ``found`` is false when there is none.
+
+    ``status`` tells a missing record from a name that is no bare file name.
+    """
     top = records.filter(F.col("folder") == "").select("bucket", "stem", "record")
-    return requests.join(top, ["bucket", "stem"], "left").withColumn(
-        "found", F.col("record").isNotNull()
+    safe = is_safe_name(F.col("stem"))
+    looked_up = requests.join(top, ["bucket", "stem"], "left").withColumn(
+        "record", F.when(safe, F.col("record"))
+    )
+    found = F.col("record").isNotNull()
+    return looked_up.withColumn("found", found).withColumn(
+        "status", F.when(~safe, "invalid").when(found, "found").otherwise("not_found")
     )
 
 
@@ -168,6 +177,7 @@ def clear_counts(files: DataFrame, image_format: str = "png") -> DataFrame:
 def admit_uploads(uploads: DataFrame) -> DataFrame:
     """Bare name and status of each uploaded ``filename``; only PDF names are saved."""
     path = F.regexp_replace(F.coalesce("filename", F.lit("")), r"(/+\.?)+$", "")
+    path = F.regexp_replace(path, r"^\.$", "")
     name = F.regexp_extract(path, r"(?s)([^/]*)$", 1)
     named = uploads.withColumn("name", name)
     return named.withColumn(

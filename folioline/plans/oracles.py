@@ -107,7 +107,7 @@ _NORMALIZED = (
 
 
 def _gate_cte() -> str:
-    text = "left(CASE WHEN doc_id % 53 = 0 THEN ' ' || chr(10) ELSE text END, 15000)"
+    text = "CASE WHEN doc_id % 53 = 0 THEN ' ' || chr(10) ELSE text END"
     branches = "".join(
         f" WHEN contains(norm, ' {norm} ') THEN {_text(marker)}"
         for marker, norm in zip(
@@ -339,7 +339,8 @@ objects AS (
 
 _BUCKET = f"{_list(views.BUCKETS)}[page_id % 4 + 1]"
 _FOLDER = (
-    "CASE WHEN page_id % 4 <> 0 AND (page_id // 4) % 2 = 0 THEN 'd' || (page_id // 20) ELSE '' END"
+    "CASE WHEN page_id % 4 <> 0 AND (page_id // 4) % 2 = 0 THEN 'd' || (page_id // 20) "
+    "|| CASE WHEN page_id % 11 = 0 THEN '/inner' ELSE '' END ELSE '' END"
 )
 _STEM = "'p' || page_id"
 
@@ -374,7 +375,7 @@ matches AS (
   SELECT w.kind, w.bucket, w.target, f.folder, f.name FROM wanted w JOIN files f
   ON w.bucket = f.bucket AND NOT contains(w.target, '/') AND (
     (w.kind = 'input' AND f.folder = '' AND f.name = w.target) OR
-    (w.kind = 'document' AND f.folder = w.target) OR
+    (w.kind = 'document' AND split_part(f.folder, '/', 1) = w.target) OR
     (w.kind = 'page' AND f.folder = ''
        AND f.name IN (w.target || '.png', w.target || '.json'))))"""
 
@@ -694,12 +695,14 @@ WHERE f.bucket <> 'input' AND ((f.folder = '' AND f.name LIKE '%.png')
   OR (f.folder <> '' AND f.name LIKE '%.pdf'))""",
     "cost_sources": f"""WITH {_RECORDS}
 SELECT bucket, folder, stem, record FROM records
-WHERE page_id % 7 > 2 AND ((bucket = 'output' AND folder <> '')
+WHERE page_id % 7 > 2 AND ((bucket = 'output' AND folder <> '' AND position('/' IN folder) = 0)
   OR (bucket = 'review' AND folder = '' AND page_id % 7 < 5))""",
     "record_lookup": f"""WITH {_RECORDS}
-SELECT 'skip' AS bucket, 'p' || p.page_id AS stem, record, record IS NOT NULL AS found
+SELECT 'skip' AS bucket, CASE WHEN p.page_id % 13 = 0 THEN '../' ELSE '' END || 'p' || p.page_id AS stem,
+       record, record IS NOT NULL AS found,
+       CASE WHEN p.page_id % 13 = 0 THEN 'invalid' WHEN record IS NULL THEN 'not_found' ELSE 'found' END AS status
 FROM pages p LEFT JOIN records r
-ON r.bucket = 'skip' AND r.folder = '' AND r.stem = 'p' || p.page_id""",
+ON r.bucket = 'skip' AND r.folder = '' AND r.stem = 'p' || p.page_id AND p.page_id % 13 <> 0""",
     "delete_by_key": f"""WITH {_FILES}, {_REQUESTS},
 counts AS (SELECT kind, bucket, target, count(*) AS files FROM matches GROUP BY ALL)
 SELECT kind, bucket, target, coalesce(files, 0) AS files,
@@ -710,7 +713,7 @@ FROM wanted LEFT JOIN counts USING (kind, bucket, target)""",
 SELECT bucket, folder, name, size FROM files
 WHERE (bucket, folder, name) NOT IN (SELECT (bucket, folder, name) FROM matches)""",
     "clear_bucket": f"""WITH {_FILES}
-SELECT bucket, count(DISTINCT CASE WHEN folder <> '' THEN 'd:' || folder ELSE 'f:' || name END)
+SELECT bucket, count(DISTINCT CASE WHEN folder <> '' THEN 'd:' || split_part(folder, '/', 1) ELSE 'f:' || name END)
   AS removed FROM files
 WHERE folder <> '' OR lower(name) LIKE '%.pdf'
   OR (bucket <> 'input' AND (lower(name) LIKE '%.png' OR lower(name) LIKE '%.json'))
@@ -718,10 +721,12 @@ GROUP BY bucket""",
     "upload_admission": """WITH u AS (
   SELECT o_orderkey AS upload_id,
     CASE o_orderkey % 6 WHEN 0 THEN 'scan/' || o_orderkey || '.pdf' WHEN 1 THEN o_orderkey || '.PDF'
-      WHEN 2 THEN '..' WHEN 3 THEN o_orderkey || '.txt' WHEN 4 THEN 'a/b/' || o_orderkey || '.pdf/'
+      WHEN 2 THEN CASE o_orderkey % 24 WHEN 8 THEN '.' WHEN 20 THEN './.' ELSE '..' END
+      WHEN 3 THEN o_orderkey || '.txt' WHEN 4 THEN 'a/b/' || o_orderkey || '.pdf/'
       ELSE 'a/../' || o_orderkey END AS filename,
     CASE o_orderkey % 6 WHEN 0 THEN o_orderkey || '.pdf' WHEN 1 THEN o_orderkey || '.PDF'
-      WHEN 2 THEN '..' WHEN 3 THEN o_orderkey || '.txt' WHEN 4 THEN o_orderkey || '.pdf'
+      WHEN 2 THEN CASE WHEN o_orderkey % 12 = 8 THEN '' ELSE '..' END
+      WHEN 3 THEN o_orderkey || '.txt' WHEN 4 THEN o_orderkey || '.pdf'
       ELSE o_orderkey::VARCHAR END AS name
   FROM orders)
 SELECT upload_id, filename, name,
@@ -757,17 +762,6 @@ SELECT p_partkey,
        THEN round_even(w * (2048::DOUBLE / greatest(w, h)), 0)::INT ELSE w END AS width,
   CASE WHEN greatest(w, h) > 2048
        THEN round_even(h * (2048::DOUBLE / greatest(w, h)), 0)::INT ELSE h END AS height FROM s""",
-    "batch_inference_stub": """WITH c AS (SELECT *, length(text)::BIGINT AS n FROM conversations)
-SELECT conv_id, turn, role AS model,
-  CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN '' ELSE '{"chars":' || n || '}' END AS raw_response,
-  CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN 0 ELSE n END AS input_tokens,
-  CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN 0 ELSE 10 END::BIGINT AS output_tokens,
-  n % 7 <> 0 AS success,
-  CASE WHEN n % 7 = 0 THEN 'ValueError: no reply from ' || role END AS error FROM c""",
-    "media_function_stub": f"""WITH {_RASTER}
-SELECT vec_id, CASE WHEN max(gray) FILTER (position = 0) % 9 = 0 THEN 0 ELSE count(*) END AS bytes,
-  CASE WHEN max(gray) FILTER (position = 0) % 9 = 0 THEN 0 ELSE count(*) FILTER (gray < 128) END
-    AS dark FROM pixels GROUP BY vec_id""",
     "skew_angle": """WITH s AS (
   SELECT user_id::VARCHAR AS document, event_id % 3 + 1 AS page, event_id * 7 % 300 - 20 AS dx,
          event_id * 13 % 61 - 30 AS dy, greatest(50, (event_id % 3 * 400 + 900) // 20) AS need

@@ -10,7 +10,6 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioline.functions import labels
 from folioline.functions.text import clean_value, normalize_column
@@ -18,7 +17,6 @@ from folioline.operators import (
     cost,
     gate,
     grouping,
-    inference,
     listings,
     merge,
     quality,
@@ -50,7 +48,7 @@ def _joined(name: str) -> Column:
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.page_quality(views.text_keys(spark, sf_dir), views.words(spark, sf_dir))
+    return quality.page_quality_of_arrays(views.word_arrays(spark, sf_dir))
 
 
 def ocr_quality_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +184,9 @@ def price_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") / 2).alias("output_rate"),
     )
     side = F.when(number % 2 == 0, "INPUT").otherwise("OUTPUT")
-    value = F.when(number % 5 == 0, "not a number").otherwise((number % 40 / 8).cast("string"))
+    rate = (number % 40 / 8).cast("string")
+    value = F.when(number % 5 == 0, F.when(number % 2 == 0, "not a number").otherwise(F.concat(rate, F.lit("d"))))
+    value = F.coalesce(value, rate)
     settings = part.filter(number % 3 != 0).select(
         F.concat(F.lit("PRICE_"), side, F.lit("_"), cost.pricing_alias(name)).alias("name"),
         value.alias("value"),
@@ -420,7 +420,10 @@ def cost_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = views.table(spark, sf_dir, "pages").select(
-        F.lit("skip").alias("bucket"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("stem")
+        F.lit("skip").alias("bucket"),
+        F.concat(
+            F.when(F.col("page_id") % 13 == 0, "../").otherwise(""), F.lit("p"), F.col("page_id").cast("string")
+        ).alias("stem"),
     )
     return listings.record_lookup(views.record_texts(spark, sf_dir), wanted)
 
@@ -495,52 +498,6 @@ def downscale_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- caller-supplied functions ---------------------------------------------------------
-
-
-def _stub_client():
-    def call(model: str, request: str):
-        if len(request) % 7 == 0:
-            raise ValueError(f"no reply from {model}")
-        if len(request) % 5 == 0:
-            return None, None, None
-        return f'{{"chars":{len(request)}}}', len(request), 10
-
-    return call
-
-
-def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = views.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.col("role").alias("model"), F.col("text").alias("request")
-    )
-    return inference.run_inference(turns, _stub_client).drop("processing_time")
-
-
-def _stub_media(limit: int):
-    def make():
-        def measure(content: bytes) -> dict:
-            if content[0] % 9 == 0:
-                raise ValueError("unreadable image")
-            return {"bytes": len(content), "dark": sum(b < limit for b in content)}
-
-        return measure
-
-    return make
-
-
-def media_function_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hex_text = F.array_join(
-        F.transform("gray", lambda g: F.lpad(F.hex(g.cast("bigint")), 2, "0")), ""
-    )
-    images = views.rasters(spark, sf_dir).select(
-        F.col("page").alias("vec_id"), F.unhex(hex_text).alias("content")
-    )
-    outputs = T.StructType(
-        [T.StructField("bytes", T.LongType()), T.StructField("dark", T.LongType())]
-    )
-    return inference.apply_media(images, _stub_media(128), outputs, {"bytes": 0, "dark": 0})
-
-
 # --- rasters ---------------------------------------------------------------------------
 
 
@@ -622,7 +579,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs.process_new(
         _stream(spark, sf_dir, "lineitem"), operator, f"{out}/pages", f"{out}/log"
     )
-    return spark.read.parquet(f"{out}/pages").drop("batch")
+    return runs.read_done(spark, f"{out}/pages")
 
 
 def _shipped(query: Query) -> Query:
@@ -650,7 +607,6 @@ QUERIES: dict[str, Query] = {
         input_scan, bucket_listing, cost_sources, record_lookup,
         delete_by_key, delete_survivors, clear_bucket, upload_admission,
         template_names, template_normalise, prompt_text, model_requests, downscale_size,
-        batch_inference_stub, media_function_stub,
         skew_angle, luma, sharpness, otsu_threshold, enhancement_report,
         stream_costs, stream_ingest,
     )
