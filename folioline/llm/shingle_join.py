@@ -12,8 +12,8 @@ puts the same n-grams into very many documents; so no frequency table is needed.
 *Counts.* For each candidate pair the overlap is counted in each of four coarse fragments
 separately and summed per pair; the sum decides.
 
-*Large groups.* A group of m documents with one equal segment gives at most m - 1 star links to
-its smallest member. Only pairs of such a group that are still in different components after
+*Large groups.* A document is first compared with one other, the smallest member of most of its
+groups. Only pairs of a group that are still in different components after
 these are looked at one by one: in blocks, after a bound on their difference (the parity of
 their n-grams in 256 buckets), so no link that matters for the result is lost.
 
@@ -44,7 +44,7 @@ SKETCH_BITS = 256
 #: Documents compared with each other in one block.
 BLOCK = 1000
 #: Signatures that a task gathers before it passes them on.
-GATHER = 1 << 22
+GATHER = 1 << 20
 #: Coarse fragments in which overlaps are counted; a power of 2.
 PARTS = 4
 
@@ -135,14 +135,56 @@ def _set_rows(width: int):
     return run
 
 
-def _signature_rows(width: int, percent: int):
-    """(key, shared, doc_id): what a task knows of each segment's documents.
+_ROUTED = "route long, kind int, bucket int, base long, bytes int, signatures binary, docs binary"
+#: Kinds of routed rows: segments of one document in a task, those of several (counted only, as
+#: their documents travel as members), and these members.
+_ONE, _SEVERAL, _MEMBER = range(3)
+#: Bits of a signature that are kept within its bucket: a clash only makes a candidate more.
+_KEPT_BITS = 48
 
-    A segment that several of the task's documents have is known to be shared: all of them go on
-    with it in ``shared``, under keys of their own. For the rest, and one of those, the key is
-    the segment, under which they meet those of other tasks.
+
+def _signature_rows(width: int, percent: int, buckets: int):
+    """Signatures and documents of a task, in byte strings by bucket (the top bits).
+
+    A segment that several of the task's documents have is known to be shared: its documents go
+    on as members, wherever there is room. Under the segment itself a task sends one document,
+    so a segment of a third of all documents meets in a bucket once per task.
     """
-    bands = Bands(percent)
+    bands, shift = Bands(percent), U64(64 - (buckets - 1).bit_length())
+
+    def packed(sig: np.ndarray, doc: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        if not sig.size:
+            return
+        bucket = (sig >> shift).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        rows = []
+        for a, b in zip(starts, [*starts[1:], sig.size], strict=True):
+            base = int(doc[a:b].min())
+            span = int(doc[a:b].max()) - base
+            size = 2 if span < 1 << 16 else 4 if span < 1 << 32 else 8
+            kept = ((sig[a:b] << (U64(64) - shift)) >> U64(64 - _KEPT_BITS)).view(np.uint8).reshape(-1, 8)[:, :6]
+            route = int(bucket[a]) if kind != _MEMBER else int(mixed(sig[a:a + 1] + doc[a:a + 1].view(U64))[0] >> U64(1))
+            rows.append((route, kind, int(bucket[a]), base, size, kept.tobytes(), (doc[a:b] - base).astype(f"<u{size}").tobytes()))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        names = [c.split()[0] for c in _ROUTED.split(", ")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names
+        )
+
+    def flushed(sigs: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not sigs:
+            return
+        sig, doc = np.concatenate(sigs), np.concatenate(docs).astype(np.int64)
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
+        sig, doc = sig[fresh], doc[fresh]
+        head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        count = np.diff(np.concatenate([head, [sig.size]]))
+        yield from packed(sig[head[count == 1]], doc[head[count == 1]], _ONE)
+        yield from packed(sig[head[count > 1]], doc[head[count > 1]], _SEVERAL)
+        several = np.repeat(count > 1, count)
+        yield from packed(sig[several], doc[several], _MEMBER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, docs, held = [], [], 0
@@ -157,34 +199,38 @@ def _signature_rows(width: int, percent: int):
                     docs.append(np.full(number, doc))
                     held += number
             if held > GATHER:
-                yield from _shared(sigs, docs)
+                yield from flushed(sigs, docs)
                 sigs, docs, held = [], [], 0
-        yield from _shared(sigs, docs)
+        yield from flushed(sigs, docs)
 
     return run
 
 
-def _shared(sigs: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if not sigs:
-        return
-    sig, doc = np.concatenate(sigs), np.concatenate(docs).astype(np.int64)
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    count = np.diff(np.concatenate([head, [sig.size]]))
-    several = np.repeat(count > 1, count)
-    for rows, shared in ((head, False), (np.flatnonzero(several), True)):
-        for at in range(0, rows.size, 1 << 16):
-            own = rows[at : at + (1 << 16)]
-            key = mixed(sig[own] ^ mixed(doc[own].view(U64))) if shared else sig[own]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)),
-                    pa.array(sig[own].view(np.int64)) if shared else pa.nulls(own.size, pa.int64()),
-                    pa.array(doc[own]),
-                ],
-                names=["key", "shared", "doc_id"],
-            )
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(signature, doc_id) of segments that two documents or more have, from all of a bucket."""
+    parts: tuple[list, list, list] = ([], [], [])
+
+    def made(sig: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, sig.size, 1 << 16):
+            own = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[own].view(np.int64)), pa.array(doc[own])], names=["signature", "doc_id"])
+
+    for batch in batches:
+        for _, kind, bucket, base, size, sigs, docs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            sig = (U64(bucket) << U64(_KEPT_BITS)) | _unpacked(sigs, low=True)
+            doc = np.frombuffer(docs, dtype=f"<u{size}").astype(np.int64) + base
+            if kind == _MEMBER:
+                yield from made(sig, doc)
+            else:
+                for part, values in zip(parts, (sig, doc, np.full(sig.size, kind == _ONE)), strict=True):
+                    part.append(values)
+    if parts[0]:
+        sig, doc, one = (np.concatenate(p) for p in parts)
+        order = np.argsort(sig, kind="stable")
+        sig, doc, one = sig[order], doc[order], one[order]
+        same = sig[1:] == sig[:-1]
+        shared = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & one
+        yield from made(sig[shared], doc[shared])
 
 
 def _segments(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -241,9 +287,10 @@ def _segment_rows(width: int, shared):
     return run
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _unpacked(blob: bytes, low: bool = False) -> np.ndarray:
+    """Numbers of which the upper (or lower) 6 bytes were kept."""
     wide = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    wide[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    wide[:, slice(0, 6) if low else slice(2, 8)] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
     return wide.reshape(-1).view(U64)
 
 
@@ -327,13 +374,15 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, a_n, b_n) those whose overlaps, summed over fragments, suffice."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    segments = written(_segments(docs, ids, width), "segments")
-    x = segments.select(F.col("doc_id").alias("a"), "part", F.col("grams").alias("x"))
-    y = segments.select(F.col("doc_id").alias("b"), "part", F.col("grams").alias("y"))
+    # The centres, ``a``, are few: they travel once for the members and no member for them.
+    x, y = (
+        _segments(docs, pairs.select(F.col(c).alias("doc_id")).distinct(), width).withColumnRenamed("doc_id", c)
+        for c in ("a", "b")
+    )
+    x, y = x.withColumnRenamed("grams", "x"), y.withColumnRenamed("grams", "y")
     sizes = pairs.select("a", "b", "a_n", "b_n")
     parts = (
-        sizes.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), ["b", "part"]).select("a", "b", "part", "x", "y")
+        sizes.select("a", "b").join(y.hint("merge"), "b").join(x.hint("merge"), ["a", "part"]).select("a", "b", "part", "x", "y")
         .mapInArrow(_overlaps, "a long, b long, part int, overlap long")
     )
     # A row that is repeated in the input gives the same count again, not more overlap.
@@ -354,26 +403,22 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     named = docs.where("doc_id IS NOT NULL")
     sets = written(named.mapInArrow(_set_rows(width), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
 
-    # (signature, doc_id) of the segments that two documents or more have.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 15, 4 << (partitions - 1).bit_length())
     groups = written(
-        named.mapInArrow(_signature_rows(width, percent), "key long, shared long, doc_id long")
-        .selectExpr("shared", "key", "doc_id", "count(*) OVER (PARTITION BY key) AS n")
-        .where("n > 1 OR shared IS NOT NULL")
-        .select(F.coalesce("shared", "key").alias("signature"), "doc_id")
-        .distinct(),
+        named.mapInArrow(_signature_rows(width, percent, buckets), _ROUTED)
+        .repartition("route").mapInArrow(_group_rows, "signature long, doc_id long"),
         "groups",
     )
-    # A group's star has as its centre the document that most others share segments with.
-    sizes = groups.groupBy("signature").agg(F.count(F.lit(1)).alias("size"))
-    central = groups.join(sizes.hint("merge"), "signature").groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    ranked = groups.join(central.hint("merge"), "doc_id")
-    centres = ranked.groupBy("signature").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("top"))
-    stars = (
-        groups.join(centres.hint("merge"), "signature")
-        .select((-F.col("top.col2")).alias("centre"), "doc_id")
-        .where("centre != doc_id")
-        .select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
-        .distinct()
+    # A group's smallest document is its centre. Of its centres a document first tries the one
+    # with which it shares most segments: the others count only if this leaves them apart.
+    centres = groups.groupBy("signature").agg(F.min("doc_id").alias("centre"))
+    shared = (
+        groups.join(centres.hint("merge"), "signature").where("centre != doc_id")
+        .groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("n"))
+    )
+    stars = shared.groupBy("doc_id").agg(F.max(F.struct("n", -F.col("centre"))).alias("top")).select(
+        (-F.col("top.col2")).alias("a"), F.col("doc_id").alias("b")
     )
     pairs = written(_bounded(stars, sets, percent), "pairs")
     links = written(
@@ -384,25 +429,23 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
 
     # What the stars left apart: groups with documents of more than one component. Of equal sets
     # one document stands for all.
-    members = groups.select("doc_id").distinct()
-    placed = (
-        sets.join(members.hint("merge"), "doc_id", "left_semi")
+    one_each = (
+        sets.where("n > 0")
         .join(first.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
+        .groupBy("d1", "d2", "n").agg(F.min_by("component", "doc_id").alias("component"), F.min("doc_id").alias("doc_id"))
+        .select("doc_id", "component")
     )
-    one_each = placed.groupBy("d1", "d2", "n").agg(
-        *[F.min_by(c, "doc_id").alias(c) for c in ("component", "s0", "s1", "s2", "s3")],
-        F.min("doc_id").alias("doc_id"),
-    ).drop("d1", "d2")
-    spread = written(groups.join(one_each.hint("merge"), "doc_id"), "members")
+    placed = written(groups.join(one_each.hint("merge"), "doc_id"), "members")
     mixed_groups = (
-        spread.groupBy("signature")
+        placed.groupBy("signature")
         .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low != high")
         .select("signature", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
+    apart = placed.join(mixed_groups.hint("merge"), "signature")
     blocks = (
-        spread.join(mixed_groups.hint("merge"), "signature")
+        apart.join(sets.select("doc_id", "n", "s0", "s1", "s2", "s3").hint("merge"), "doc_id")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other"))

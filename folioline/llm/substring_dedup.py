@@ -39,7 +39,7 @@ _PLACE = U64((1 << 24) - 1)
 #: A run has at most this many windows: places and lengths share one number.
 _LENGTHS = 64
 #: Rows that a task gathers before it passes them on.
-GATHER = 1 << 22
+GATHER = 1 << 20
 
 
 def _sliding_least(keys: np.ndarray, size: int) -> np.ndarray:
