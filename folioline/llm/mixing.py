@@ -65,12 +65,17 @@ def _same(left: str, right: str, names: list[str]) -> Column:
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """The ``leaves`` (levels, tokens) with their ``budget``; a row for each leaf."""
     levels = list(mix.levels)
-    capacity = F.sum(F.col("tokens") * mix.max_epochs).cast("long").alias("capacity")
+    # A leaf with weight 0 on its path holds nothing for its ancestors either.
+    usable = F.lit(True)
+    for level in levels:
+        usable = usable & (_weight(level, mix) > 0)
+    held_by_leaf = F.when(usable, F.col("tokens") * mix.max_epochs).otherwise(0)
+    capacity = F.sum(held_by_leaf).cast("long").alias("capacity")
     wanted, of = mix.share
     parents = leaves.agg(
         F.least(
             F.expr(f"coalesce(sum(tokens), 0) * {wanted} div {of}"),
-            F.coalesce(F.sum(F.col("tokens") * mix.max_epochs), F.lit(0)),
+            F.coalesce(F.sum(held_by_leaf), F.lit(0)),
         ).cast("long").alias("given")
     )
     above: list[str] = []
