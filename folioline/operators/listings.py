@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioline.functions.json import accept_repeated_keys, kind_of_text, parse_whole
 from folioline.functions.names import file_stem, has_suffix
+from folioline.operators.numbering import number_rows
 
 PLACE = ["bucket", "folder", "stem"]
 
@@ -64,6 +65,12 @@ def ordered_listing(listing: DataFrame) -> DataFrame:
     return listing.orderBy("bucket", F.desc("kind"), "file")
 
 
+def ranked_listing(listing: DataFrame) -> DataFrame:
+    """Each entry's ``position`` in its bucket's display order, without a sort of everything."""
+    block = F.when(F.col("kind") == "page", 0).otherwise(1 << 24) + F.ascii("file")
+    return number_rows(listing, ["bucket"], [F.desc("kind"), "file"], block, "position")
+
+
 def cost_sources(records: DataFrame) -> DataFrame:
     """Records the cost tracker reads: output's one folder down, review's with a cost."""
     accept_repeated_keys(records.sparkSession)

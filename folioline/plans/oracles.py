@@ -106,8 +106,11 @@ _NORMALIZED = (
 )
 
 
+_PAGE_TEXT = "CASE WHEN doc_id % 53 = 0 THEN ' ' || chr(10) ELSE text END"
+
+
 def _gate_cte() -> str:
-    text = "CASE WHEN doc_id % 53 = 0 THEN ' ' || chr(10) ELSE text END"
+    text = _PAGE_TEXT
     branches = "".join(
         f" WHEN contains(norm, ' {norm} ') THEN {_text(marker)}"
         for marker, norm in zip(
@@ -135,6 +138,65 @@ gate AS (
 
 _GATE = _gate_cte()
 
+# Matching blocks are found by recursion: the longest common one, then what is left and right of it.
+_FUZZY_GATE = f"""WITH RECURSIVE
+markers(ord, marker, norm, k) AS (VALUES
+  (0, 'licenced under', 'licenced under', 2), (1, 'MIT license', 'mit license', 2),
+  (2, 'all right reserved', 'all right reserved', 3)),
+pages AS (SELECT doc_id, {_PAGE_TEXT} AS page_text FROM documents),
+normed AS (
+  SELECT doc_id, trim(page_text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank,
+         {_NORMALIZED.format(x='page_text')} AS norm FROM pages),
+exact AS (
+  SELECT doc_id, min(ord) AS ord FROM normed JOIN markers m
+  ON contains(' ' || normed.norm || ' ', ' ' || m.norm || ' ') WHERE NOT blank GROUP BY doc_id),
+tokens AS (
+  SELECT doc_id, string_split(norm, ' ') AS w FROM normed
+  WHERE NOT blank AND norm <> '' AND doc_id NOT IN (SELECT doc_id FROM exact)),
+chunks AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS chunk
+  FROM tokens, (SELECT DISTINCT k FROM markers)),
+-- A ratio is 2 m / (la + lb), with m at most the smaller count of each letter: nothing below 0.85 stays.
+pairs AS (
+  SELECT ord, m.norm AS a, c.chunk AS b FROM markers m JOIN (SELECT DISTINCT k, chunk FROM chunks) c USING (k)
+  WHERE length(c.chunk) BETWEEN floor(length(m.norm) * 0.85 / 1.15) AND ceil(length(m.norm) * 1.15 / 0.85)
+    AND 2 * list_sum(list_transform(list_distinct(string_split(m.norm, '')),
+          lambda x: least(length(m.norm) - length(replace(m.norm, x, '')), length(c.chunk) - length(replace(c.chunk, x, '')))))
+        >= 0.85 * (length(m.norm) + length(c.chunk)) - 1e-9),
+-- The longest common block, first in the marker, then in the chunk; then the same left and right of it.
+blocks AS (
+  SELECT ord, a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS size, 0 AS i, 0 AS j FROM pairs
+  UNION ALL
+  SELECT ord, a, b, alo, ahi, blo, bhi, best.size, -best.i, -best.j FROM (
+    SELECT ord, a, b, alo, ahi, blo, bhi,
+      list_max(flatten(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j:
+        list_transform(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(a, i, n) = substr(b, j, n)),
+          lambda n: {{'size': n, 'i': -i, 'j': -j}})))))) AS best
+    FROM (
+      SELECT ord, a, b, unnest([
+        {{'alo': CASE WHEN size = 0 THEN alo ELSE alo END, 'ahi': CASE WHEN size = 0 THEN ahi ELSE i END,
+          'blo': blo, 'bhi': CASE WHEN size = 0 THEN bhi ELSE j END}},
+        {{'alo': CASE WHEN size = 0 THEN ahi ELSE i + size END, 'ahi': ahi,
+          'blo': CASE WHEN size = 0 THEN bhi ELSE j + size END, 'bhi': bhi}}], recursive := true)
+      FROM blocks) WHERE alo < ahi AND blo < bhi) WHERE best IS NOT NULL),
+ratios AS (SELECT ord, b AS chunk, 2 * sum(size)::DOUBLE / (length(a) + length(b)) AS ratio FROM blocks GROUP BY ord, a, b),
+best AS (
+  SELECT doc_id, arg_max({{'ord': r.ord, 'ratio': ratio}}, {{'ratio': ratio, 'first': -r.ord}}) AS top
+  FROM chunks c JOIN markers m USING (k) JOIN ratios r ON r.ord = m.ord AND r.chunk = c.chunk
+  WHERE ratio >= 0.85 GROUP BY doc_id),
+found AS (
+  SELECT n.doc_id, blank, coalesce(e.ord, top.ord) AS ord,
+         CASE WHEN e.ord IS NOT NULL THEN '1.00' ELSE printf('%.2f', top.ratio) END AS ratio
+  FROM normed n LEFT JOIN exact e USING (doc_id) LEFT JOIN best USING (doc_id))
+SELECT doc_id,
+  CASE WHEN blank THEN 'unclear' WHEN marker IS NOT NULL THEN 'yes' ELSE 'no' END AS verdict,
+  CASE WHEN NOT blank AND marker IS NOT NULL THEN 'matched ''' || marker || '''' ELSE '' END AS raw_reply,
+  CASE WHEN blank THEN 'page has no OCR text (unreadable)'
+       WHEN marker IS NOT NULL
+       THEN 'no_need_page field ''' || marker || ''' matched (similarity ' || ratio || ')'
+       ELSE 'no no_need_page field matched' END AS reason
+FROM found LEFT JOIN markers USING (ord)"""
+
 _MODEL = (
     "CASE WHEN l_quantity = 1 THEN '' WHEN l_quantity = 2 THEN 'unknown/model' "
     f"WHEN l_returnflag = 'A' THEN {_text(SMALL_MODEL)} "
@@ -551,6 +613,7 @@ means AS (SELECT document, {_MEAN_TENTHS} AS m FROM dp JOIN quality USING (doc_i
 SELECT document, {_round("m")} AS quality_score, {_tier(_round("m"))} AS quality_tier FROM means""",
     "normalized_text": f"""SELECT doc_id, md5({_NORMALIZED.format(x="text")}) AS normalized
 FROM documents""",
+    "gate_fuzzy": _FUZZY_GATE,
     "gate_exact": f"WITH {_GATE} SELECT doc_id, verdict, raw_reply, reason FROM gate",
     "page_split_counts": f"""WITH {_GATE}
 SELECT CASE verdict WHEN 'yes' THEN 'skip' WHEN 'no' THEN 'extract' ELSE 'review' END AS destination,
@@ -579,6 +642,11 @@ UNION ALL SELECT document, '(total)', {_TOKEN_SUMS}, {_MONEY_SUMS}, NULL, NULL
 FROM priced GROUP BY document""",
     "cost_global": f"""WITH {_ORDER_COSTS},
 m AS (SELECT model, {_TOKEN_SUMS}, {_MONEY_SUMS} FROM priced GROUP BY model)
+SELECT model, input_tokens, output_tokens, input_cost, output_cost, total_cost,
+       {_IN} AS input_rate, {_OUT} AS output_rate, false AS is_total FROM m
+UNION ALL SELECT '(total)', {_TOKEN_SUMS}, {_MONEY_SUMS}, NULL, NULL, true FROM m""",
+    "cost_global_stored": f"""WITH {_ORDER_COSTS},
+m AS (SELECT model, {_TOKEN_SUMS}, {_MONEY_SUMS} FROM priced GROUP BY model)
 SELECT model, input_tokens, output_tokens, input_cost, output_cost, total_cost,
        {_IN} AS input_rate, {_OUT} AS output_rate, false AS is_total FROM m
 UNION ALL SELECT '(total)', {_TOKEN_SUMS}, {_MONEY_SUMS}, NULL, NULL, true FROM m""",
@@ -693,6 +761,15 @@ SELECT f.bucket, CASE WHEN f.folder = '' THEN 'page' ELSE 'document' END AS kind
 FROM files f LEFT JOIN records r USING (bucket, folder, stem)
 WHERE f.bucket <> 'input' AND ((f.folder = '' AND f.name LIKE '%.png')
   OR (f.folder <> '' AND f.name LIKE '%.pdf'))""",
+    "ranked_listing": f"""WITH {_FILES}, {_RECORDS}
+SELECT bucket, kind, name, file, row_number() OVER (PARTITION BY bucket ORDER BY kind DESC, file) AS position FROM (
+SELECT f.bucket, CASE WHEN f.folder = '' THEN 'page' ELSE 'document' END AS kind,
+       CASE WHEN f.folder = '' THEN f.stem ELSE f.folder || '/' || f.stem END AS name,
+       CASE WHEN f.folder = '' THEN f.name ELSE f.folder || '/' || f.name END AS file,
+       CASE WHEN json_valid(r.record) THEN r.record ELSE '{{}}' END AS record
+FROM files f LEFT JOIN records r USING (bucket, folder, stem)
+WHERE f.bucket <> 'input' AND ((f.folder = '' AND f.name LIKE '%.png')
+  OR (f.folder <> '' AND f.name LIKE '%.pdf')))""",
     "cost_sources": f"""WITH {_RECORDS}
 SELECT bucket, folder, stem, record FROM records
 WHERE page_id % 7 > 2 AND ((bucket = 'output' AND folder <> '' AND position('/' IN folder) = 0)
@@ -776,6 +853,10 @@ SELECT document, page, round((max(angle) FILTER (i = (n + 1) // 2)
 SELECT vec_id, position::INT AS position,
   floor(0.299::DOUBLE * gray + 0.587::DOUBLE * (255 - gray) + 0.114::DOUBLE * (gray * 7 % 256)
     + 0.5::DOUBLE)::SMALLINT AS luma FROM pixels""",
+    "laplacian": f"""WITH {_RASTER}
+SELECT vec_id, x::INT AS x, y, coalesce(l, ri) + coalesce(ri, l) + coalesce(u, d) + coalesce(d, u) - 4 * gray AS laplacian
+FROM (SELECT vec_id, x, y, gray, lag(gray) OVER r AS l, lead(gray) OVER r AS ri, lag(gray) OVER c AS u, lead(gray) OVER c AS d
+      FROM pixels WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y))""",
     "sharpness": f"WITH {_LAPLACIAN} SELECT vec_id, sharpness FROM sharp",
     "otsu_threshold": f"""WITH {_OTSU}
 SELECT vec_id, level::INT AS threshold, round(std, 9) AS std, std < 5 AS blank

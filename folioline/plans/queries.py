@@ -30,7 +30,7 @@ from folioline.operators import (
 )
 from folioline.plans import views
 from folioline.session import shared_dir, ship_package, spread, written
-from folioline.sources import files
+from folioline.sources import files, sinks
 from folioline.sources.tables import LARGE_MODEL, model_pricing, tier_models
 from folioline.streaming import runs
 
@@ -164,6 +164,22 @@ def cost_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cost_global_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the cost blocks were written as records and read back."""
+    by_model = cost.cost_by_model(
+        _order_calls(spark, sf_dir), ["document"], model_pricing(spark)
+    )
+    stored = cost.cost_structs(by_model, ["document"])
+    folder = shared_dir(spark, "records")
+    sinks.write_records(stored, folder, "output")
+    schema = f"document string, cost {stored.schema['cost'].dataType.simpleString()}"
+    read = files.read_records(spark, f"{folder}/bucket=output", schema)
+    return cost.global_costs(cost.cost_blocks(read), model_pricing(spark)).select(
+        F.coalesce("model", F.lit("(total)")).alias("model"), *cost.TOKENS, *cost.COSTS,
+        "input_rate", "output_rate", "is_total",
+    )
+
+
 def cost_block_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_model = cost.cost_by_model(
         _order_calls(spark, sf_dir), ["document"], model_pricing(spark)
@@ -414,6 +430,10 @@ def bucket_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ranked_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.ranked_listing(bucket_listing(spark, sf_dir)).drop("record")
+
+
 def cost_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.cost_sources(views.record_texts(spark, sf_dir))
 
@@ -515,6 +535,18 @@ def luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray.select(F.col("page").alias("vec_id"), F.posexplode(made).alias("position", "luma"))
 
 
+def laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second differences of each pixel of the rasters."""
+    pixels = views.rasters(spark, sf_dir).select(
+        "document", "page", "width", F.posexplode("gray").alias("at", "gray")
+    )
+    placed = pixels.select(
+        "document", "page", (F.col("at") % F.col("width")).alias("x"),
+        F.floor(F.col("at") / F.col("width")).alias("y"), F.col("gray").cast("bigint").alias("gray"),
+    )
+    return raster.laplacian_pixels(placed).select(F.col("page").alias("vec_id"), "x", "y", "laplacian")
+
+
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.raster_measures(views.rasters(spark, sf_dir))
 
@@ -598,16 +630,16 @@ QUERIES: dict[str, Query] = {
     for query in (
         ocr_quality_route, document_quality, normalized_text,
         gate_exact, gate_fuzzy, page_split_counts, single_document, document_run_lines,
-        call_price, cost_by_document, cost_global, cost_block_count, price_overrides,
+        call_price, cost_by_document, cost_global, cost_global_stored, cost_block_count, price_overrides,
         group_pages, document_manifest,
         call_ingest, parse_replies, reply_edge_types, helper_split, helper_page_values,
         merge_fields, document_confidence, document_calls, document_errors,
         skip_records, review_records, document_records, meta_unpivot, field_list,
         cost_labels, page_labels, run_summary,
-        input_scan, bucket_listing, cost_sources, record_lookup,
+        input_scan, bucket_listing, ranked_listing, cost_sources, record_lookup,
         delete_by_key, delete_survivors, clear_bucket, upload_admission,
         template_names, template_normalise, prompt_text, model_requests, downscale_size,
-        skew_angle, luma, sharpness, otsu_threshold, enhancement_report,
+        skew_angle, luma, laplacian, sharpness, otsu_threshold, enhancement_report,
         stream_costs, stream_ingest,
     )
 }

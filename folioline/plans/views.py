@@ -12,7 +12,8 @@ from folioline.sources.files import ocr_words
 from folioline.sources.tables import LARGE_MODEL, MEDIUM_MODEL, SMALL_MODEL
 
 EXACT_MARKERS = ["licensed-under", "MIT license", "all rights reserved"]
-FUZZY_MARKERS = ["licenced under", *EXACT_MARKERS]
+# Spelled so that the texts come near them but do not hold them, the second apart.
+FUZZY_MARKERS = ["licenced under", "MIT license", "all right reserved"]
 TEMPLATE = ["status", "flag", "due_date"]
 
 
