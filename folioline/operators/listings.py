@@ -187,6 +187,7 @@ def admit_uploads(uploads: DataFrame) -> DataFrame:
     path = F.regexp_replace(path, r"^\.$", "")
     name = F.regexp_extract(path, r"(?s)([^/]*)$", 1)
     named = uploads.withColumn("name", name)
+    # The wording of the refusals.
     return named.withColumn(
         "status",
         F.when(F.col("name").isin(".", ".."), "invalid file name")

@@ -158,6 +158,7 @@ def enhancement_steps(
     turn = F.coalesce(angle, F.lit(0.0))
     sign = F.when(turn < 0, "-").otherwise("+")
     size = F.format_string("%.2f", round_binary(F.abs(turn), 2))
+    # The names of the steps.
     steps = [F.lit("grayscale")]
     if deblur:
         steps.append(

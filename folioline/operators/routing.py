@@ -16,6 +16,7 @@ def route_pages(pages: DataFrame, tier_models: DataFrame, default_model: str) ->
         F.nullif(F.col("model"), F.lit("")).alias("_tier_model"),
     )
     tier = F.coalesce("quality_tier", F.lit("None"))
+    # The wording of both reasons.
     found = F.format_string(
         "tier '%s' (score %s) -> %s", tier, F.col("quality_score"), F.col("_tier_model")
     )

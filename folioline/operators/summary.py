@@ -27,13 +27,23 @@ def document_run_lines(pages: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(inputs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Files done, files failed (no pages, or a conversion error), pages, exit code."""
+def run_summary(
+    inputs: DataFrame, counts: DataFrame, errors: DataFrame | None = None
+) -> DataFrame:
+    """Files done, files failed (no pages, or a conversion error), pages, exit code.
+
+    ``errors`` has the ``document`` of each file that could not be converted; whatever
+    pages are counted for it were not processed.
+    """
+    listed = inputs.select("document").join(counts, "document", "left")
+    if errors is not None:
+        broken = errors.select("document").distinct().withColumn("_broken", F.lit(True))
+        listed = listed.join(broken, "document", "left").withColumn(
+            "page_count", F.when(F.col("_broken").isNull(), F.col("page_count"))
+        )
     done = F.coalesce("page_count", F.lit(0)) > 0
     return (
-        inputs.select("document")
-        .join(counts, "document", "left")
-        .agg(
+        listed.agg(
             F.count_if(done).alias("succeeded"),
             F.count_if(~done).alias("failed"),
             F.coalesce(F.sum("page_count"), F.lit(0)).alias("total_pages"),

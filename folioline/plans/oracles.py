@@ -693,6 +693,17 @@ SELECT document, document_index, processing_time_seconds, extraction_success, er
     "document_errors": f"""WITH {_GROUPS}
 SELECT document, document_index, page, 'page ' || page || ': ' || error AS error_line
 FROM grouped WHERE document_index IS NOT NULL AND error IS NOT NULL""",
+    "page_places": f"""WITH {_DOC_PAGES}, {_WORDS}, {_GATE},
+lines AS (
+  SELECT document, page, doc_id, CASE WHEN doc_id % 11 <> 0 THEN lang END AS value
+  FROM dp JOIN gate USING (doc_id) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)
+  WHERE verdict = 'no'){_GROUPS[len(_LINES):]}
+SELECT dp.document, dp.page,
+       CASE WHEN verdict = 'yes' THEN 'skip' WHEN document_index IS NULL THEN 'review' ELSE 'document' END
+         AS destination,
+       document_index, {_tier("quality_score")} AS quality_tier,
+       CASE WHEN verdict = 'no' THEN {_ROUTE} END AS model
+FROM dp JOIN quality USING (doc_id) JOIN gate USING (doc_id) LEFT JOIN grouped USING (doc_id)""",
     "skip_records": f"""WITH {_DOC_PAGES}, {_WORDS}, {_GATE}
 SELECT document, page, {_page_name(".png")} AS image_file, quality_score,
        {_tier("quality_score")} AS quality_tier, true AS page_skipped, reason AS skip_reason,
@@ -746,7 +757,7 @@ SELECT document, page,
             ELSE coalesce(nullif(model, ''), error, 'No extraction') END AS caption
 FROM lines""",
     "run_summary": """WITH counts AS (
-  SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+  SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_orderkey % 17 <> 0 GROUP BY l_orderkey)
 SELECT count(n) AS succeeded, count(*) - count(n) AS failed,
        coalesce(sum(n), 0)::BIGINT AS total_pages,
        CASE WHEN count(*) > count(n) THEN 1 ELSE 0 END AS exit_code

@@ -25,6 +25,7 @@ from folioline.operators import (
     replies,
     requests,
     routing,
+    run,
     summary,
     templates,
 )
@@ -119,6 +120,24 @@ def document_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.document_run_lines(decided.withColumn("document_index", index))
 
 
+def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all documents: quality, gate, routing, replies and grouping together.
+
+    A page's reply names its language, by which consecutive pages are grouped.
+    """
+    decided = written(_decided(spark, sf_dir), "decided")
+    answer = F.concat(
+        F.lit('{"language":{"value":"'), F.col("lang"), F.lit('","confidence":90},"size":'),
+        F.col("n_chars").cast("string"), F.lit("}"),
+    )
+    texts = views.table(spark, sf_dir, "documents").select(
+        F.lit("").alias("document"), F.col("doc_id").alias("page"),
+        F.when(F.col("doc_id") % 11 == 0, "no reply").otherwise(answer).alias("reply"),
+    )
+    replied = views.with_page_names(texts, spark, sf_dir).select(*quality.PAGE, "reply")
+    return run.place_pages(decided, replied, ["language"], tier_models(spark), LARGE_MODEL)
+
+
 # --- cost ------------------------------------------------------------------------------
 
 
@@ -405,10 +424,12 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as input files, their lines as pages; an order without lines failed."""
+    """Orders as input files, their lines as pages; an order without lines failed, and so did
+    every 17th in conversion."""
     inputs = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document"))
     lines = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"))
-    return summary.run_summary(inputs, summary.page_counts(lines))
+    errors = inputs.filter(F.col("document") % 17 == 0)
+    return summary.run_summary(inputs, summary.page_counts(lines), errors)
 
 
 # --- files and buckets -----------------------------------------------------------------
@@ -618,11 +639,11 @@ def _shipped(query: Query) -> Query:
     """The query, with this package at hand in the Python workers."""
 
     @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
         return query(spark, sf_dir)
 
-    return run
+    return shipped
 
 
 QUERIES: dict[str, Query] = {
@@ -630,6 +651,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         ocr_quality_route, document_quality, normalized_text,
         gate_exact, gate_fuzzy, page_split_counts, single_document, document_run_lines,
+        page_places,
         call_price, cost_by_document, cost_global, cost_global_stored, cost_block_count, price_overrides,
         group_pages, document_manifest,
         call_ingest, parse_replies, reply_edge_types, helper_split, helper_page_values,
