@@ -78,19 +78,27 @@ class Bands:
         """The largest symmetric difference of two linked sets of so many n-grams together."""
         return (100 - self.percent) * sizes // (100 + self.percent)
 
+    def band(self, n: int) -> int:
+        return int(np.searchsorted(self.limits, n, side="right")) - 1
+
     def of(self, n: int) -> list[tuple[int, int, int]]:
         """(band, fragments, spare ones) in which a document of ``n`` n-grams looks for partners."""
-        band = int(np.searchsorted(self.limits, n, side="right")) - 1
+        band = self.band(n)
         last = int(np.searchsorted(self.limits, 100 * n // self.percent, side="right")) - 1
         return [(k, self.most[k] + 1 + self.spare[k], self.spare[k]) for k in range(band, last + 1) if self.most[k]]
 
 
+def _cuts(grams: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fragment of each n-gram, and where the segments begin."""
+    part = ((grams >> U64(32)) * U64(fragments)) >> U64(32)
+    return part, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+
+
 def _signatures(grams: np.ndarray, spread: np.ndarray, bands: Bands) -> list[np.ndarray]:
     """Hashes of (band, fragment, segment) of one sorted set."""
     found = []
     for band, fragments, spare in bands.of(grams.size):
-        part = ((grams >> U64(32)) * U64(fragments)) >> U64(32)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        part, starts = _cuts(grams, fragments)
         salt = part[starts] * U64(0x9E3779B97F4A7C15) + U64(band * 0xC2B2AE3D27D4EB4F & (2**64 - 1))
         found.append(mixed(np.add.reduceat(spread, starts) ^ mixed(salt)))
         if fragments - starts.size > spare:
@@ -100,7 +108,8 @@ def _signatures(grams: np.ndarray, spread: np.ndarray, bands: Bands) -> list[np.
     return found
 
 
-_NUMBERS = ("doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3")
+#: Size, digest, parities, band, and non-empty segments in it and in the next band.
+_NUMBERS = ("doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3", "band", "m0", "m1")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -116,12 +125,13 @@ def _digest(spread: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return spread.sum(dtype=U64), mixed(spread, salt=2).sum(dtype=U64)
 
 
-def _set_rows(width: int):
-    """Each document's number of n-grams, set digest and parities."""
+def _set_rows(width: int, percent: int):
+    """Each document's number of n-grams, set digest, parities and numbers of segments."""
+    bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, width):
-            numbers = np.zeros((8, ids.size), dtype=np.int64)
+            numbers = np.zeros((len(_NUMBERS), ids.size), dtype=np.int64)
             numbers[0] = ids
             for i, own in enumerate(sets):
                 if own.size:
@@ -130,6 +140,10 @@ def _set_rows(width: int):
                     numbers[1, i] = own.size
                     numbers[2:4, i] = np.array(_digest(spread), dtype=U64).view(np.int64)
                     numbers[4:8, i] = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+                    numbers[8, i] = bands.band(own.size)
+                    for band, fragments, _ in bands.of(own.size):
+                        if band <= numbers[8, i] + 1:
+                            numbers[9 + band - numbers[8, i], i] = _cuts(own, fragments)[1].size
             yield pa.RecordBatch.from_arrays([*map(pa.array, numbers)], names=list(_NUMBERS))
 
     return run
@@ -308,8 +322,12 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_pairs(percent: int):
-    """Pairs within sorted runs of one key that differ in component and may still link."""
-    numbers = ["doc_id", "component", "n", "s0", "s1", "s2", "s3"]
+    """(a, b, shared, need): pairs within sorted runs of one key, of different components.
+
+    Of the non-empty segments of either document at most as many differ as n-grams may differ;
+    ``need`` is how many must therefore be shared, in all groups together.
+    """
+    numbers = ["doc_id", "component", "n", "s0", "s1", "s2", "s3", "band", "m0", "m1"]
 
     def pairs(rows: dict[str, np.ndarray]) -> np.ndarray:
         key = np.stack([rows["signature"], rows["low"], rows["high"]])
@@ -327,9 +345,22 @@ def _block_pairs(percent: int):
             most = (100 - percent) * (n + m) // (100 + percent)
             apart = sum(np.bitwise_count(rows[s][left] ^ rows[s][right]).astype(np.int64) for s in ("s0", "s1", "s2", "s3"))
             keep = (apart <= most) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            a, b = rows["doc_id"][left[keep]], rows["doc_id"][right[keep]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            left, right, most = left[keep], right[keep], most[keep]
+            top = np.maximum(rows["band"][left], rows["band"][right])
+            segments = [
+                np.where(top == rows["band"][i], rows["m0"][i], np.where(top == rows["band"][i] + 1, rows["m1"][i], 0))
+                for i in (left, right)
+            ]
+            a, b = rows["doc_id"][left], rows["doc_id"][right]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.maximum(*segments) - most]))
+        if not found:
+            return np.zeros((4, 0), np.int64)
+        a, b, need = np.concatenate(found, axis=1)
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if a.size else order
+        shared = np.diff(np.concatenate([head, [a.size]]))
+        return np.stack([a[head], b[head], shared, need[head]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["signature", "low", "high", "block", *numbers]
@@ -353,7 +384,7 @@ def _block_pairs(percent: int):
 
 
 def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([*map(pa.array, pairs)], names=["a", "b", "shared", "need"])
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -401,7 +432,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL")
-    sets = written(named.mapInArrow(_set_rows(width), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
+    sets = written(named.mapInArrow(_set_rows(width, percent), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 15, 4 << (partitions - 1).bit_length())
@@ -445,16 +476,20 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     )
     apart = placed.join(mixed_groups.hint("merge"), "signature")
     blocks = (
-        apart.join(sets.select("doc_id", "n", "s0", "s1", "s2", "s3").hint("merge"), "doc_id")
+        apart.join(sets.drop("d1", "d2").hint("merge"), "doc_id")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
-        .select("signature", "low", "high", "block", "doc_id", "component", "n", "s0", "s1", "s2", "s3")
+        .select("signature", "low", "high", "block", "component", *[c for c in _NUMBERS if c not in ("d1", "d2")])
         .repartition("signature", "low", "high")
         .sortWithinPartitions("signature", "low", "high")
     )
-    rest = blocks.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+    rest = (
+        blocks.mapInArrow(_block_pairs(percent), "a long, b long, shared long, need long")
+        .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+        .where("shared >= need").select("a", "b")
+    )
     rest = rest.join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
     rest = written(_bounded(rest, sets, percent), "rest")
     more = _linked(rest, named, width, percent)
