@@ -12,7 +12,7 @@ reach ``TARGET`` for a k-th neighbour, a close one and one in between. The k-th
 measured within a bounded sample, where it is never nearer than in the whole table.
 
 The candidates of all tables are scored exactly, in blocks of rows against at most
-``BLOCK`` queries; each block passes on its best k. Where the vectors are spread out evenly, near
+``BLOCK`` queries; each task passes on its best k of all buckets it has. Where the vectors are spread out evenly, near
 and far differ little and many buckets are visited; that is in the nature of such data.
 
 Defined results: vectors that are null, zero, of unusual length, or hold null or non-finite
@@ -39,9 +39,11 @@ SLOTS = 4
 TARGET = 0.96
 #: Rows of the sample that gives the k-th neighbour's cosine.
 SAMPLE = 4000
-#: Rows wanted in a bucket.
-OCCUPANCY = 200
+#: Rows wanted in a bucket: enough that scoring them outweighs sending a query there.
+OCCUPANCY = 2000
 BLOCK = 2000
+#: Rows scored against a block at once, and rows of a table in one task's share.
+SLICE, SHARE_ROWS = 1024, 50_000
 
 _normal = np.vectorize(lambda x: 0.5 * (1.0 + erf(x / 2**0.5)), otypes=[np.float64])
 
@@ -147,32 +149,45 @@ def _bucket_rows(hashing: Hashing, dimensions: int, blocks: int, queries: bool):
 
 
 class _Best:
-    """The best k of the rows seen so far, for each query of a bucket and block."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        order = np.unique(ids, return_index=True)[1]
-        self.ids, self.vectors, self.k = ids[order], vectors[order], k
-        self.score = np.full((self.ids.size, 0), -np.inf)
-        self.found = np.zeros((self.ids.size, 0), dtype=np.int64)
+    """The best k rows so far of each query of a block."""
+
+    def __init__(self, k: int, dimensions: int):
+        self.k = k
+        self.row_of: dict[int, int] = {}
+        self.vectors = np.zeros((0, dimensions))
+        self.score = np.zeros((0, k))
+        self.found = np.zeros((0, k), dtype=np.int64)
+        self.here = np.zeros(0, dtype=np.int64)
+
+    def visit(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """These queries look at the rows that follow."""
+        ids, first = np.unique(ids, return_index=True)
+        new = [i for i, query in enumerate(ids.tolist()) if query not in self.row_of]
+        known = len(self.row_of)
+        self.row_of.update((int(ids[i]), known + n) for n, i in enumerate(new))
+        self.vectors = np.concatenate([self.vectors, vectors[first[new]]])
+        self.score = np.concatenate([self.score, np.full((len(new), self.k), -np.inf)])
+        self.found = np.concatenate([self.found, np.zeros((len(new), self.k), dtype=np.int64)])
+        self.here = np.array([self.row_of[query] for query in ids.tolist()], dtype=np.int64)
+        self.ids = ids
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = self.vectors @ vectors.T
+        scores = self.vectors[self.here] @ vectors.T
         scores[self.ids[:, None] == ids[None, :]] = -np.inf
-        score = np.concatenate([self.score, scores], axis=1)
-        found = np.concatenate([self.found, np.broadcast_to(ids, scores.shape)], axis=1)
-        if score.shape[1] > self.k:
-            # Ties at the border stay in, so that the smaller id can win.
-            border = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
-            most = int((score >= border[:, None]).sum(axis=1).max(initial=0))
-            top = np.argpartition(score, max(0, score.shape[1] - most), axis=1)[:, max(0, score.shape[1] - most) :]
-            score, found = np.take_along_axis(score, top, axis=1), np.take_along_axis(found, top, axis=1)
-            order = np.lexsort((found, -score), axis=1)[:, : self.k]
-            score, found = np.take_along_axis(score, order, axis=1), np.take_along_axis(found, order, axis=1)
-        self.score, self.found = score, found
+        score = np.concatenate([self.score[self.here], scores], axis=1)
+        found = np.concatenate([self.found[self.here], np.broadcast_to(ids, scores.shape)], axis=1)
+        # Ties at the border stay in, so that the smaller id can win.
+        border = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
+        most = int((score >= border[:, None]).sum(axis=1).max(initial=self.k))
+        top = np.argpartition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most :]
+        score, found = np.take_along_axis(score, top, axis=1), np.take_along_axis(found, top, axis=1)
+        order = np.lexsort((found, -score), axis=1)[:, : self.k]
+        self.score[self.here] = np.take_along_axis(score, order, axis=1)
+        self.found[self.here] = np.take_along_axis(found, order, axis=1)
 
     def rows(self) -> pa.RecordBatch:
         keep = np.isfinite(self.score)
-        query = np.broadcast_to(self.ids[:, None], self.score.shape)
+        query = np.broadcast_to(np.array(list(self.row_of), dtype=np.int64)[:, None], self.score.shape)
         return pa.RecordBatch.from_arrays(
             [pa.array(query[keep]), pa.array(self.found[keep]), pa.array(self.score[keep])],
             names=["query_id", "vec_id", "score"],
@@ -180,30 +195,36 @@ class _Best:
 
 
 def _scored(dimensions: int, k: int):
-    """Sorted by bucket and block, queries first; rows stream past them."""
+    """Sorted by table, block, share and bucket, a bucket's queries before its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, best, waiting = None, None, []
+        group = bucket = best = None
+        waiting: list = []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table_no", "bucket", "block", "is_row")])
+            keys = np.stack([
+                batch.column(c).to_numpy().astype(np.int64) for c in ("table_no", "block", "share", "bucket", "is_row")
+            ])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if a == b:
                     continue
-                key, is_row = tuple(keys[:3, a]), keys[3, a]
-                if key != current:
+                if tuple(keys[:3, a]) != group:
                     if best is not None:
                         yield best.rows()
-                    current, best, waiting = key, None, []
+                    group, bucket, best = tuple(keys[:3, a]), None, _Best(k, dimensions)
+                if keys[3, a] != bucket:
+                    bucket, waiting, visited = keys[3, a], [], False
                 own = batch.slice(a, b - a)
                 ids, vectors = own.column("vec_id").to_numpy(), matrix(own.column("vector"), dimensions)
-                if not is_row:
+                if not keys[4, a]:
                     waiting.append((ids, vectors))
-                elif waiting:
-                    best = _Best(*(np.concatenate(x) for x in zip(*waiting, strict=True)), k)
-                    waiting = []
-                if is_row and best is not None:
-                    best.add(ids, vectors)
+                    continue
+                if waiting:
+                    best.visit(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                    waiting, visited = [], True
+                if visited:
+                    for at in range(0, ids.size, SLICE):
+                        best.add(ids[at : at + SLICE], vectors[at : at + SLICE])
         if best is not None:
             yield best.rows()
 
@@ -229,9 +250,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     dealt = vectors.mapInArrow(_bucket_rows(hashing, dimensions, blocks, queries=False), _ROWS).unionByName(
         queries.mapInArrow(_bucket_rows(hashing, dimensions, blocks, queries=True), _ROWS)
     )
+    # A task has a share of a table's buckets, and passes on one list per query for all of them.
+    shares = max(4, -(-count // SHARE_ROWS))
     scored = (
-        dealt.repartition("table_no", "bucket", "block")
-        .sortWithinPartitions("table_no", "bucket", "block", "is_row")
+        dealt.withColumn("share", F.pmod(F.xxhash64("bucket"), F.lit(shares)))
+        .repartition("table_no", "block", "share")
+        .sortWithinPartitions("table_no", "block", "share", "bucket", "is_row")
         .mapInArrow(_scored(dimensions, k), "query_id long, vec_id long, score double")
     )
     # A candidate that several tables give counts once.
