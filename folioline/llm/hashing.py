@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; one longer document is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -123,6 +123,8 @@ def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         own = offsets[row : end + 1]
         yield row, end, data[own[0] : own[-1]], own - own[0]
         row = end
+    # Arrow's pool would keep the batch's memory for the life of the worker.
+    pa.default_memory_pool().release_unused()
 
 
 def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

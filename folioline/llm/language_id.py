@@ -38,8 +38,8 @@ TRAINING_ROWS = 20_000
 #: Languages that a profile table may have; it is sent to every task.
 MOST_LANGUAGES = 10_000
 _UNIT = float(1 << 20)
-#: Counts of one matrix product.
-_CELLS = 1 << 22
+#: Counts of one matrix product, and trigrams whose vectors are made at once.
+_CELLS, _TRIGRAMS = 1 << 20, 2048
 
 
 @lru_cache(maxsize=1)
@@ -92,15 +92,16 @@ def profiles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     column = np.zeros(SYMBOLS**3, dtype=np.int64)
     column[seen] = np.arange(seen.size)
     first = np.searchsorted(doc, np.arange(docs + 1))
+    vectors = np.empty((seen.size, DIMENSIONS), dtype=np.float32)
+    for at in range(0, seen.size, _TRIGRAMS):
+        vectors[at : at + _TRIGRAMS] = _trigram_vectors(seen[at : at + _TRIGRAMS])
     step = max(1, _CELLS // max(1, seen.size))
-    for columns in range(0, seen.size, _CELLS):
-        vectors = _trigram_vectors(seen[columns : columns + _CELLS])
-        for row in range(0, docs, step):
-            end = min(row + step, docs)
-            own = slice(first[row], first[end])
-            cells = (doc[own] - row) * seen.size + column[trigram[own]]
-            counts = np.bincount(cells, minlength=(end - row) * seen.size).reshape(end - row, seen.size)
-            out[row:end] += counts.astype(np.float32) @ vectors
+    for row in range(0, docs, step):
+        end = min(row + step, docs)
+        own = slice(first[row], first[end])
+        cells = (doc[own] - row) * seen.size + column[trigram[own]]
+        counts = np.bincount(cells, minlength=(end - row) * seen.size).reshape(end - row, seen.size)
+        out[row:end] = counts.astype(np.float32) @ vectors
     return out, has_letter
 
 

@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from folioline.llm.hashing import pieces, stretch_keys
 from folioline.session import ship_package, written
 
 #: Stretches of text whose ids a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -57,31 +57,42 @@ class StretchTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ranks = _ranks(ranks_path) if ranks_path else None
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.starts = [0]
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        plain = [i for i, t in enumerate(texts) if self.ranks and self.special not in t]
-        other = [i for i, t in enumerate(texts) if not (self.ranks and self.special not in t)]
-        self._remember([keys[i] for i in plain], [self.ranks.encode_ordinary(texts[i]) for i in plain])
-        found = self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)
-        self._remember([keys[i] for i in other], [e.ids for e in found])
-
-    def _remember(self, keys: list[int], ids: list[list[int]]) -> None:
-        used, number = self.starts[-1], len(self.starts) - 1
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32)
-        if used + flat.size > self.ids.size:
+        self._forget()
+
+    def _forget(self) -> None:
+        # Hashes of known stretches in order, and where their ids are.
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.ids, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """``keys``, in order, are unknown."""
+        found: list[list[int]] = [[]] * len(texts)
+        other = [i for i, t in enumerate(texts) if self.ranks is None or self.special in t]
+        rest = set(other)
+        for i, text in enumerate(texts):
+            if i not in rest:
+                found[i] = self.ranks.encode_ordinary(text)
+        encoded = self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)
+        for i, encoding in zip(other, encoded, strict=True):
+            found[i] = encoding.ids
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32)
+        if self.used + flat.size > self.ids.size:
             self.ids = np.concatenate([self.ids, np.zeros(max(self.ids.size, flat.size), np.uint32)])
-        self.ids[used : used + flat.size] = flat
-        self.starts.extend(accumulate(map(len, ids), initial=used))
-        del self.starts[number]
-        self.known.update(zip(keys, range(number, number + len(keys)), strict=True))
+        self.ids[self.used : self.used + flat.size] = flat
+        lengths = np.array([len(f) for f in found], dtype=np.int64)
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += flat.size
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, starts)
+        self.lengths = np.insert(self.lengths, at, lengths)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets of each text's ids)."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.starts = {}, [0]
+        if self.keys.size > REMEMBERED:
+            self._forget()
         docs = offsets.size - 1
         space = _ASCII_SPACE[data]
         begins = space.copy()
@@ -96,20 +107,19 @@ class StretchTokenizer:
             begins &= first | ~odd[doc_of_byte]
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], data.size)[: starts.size]
-        hashes, where, inverse = np.unique(stretch_keys(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        unknown = [i for i, k in enumerate(keys) if k not in self.known]
-        if unknown:
+        keys, where, inverse = np.unique(stretch_keys(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        known = place < self.keys.size
+        known[known] = self.keys[place[known]] == keys[known]
+        unknown = np.flatnonzero(~known)
+        if unknown.size:
             raw = data.tobytes()
-            self._learn(
-                [keys[i] for i in unknown],
-                [raw[starts[where[i]] : ends[where[i]]].decode("utf-8") for i in unknown],
-            )
-        number = np.array([self.known[k] for k in keys], dtype=np.int64)[inverse] if keys else np.zeros(0, np.int64)
-        bounds = np.array(self.starts, dtype=np.int64)
-        length = bounds[number + 1] - bounds[number] if number.size else number
+            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[where[unknown]], ends[where[unknown]], strict=True)]
+            self._learn(keys[unknown], texts)
+        number = np.searchsorted(self.keys, keys)[inverse]
+        length = self.lengths[number]
         total = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(bounds[number] - total[:-1], length) + np.arange(total[-1])
+        at = np.repeat(self.starts[number] - total[:-1], length) + np.arange(total[-1])
         return self.ids[at], total[np.searchsorted(starts, offsets)]
 
 
