@@ -4,6 +4,7 @@ import random
 import sys
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -118,8 +119,13 @@ TEXTS = [
 ]
 
 
+@cache
+def tokenizer_of(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(text):
-    encoded = Tokenizer.from_file(queries.TOKENIZER).encode(text or "", add_special_tokens=False).ids
+    encoded = tokenizer_of(queries.TOKENIZER).encode(text or "", add_special_tokens=False).ids
     return np.array([*encoded, 0], dtype="<u4")
 
 
