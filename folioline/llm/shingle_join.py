@@ -387,6 +387,18 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*map(pa.array, pairs)], names=["a", "b", "shared", "need"])
 
 
+def _equal(sets: DataFrame) -> DataFrame:
+    """(a, b): each document of a set that several have, with the smallest of them.
+
+    The star of a document may lead to another set, so it is not left to the stars.
+    """
+    own = ["d1", "d2", "n"]
+    heads = sets.where("n > 0").groupBy(*own).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"))
+    # Written, so that the join's sides are plain exchanges, which Spark splits where one set is frequent.
+    heads = written(heads.where("a != last").drop("last"), "equal")
+    return sets.join(heads.hint("merge"), own).where("a != doc_id").select("a", F.col("doc_id").alias("b"))
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and parities do not rule out; ``same`` marks equal sets."""
     for side in ("a", "b"):
@@ -453,7 +465,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     )
     pairs = written(_bounded(stars, sets, percent), "pairs")
     links = written(
-        pairs.where("same").select("a", "b").unionByName(_linked(pairs.where("NOT same"), named, width, percent)),
+        _equal(sets).unionByName(_linked(pairs.where("NOT same"), named, width, percent)),
         "links",
     )
     first = written(components(links, "a", "b"), "classes")

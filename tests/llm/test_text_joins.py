@@ -74,6 +74,24 @@ def test_small_blocks_and_stars_lose_nothing(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == {k: c for k, (_, c) in brute_classes(docs, 90, 3).items()}
 
 
+@pytest.mark.parametrize(("percent", "width"), [(90, 3), (80, 5)])
+def test_older_unlinked_near_copy_plus_equal_copies(spark, percent, width):
+    """Equal texts link even where each of them first tries an older, not quite similar text."""
+    rng = random.Random(7)
+    docs = []
+    for group in range(25):
+        size = rng.randrange(95, 220)
+        older = [f"g{group}x{i}" for i in range(size + width - 1)]
+        added = size * (100 - percent) // percent + 1
+        copy = older + [f"g{group}y{i}" for i in range(added)]
+        texts = [" ".join(older), *[" ".join(copy)] * (2 + group % 3)]
+        docs += [(100 * group + i, t, "en", None, len(t), "r", "s") for i, t in enumerate(texts)]
+    expected = brute_classes(docs, percent, width)
+    assert all(expected[100 * g][1] == 100 * g and expected[100 * g + 2][1] == 100 * g + 1 for g in range(25))
+    found = shingle_join.jaccard_classes(spark.createDataFrame(docs, SCHEMA), percent, width).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
 def test_query_on_documents(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     found = queries.op2_ngram_jaccard_join(spark, SF).collect()
