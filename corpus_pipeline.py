@@ -5,7 +5,7 @@ return the columns of ``documents``:
 
 1. ``language_id``: documents whose text has no letters go.
 2. ``near_duplicates``: of each group linked by five-word shingles with a Jaccard similarity of
-   0.8 or more, the document with the smallest id stays.
+   0.8 or more, the document with the smallest id stays; rows without id all stay.
 3. ``substring_dedup``: word windows that occur more than once are cut out of the texts; a
    document of which nothing is left goes.
 4. ``source_mixing``: each leaf of the domain-language-source tree keeps the documents of its
@@ -48,8 +48,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chosen = mixing.select_mix(mixing.with_domain(docs), MIX).select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    key = substring_dedup.row_key("text", "lang", "source")
+    keyed = docs.withColumn("doc_id", key)
+    chosen = mixing.select_mix(mixing.with_domain(keyed), MIX).select(F.col("doc_id").alias("row_key")).distinct()
+    return docs.withColumn("row_key", key).join(chosen, "row_key", "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ their n-grams in 256 buckets), so no link that matters for the result is lost.
 
 Defined results: null or empty text, or text without words, has an empty set and links with
 nothing; equal texts link; a document shorter than one n-gram is one n-gram; repeated ids
-are one node; an empty table gives an empty result; further columns are ignored.
+are one node; rows without id link with nothing and have a null component; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,13 +112,13 @@ def _signatures(grams: np.ndarray, spread: np.ndarray, bands: Bands) -> list[np.
 _NUMBERS = ("doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3", "band", "m0", "m1")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """(ids, sorted distinct n-gram hashes of each) of pieces of the input."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids = batch.column("doc_id")
         for row, end, data, offsets in pieces(batch.column("text")):
             grams, bounds = shingles(words(data, offsets, fold=True), width)
-            yield ids[row:end], [np.unique(grams[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield ids.slice(row, end - row), [np.unique(grams[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _digest(spread: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -131,8 +131,7 @@ def _set_rows(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, width):
-            numbers = np.zeros((len(_NUMBERS), ids.size), dtype=np.int64)
-            numbers[0] = ids
+            numbers = np.zeros((len(_NUMBERS), len(sets)), dtype=np.int64)
             for i, own in enumerate(sets):
                 if own.size:
                     spread = mixed(own, salt=1)
@@ -144,7 +143,7 @@ def _set_rows(width: int, percent: int):
                     for band, fragments, _ in bands.of(own.size):
                         if band <= numbers[8, i] + 1:
                             numbers[9 + band - numbers[8, i], i] = _cuts(own, fragments)[1].size
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers)], names=list(_NUMBERS))
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers[1:])], names=list(_NUMBERS))
 
     return run
 
@@ -203,7 +202,7 @@ def _signature_rows(width: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, docs, held = [], [], 0
         for ids, sets in _sets(batches, width):
-            for doc, own in zip(ids, sets, strict=True):
+            for doc, own in zip(ids.to_numpy(zero_copy_only=False), sets, strict=True):
                 if own.size:
                     spread = mixed(own, salt=1)
                     # Equal sets are found by their digest, whatever their size.
@@ -292,7 +291,8 @@ def _segment_rows(width: int, shared):
             ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(ids, PARTS)), pa.array(np.tile(np.arange(PARTS, dtype=np.int32), ids.size)),
+                    pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), PARTS)),
+                    pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(sets))),
                     pa.array(blobs, pa.binary()),
                 ],
                 names=["doc_id", "part", "grams"],
@@ -444,7 +444,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL")
-    sets = written(named.mapInArrow(_set_rows(width, percent), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
+    all_sets = written(docs.mapInArrow(_set_rows(width, percent), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
+    sets = all_sets.where("doc_id IS NOT NULL")
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 15, 4 << (partitions - 1).bit_length())
@@ -510,10 +511,16 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
         sets.select("doc_id", F.col("n").alias("n_shingles"))
         .join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .unionByName(
+            all_sets.where("doc_id IS NULL")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        )
     )
 
 
 def keep_first(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """The document with the smallest id of each class; all columns."""
+    """The document with the smallest id of each class, and the rows without id; all columns."""
     classes = jaccard_classes(docs, percent, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi")
+    # A union takes columns by place.
+    found = docs.join(classes, "doc_id", "left_semi").select(*docs.columns)
+    return found.union(docs.where("doc_id IS NULL"))

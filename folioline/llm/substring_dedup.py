@@ -16,8 +16,8 @@ all documents reaches a reducer once per task.
 
 Defined results: null or empty text has no words; a text shorter than the window stays whole;
 windows are judged on the input; kept words are joined by one space; a repeated row repeats
-all its windows; rows without id are left out; an empty table gives an empty result; all
-other columns pass through.
+all its windows; rows without id go by a hash of their text; an empty table gives an empty
+result; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,17 +194,21 @@ def _cut_rows(width: int, keep_layout: bool):
     return run
 
 
+def row_key(*content: str) -> Column:
+    """A row's ``doc_id``; without one a negative hash of its content."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*content).bitwiseOR(F.lit(-(1 << 63))))
+
+
 def removal_spans(docs: DataFrame, width: int = 35) -> DataFrame:
     """(doc_id, spans): runs of repeated windows of each document that has any.
 
-    A span is first window * 64 + number of windows.
+    A span is first window * 64 + number of windows. Rows without id have their ``row_key`` of
+    the text: equal texts have equal spans.
     """
     if not ANCHOR <= width < ANCHOR + _LENGTHS - 1:
         raise ValueError(f"width must be {ANCHOR} to {ANCHOR + _LENGTHS - 2}")
     ship_package(docs.sparkSession)
-    named = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
+    named = docs.select(row_key("text").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(
         named.mapInArrow(_run_rows(width), "anchor long, run long, doc_id long, span long, again boolean"), "runs"
     )
@@ -251,9 +255,8 @@ def cut_repeats(docs: DataFrame, width: int = 35, keep_layout: bool = False) ->
     """
     spans = removal_spans(docs, width)
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    packed = docs.where("doc_id IS NOT NULL").select(
-        F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"),
-        F.col("doc_id").cast("long").alias("doc_id"),
+    packed = docs.select(
+        F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"), row_key("text").alias("doc_id")
     )
     joined = packed.join(spans, "doc_id", "left").select("row", "text", "spans")
     out = T.StructType([

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -169,6 +170,28 @@ def test_unchanged_texts_keep_their_layout(spark):
     assert {r.doc_id: r.text for r in rows} == {1: "a  b\n c ", 2: "", 3: ""}
 
 
+def test_rows_without_id_stay(spark):
+    rng = random.Random(11)
+    first, second, third = (" ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(50)) for _ in range(3))
+    texts = [(1, first), (2, first), (None, first), (None, second), (None, second), (None, third), (None, None), (4, "one  two")]
+    docs = [(i, t, "en", "src1", len(t or ""), "r", "s") for i, t in texts]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    found = shingle_join.jaccard_classes(frame, 90, 3).collect()
+    assert Counter(map(tuple, found)) == Counter(
+        [(1, 48, 1), (2, 48, 1), (4, 1, 4), *[(None, 48, None)] * 4, (None, 0, None)]
+    )
+    kept = shingle_join.keep_first(frame, 90, 3)
+    assert kept.columns == frame.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(docs[:1] + docs[2:])
+    cut = substring_dedup.cut_repeats(frame, 35, keep_layout=True).collect()
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in cut) == Counter([
+        (1, "", 50, 50), (2, "", 50, 50), *[(None, "", 50, 50)] * 3, (None, third, 50, 0), (None, "", 0, 0),
+        (4, "one  two", 2, 0),
+    ])
+    mixed = corpus_pipeline.mix_sources(spark, frame.where("doc_id IS NULL AND text IS NOT NULL"), "").collect()
+    assert mixed and all(r.doc_id is None for r in mixed)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert shingle_join.jaccard_classes(empty).collect() == []
