@@ -3,7 +3,9 @@
 Markup is stripped so that every block element begins a line. Containers that are boilerplate
 by their element, role or name leave a gap of blank lines. The distribution is the sum of text
 lengths (link text not counted) over windows of ``WINDOW`` lines; the main text begins where it
-surges, ends where it dives, and everything between is kept. Where the page marks its article,
+surges for the first time, ends where it dives for the last time before a gap, and everything
+between is kept, with the rest of a list, table or broken paragraph cut by either point unless
+most of it is links. Where the page marks its article,
 only lines within are considered, and any text there is above the border; elsewhere
 the border is ``BORDER`` characters, or a third of the page's peak if that is less.
 
@@ -34,6 +36,8 @@ BLOCKS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements whose lines belong together.
+GROUPS = frozenset("ul ol dl table blockquote".split())
 #: Elements whose content is no page text.
 RAW = frozenset("script style textarea noscript template iframe svg math select button object canvas audio video head title".split())
 #: Elements that are boilerplate wherever they stand.
@@ -78,10 +82,15 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
 
 
 class _Lines:
-    """Lines of (text, weight, inside an article); a gap is a run of lines without text."""
+    """Lines of (text, weight, inside an article); a gap is a run of lines without text.
+
+    Lines of one list, table or broken paragraph have one number in ``groups``.
+    """
 
     def __init__(self):
         self.rows: list[tuple[str, int, bool]] = []
+        self.groups: list[int] = []
+        self.group = self.depth = 0
         self.parts: list[str] = []
         self.weight = 0
 
@@ -95,11 +104,20 @@ class _Lines:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 self.rows.append((text, self.weight, inside))
+                self.groups.append(self.group)
             self.parts, self.weight = [], 0
 
     def gap(self) -> None:
         if self.rows and self.rows[-1][0]:
             self.rows.extend([("", 0, False)] * WINDOW)
+            self.groups.extend([0] * WINDOW)
+
+    def block(self, tag: str, closes: bool) -> None:
+        if tag in GROUPS:
+            self.depth = max(0, self.depth - 1) if closes else self.depth + 1
+            self.group += self.depth == (0 if closes else 1)
+        elif tag != "br" and not self.depth:
+            self.group += 1
 
 
 def _closing(page: str, tag: str, at: int) -> int | None:
@@ -114,7 +132,7 @@ def _closing(page: str, tag: str, at: int) -> int | None:
     return None
 
 
-def _read(page: str, structural: bool) -> list[tuple[str, int, bool]]:
+def _read(page: str, structural: bool) -> _Lines:
     lines, at, inside, links = _Lines(), 0, 0, 0
     while match := _TAG.search(page, at):
         if match.start() > at:
@@ -139,6 +157,7 @@ def _read(page: str, structural: bool) -> list[tuple[str, int, bool]]:
                 continue
         if tag in BLOCKS:
             lines.end(inside > 0)
+            lines.block(tag, closes)
         if tag in ("article", "main"):
             lines.gap()
             inside = max(0, inside - 1) if closes else inside + 1
@@ -147,11 +166,11 @@ def _read(page: str, structural: bool) -> list[tuple[str, int, bool]]:
     if at < len(page):
         lines.text(page[at:], links > 0)
     lines.end(inside > 0)
-    return lines.rows
+    return lines
 
 
-def kept_lines(rows: list[tuple[str, int, bool]]) -> list[str]:
-    """The lines between surge and dive points."""
+def kept_lines(rows: list[tuple[str, int, bool]], groups: list[int] | None = None) -> list[str]:
+    """The lines between the first surge and the last dive of each stretch without a gap."""
     marked = any(inside and text for text, _, inside in rows)
     if marked:
         rows = [row if row[2] else ("", 0, False) for row in rows]
@@ -162,23 +181,44 @@ def kept_lines(rows: list[tuple[str, int, bool]]) -> list[str]:
     if not blocks:
         return []
     border = 1 if marked else max(1, min(BORDER, max(blocks) // 3))
-    kept, inside = [], False
-    for i, (text, _, _) in enumerate(rows):
-        surges = blocks[i] >= border and bool(text)
-        # The dive: neither this window nor those that end here reach the border.
-        dives = not text and blocks[i] == 0 or all(b < border for b in blocks[max(0, i - WINDOW + 1) : i + 1])
-        inside = not dives and (inside or surges)
-        if inside and text:
-            kept.append(text)
+    # The dive: neither this window nor those that end here reach the border.
+    reach = [text and max(blocks[max(0, i - WINDOW + 1) : i + 1]) >= border for i, (text, _, _) in enumerate(rows)]
+    whole = _unlinked_groups(rows, groups) if groups else set()
+    kept, at = [], 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and rows[end][0]:
+            end += 1
+        surges = [i for i in range(at, end) if blocks[i] >= border]
+        if surges:
+            first, last = surges[0], max(i for i in range(at, end) if reach[i])
+            if groups:
+                while first > at and groups[first - 1] == groups[first] and groups[first] in whole:
+                    first -= 1
+                while last + 1 < end and groups[last + 1] == groups[last] and groups[last] in whole:
+                    last += 1
+            kept += [text for text, _, _ in rows[first : last + 1]]
+        at = end + 1
     return kept
 
 
+def _unlinked_groups(rows: list[tuple[str, int, bool]], groups: list[int]) -> set[int]:
+    """Groups of which at least half of the text is outside links."""
+    balance: dict[int, int] = {}
+    for (text, weight, _), group in zip(rows, groups, strict=True):
+        balance[group] = balance.get(group, 0) + 2 * weight - len(text)
+    return {group for group, rest in balance.items() if rest >= 0}
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = kept_lines(_read(page, structural=True))
-    # A page of nothing but boilerplate names: trust the distribution alone.
-    return " ".join(found or kept_lines(_read(page, structural=False)))
+    for structural in (True, False):
+        # A page of nothing but boilerplate names: trust the distribution alone.
+        lines = _read(page, structural)
+        if found := kept_lines(lines.rows, lines.groups):
+            return " ".join(found)
+    return ""
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,6 +119,31 @@ def test_surge_and_dive():
     assert len(kept) <= 3 + 2 * main_text.WINDOW
 
 
+@pytest.mark.parametrize("short", [
+    "<ul>" + "".join(f"<li>item {i} ..." for i in range(6)) + "</ul>",
+    "<table>" + "".join(f"<tr><td>k{i}<td>v{i}" for i in range(6)) + "</table>",
+    "<p>" + "<br>".join(f"verse {i}" for i in range(9)) + "</p>",
+])
+def test_short_lines_of_an_article_stay(short):
+    inner = " ".join(main_text.html.unescape(main_text._TAG.sub(" ", short)).split())
+    long = f"<p>{WORDS * 9}</p>"
+    words = (WORDS * 9).strip()
+    assert main_text.main_text(f"<div>{long}{short}{long}</div>") == f"{words} {inner} {words}"
+    assert main_text.main_text(f"<div>{long}{short}</div>") == f"{words} {inner}"
+    assert main_text.main_text(f"<div>{short}{long}</div>") == f"{inner} {words}"
+
+
+def test_short_paragraphs_between_long_ones_stay():
+    talk = "".join(f"<p>- say {i}</p>" for i in range(8))
+    found = main_text.main_text(f"<p>{WORDS * 9}</p>{talk}<p>{WORDS * 9}</p>")
+    assert all(f"say {i}" in found for i in range(8))
+
+
+def test_list_of_links_after_an_article_goes():
+    links = "".join(f"<li><a href=x>other story {i}</a>" for i in range(9))
+    assert "story 5" not in main_text.main_text(f"<p>{WORDS * 9}</p><ul>{links}</ul>")
+
+
 def test_extraction_query(spark):
     rows = queries.op6_html_extraction(spark, SF).collect()
     pages = spark.read.parquet(f"{SF}/pages.parquet")
