@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element begins a line. Containers that are boilerplate
-by their element, role or name leave a gap of blank lines. The distribution is the sum of text
+by their element, role or name (the last word of a class or id, words of layout aside; never the
+container of all articles or of most of the page's text) leave a gap of blank lines. The distribution is the sum of text
 lengths (link text not counted) over windows of ``WINDOW`` lines; the main text begins where it
 surges for the first time, ends where it dives for the last time before a gap, and everything
 between is kept, with the rest of a list, table or broken paragraph cut by either point unless
@@ -50,6 +51,13 @@ NAMES = frozenset(
     "gdpr notice notices notification popup modal overlay newsletter subscribe subscription share sharing social related "
     "recommended widget widgets pagination pager toolbar login signup search copyright legal disclaimer skip toc".split()
 )
+#: Words after which a name says how a box looks, and words before it that speak of its neighbour.
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons center col column container content field footer form group head header "
+    "icon icons image images inner item items label left link links list main outer panel post posts right row section "
+    "slot text title top unit wrap wrapper".split()
+)
+STATES = frozenset("has no with without show hide hidden is not".split())
 #: Boilerplate only outside an article, where they may hold its headline.
 HEADS = frozenset(["header", "masthead", "topbar"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,12 +83,39 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
             if value.lower() in ROLES:
                 return True
             continue
-        found = {w.lower() for w in _WORD.findall(value)}
-        if found & NAMES or (not inside and found & HEADS):
-            return True
+        for token in value.split():
+            found = [w.lower() for w in _WORD.findall(token)]
+            if STATES & set(found[:-1]):
+                continue
+            names = NAMES if inside else NAMES | HEADS
+            while len(found) > 1 and found[-1] in LAYOUT - names:
+                found.pop()
+            if found and found[-1] in names:
+                return True
     return False
 
 
+_ARTICLE = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|a|title|textarea|select)(?=[\s/>])[^>]*>.*?</\1\s*>|<[^>]*>", re.S | re.I)
+
+
+def _unlinked(page: str) -> int:
+    """Characters of text outside links."""
+    return sum(map(len, _UNSEEN.sub(" ", page).split()))
+
+
+def _holds_article(page: str, at: int, end: int, inside: bool) -> bool:
+    """Whether page[at:end] has all of the page's articles or, where none is marked outside of it,
+    most of the page's text."""
+    if not inside:
+        own = _ARTICLE.search(page, at, end)
+        if _ARTICLE.search(page, 0, at) or _ARTICLE.search(page, end):
+            return False
+        if own:
+            return True
+    return 2 * _unlinked(page[at:end]) > _unlinked(page)
+
+
 class _Lines:
     """Lines of (text, weight, inside an article); a gap is a run of lines without text.
 
@@ -150,7 +185,8 @@ def _read(page: str, structural: bool) -> _Lines:
             continue
         if structural and not closes and tag not in VOID and _boilerplate(tag, attributes, inside > 0):
             end = _closing(page, tag, at)
-            if end is not None:
+            named = tag not in CONTAINERS and not _HIDDEN.search(attributes)
+            if end is not None and not (named and _holds_article(page, at, end, inside > 0)):
                 lines.end(inside > 0)
                 lines.gap()
                 at = end

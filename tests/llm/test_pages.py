@@ -139,6 +139,28 @@ def test_short_paragraphs_between_long_ones_stay():
     assert all(f"say {i}" in found for i in range(8))
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "comments-open", "share-story", "legal", "toc"])
+@pytest.mark.parametrize("inner", ["<p>{}</p>", "<article><p>{}</p></article>"])
+def test_names_around_an_article_stay(name, inner):
+    text = (WORDS * 9).strip()
+    found = main_text.main_text(f"<div><p>Other words outside</p></div><div class='{name}'>{inner.format(text)}</div>")
+    assert text in found
+    nested = f"<article><p>one</p><div class='{name}'><p>{text}</p></div><p>two</p></article>"
+    assert main_text.main_text(nested) == f"one {text} two"
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "commentList", "related-posts", "ad-container", "x-share_buttons", "toc"])
+def test_names_of_boilerplate_go(name):
+    text = (WORDS * 9).strip()
+    for page in (f"<p>{text}</p><div class='{name}'><p>{WORDS}</p></div>", f"<article>{text}<div id='{name}'>{WORDS}</div></article>"):
+        assert main_text.main_text(page) == text
+
+
+def test_head_names_go_outside_an_article():
+    text = (WORDS * 9).strip()
+    assert main_text.main_text(f"<div class='site-header'>{WORDS}</div><p>{text}</p>") == text
+
+
 def test_list_of_links_after_an_article_goes():
     links = "".join(f"<li><a href=x>other story {i}</a>" for i in range(9))
     assert "story 5" not in main_text.main_text(f"<p>{WORDS * 9}</p><ul>{links}</ul>")
