@@ -4,7 +4,8 @@ A document's tokens (and one closing id) are cut only if they exceed a sequence;
 piece is then the shorter one. A piece needs (tokens, 1 document, attention cost = tokens
 squared); a sequence has a capacity in each of the three. Longest pieces first, each piece goes to
 the open sequence that can hold it in all three and whose residual is left shortest (weighted
-norm) or fits best (weighted dot product).
+norm) or fits best (weighted dot product). With the default capacities only tokens can bind, as
+pieces have at least one token and the squares of lengths sum to at most the square of their sum.
 
 Pieces of one length are alike, so are sequences with equal residuals. The choice is
 therefore made once for a whole class: the driver sees how many pieces there are of each

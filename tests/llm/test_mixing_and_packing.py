@@ -208,3 +208,14 @@ def test_every_capacity_holds(rule):
         for offset, length in sorted(own):
             assert offset == ends
             ends += length
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("limit", "most"), [({"documents": 3}, 3), ({"attention": 450}, 4), ({}, 10)])
+def test_each_other_capacity_binds(rule, limit, most):
+    """Ten pieces of 10 tokens fill 100, unless there may be only 3 or squares only up to 450."""
+    capacity = packing.Capacity(**{"tokens": 100, "documents": 100, "attention": 100 * 100, "rule": rule, **limit})
+    sizes = Counter()
+    for _, _, number, sequence, _ in packing.plan({10: 60}, capacity):
+        sizes.update(range(sequence, sequence + number))
+    assert max(sizes.values()) == most and len(sizes) == 60 // most
