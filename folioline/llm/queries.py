@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioline.llm import capture_index, embedding_dedup, language_id, main_text, mixing, neighbours, packing, quality, shingle_join, substring_dedup
+from folioline.llm import (
+    capture_index,
+    embedding_dedup,
+    fill_middle,
+    language_id,
+    main_text,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    shingle_join,
+    substring_dedup,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -143,6 +155,39 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=42, percent=50, spm_percent=80)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+#: The text comes back from its pieces, in their places in the text.
+_FILL_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1,
+         ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+         ('0x' || h[25:32])::BIGINT % 100 < 80 AS suffix_first,
+         t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+           OR ('0x' || h[17:24])::BIGINT % 100 >= 50 AS is_plain
+  FROM cut),
+parts AS (
+  SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(u[greatest(c1, c2) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN is_plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT is_plain THEN length(p) END AS prefix_chars, CASE WHEN NOT is_plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN is_plain THEN t WHEN suffix_first THEN '<S>' || s || '<P>' || p || '<M>' || m
+                   ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(CASE WHEN is_plain THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts"""
+
+
 QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -154,7 +199,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": _mix_sql(),
+    "op13_fill_in_middle": _FILL_SQL,
 }
