@@ -10,6 +10,7 @@ from folioline.llm import (
     capture_index,
     embedding_dedup,
     fill_middle,
+    hard_negatives,
     language_id,
     main_text,
     mixing,
@@ -157,6 +158,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, scale=256)
+
+
+_NEGATIVES_SQL = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM own a JOIN own b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -206,10 +235,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_counts": op12_token_counts,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": _mix_sql(),
+    "op11_hard_negatives": _NEGATIVES_SQL,
     "op13_fill_in_middle": _FILL_SQL,
 }
