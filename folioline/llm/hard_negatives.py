@@ -46,9 +46,9 @@ SAMPLE = 4000
 MOST_CELLS = 1024
 #: Rows of a block, and bytes of its vectors, at most about.
 BLOCK, BLOCK_BYTES = 4096, 1 << 24
-SHRINK, FANOUT, LEAF = 0.7, 16, 64
-#: Anchors in step; and anchors that one copy of a block serves.
-TOGETHER, ANCHORS = 1024, 100_000
+SHRINK, FANOUT, LEAF = 0.7, 16, 256
+#: Anchors in step, nodes that each opens at a time, and anchors that one copy of a block serves.
+TOGETHER, OPENED, ANCHORS = 1024, 8, 100_000
 #: Rounding of angles, as a part of the product of both norms.
 SLACK = 1e-6
 _EXACT = 2.0**52
@@ -212,26 +212,36 @@ class Best:
         """What a row must score to count: the window's limit, or the k-th found."""
         return np.where(self.found[:, :, -1], np.maximum(self.low, self.scores[:, :, -1]), self.low)
 
-    def take(self, anchors: np.ndarray, scores: np.ndarray, ids: np.ndarray, fits: np.ndarray) -> None:
-        for slot in range(self.low.shape[1]):
-            low, high = self.low[anchors, slot][:, None], self.high[anchors, slot][:, None]
-            good = fits & (scores >= low) & (scores <= high)
-            some = good.any(axis=1)
-            if not some.any():
-                continue
-            rows, good = anchors[some], good[some]
-            every = np.concatenate([self.scores[rows, slot], scores[some]], axis=1)
-            names = np.concatenate([self.ids[rows, slot], np.broadcast_to(ids, good.shape)], axis=1)
-            has = np.concatenate([self.found[rows, slot], good], axis=1)
-            # ~score falls as the score rises, without overflow.
-            order = np.lexsort((names, ~every, ~has), axis=-1)[:, : self.k]
-            self.scores[rows, slot] = np.take_along_axis(every, order, axis=1)
-            self.ids[rows, slot] = np.take_along_axis(names, order, axis=1)
-            self.found[rows, slot] = np.take_along_axis(has, order, axis=1)
+    def take(self, anchors: np.ndarray, floor: np.ndarray, scores: np.ndarray, ids: np.ndarray, fits: np.ndarray) -> None:
+        """Scores of some rows (columns) for some anchors; ``fits`` is what their labels allow."""
+        slots = self.low.shape[1]
+        at, slot, row = np.nonzero(
+            fits[:, None, :] & (scores[:, None, :] >= floor[:, :, None]) & (scores[:, None, :] <= self.high[anchors][:, :, None])
+        )
+        if not at.size:
+            return
+        key = anchors[at] * slots + slot
+        keys = np.unique(key)
+        flat = [x.reshape(-1, self.k) for x in (self.scores, self.ids, self.found)]
+        has = flat[2][keys]
+        key = np.concatenate([np.repeat(keys, self.k)[has.reshape(-1)], key])
+        score = np.concatenate([flat[0][keys][has], scores[at, row]])
+        name = np.concatenate([flat[1][keys][has], ids[row]])
+        # ~score falls as the score rises, without overflow.
+        order = np.lexsort((name, ~score, key))
+        key, score, name = key[order], score[order], name[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        place = np.arange(key.size) - np.repeat(head, np.diff(np.concatenate([head, [key.size]])))
+        kept = place < self.k
+        for held, new in zip(flat, (score[kept], name[kept], True), strict=True):
+            held[key[kept], place[kept]] = new
 
 
 def descend(tree: CoverTree, sphere: Sphere, ids, labels, vectors, best: Best, same: bool) -> int:
-    """Best-first search of a tree by some anchors in step; the number of leaves verified."""
+    """Best-first search of a tree by some anchors in step; the number of leaves verified.
+
+    An anchor opens its best node, then its two best, and so on up to ``OPENED`` at a time.
+    """
     directions, norms = sphere.anchors(vectors)
     _, least, greatest = sphere.bounds(directions, norms, tree.centres, tree.cover)
     exact = sphere.largest**2 < _EXACT
@@ -239,27 +249,34 @@ def descend(tree: CoverTree, sphere: Sphere, ids, labels, vectors, best: Best, s
     # What an anchor can hope for in a node of its frontier; the root first.
     hope = np.full(greatest.shape, -np.inf)
     hope[:, 0] = greatest[:, 0]
-    verified = 0
+    verified, width = 0, 1
     while everyone.size:
-        node = hope[everyone].argmax(axis=1)
-        top = hope[everyone, node]
-        everyone, node = everyone[top > -np.inf], node[top > -np.inf]
-        if not everyone.size:
-            break
-        hope[everyone, node] = -np.inf
-        floor = best.floor()[everyone]
-        wanted = (greatest[everyone, node][:, None] >= floor) & (least[everyone, node][:, None] <= best.high[everyone])
-        opened = (wanted & (floor <= best.high[everyone])).any(axis=1)
-        for at in np.unique(node[opened]):
-            rows = everyone[opened & (node == at)]
-            inside = slice(tree.first[at], tree.last[at])
+        many = min(width, hope.shape[1])
+        width = min(2 * width, OPENED)
+        node = np.argpartition(-hope[everyone], many - 1, axis=1)[:, :many]
+        top = np.take_along_axis(hope[everyone], node, axis=1)
+        going = top > -np.inf
+        floor = best.floor()
+        shown = floor[everyone][:, None, :]
+        wanted = going & (
+            (np.take_along_axis(greatest[everyone], node, axis=1)[:, :, None] >= shown)
+            & (np.take_along_axis(least[everyone], node, axis=1)[:, :, None] <= best.high[everyone][:, None, :])
+            & (shown <= best.high[everyone][:, None, :])
+        ).any(axis=2)
+        hope[np.repeat(everyone, many), node.reshape(-1)] = -np.inf
+        row, place = np.nonzero(wanted)
+        anchor, node = everyone[row], node[row, place]
+        for at in np.unique(node):
+            rows, inside = anchor[node == at], slice(tree.first[at], tree.last[at])
             if not tree.is_leaf[at]:
                 hope[rows, inside] = np.minimum(greatest[rows, inside], greatest[rows, at][:, None])
                 continue
             verified += rows.size
             scores = inner(tree.vectors[inside], vectors[rows], exact)
             fits = (tree.labels[inside][None, :] == labels[rows][:, None]) == same
-            best.take(rows, scores, tree.ids[inside], fits & (tree.ids[inside][None, :] != ids[rows][:, None]))
+            fits &= tree.ids[inside][None, :] != ids[rows][:, None]
+            best.take(rows, floor[rows], scores, tree.ids[inside], fits)
+        everyone = everyone[going.all(axis=1) | (hope[everyone] > -np.inf).any(axis=1)]
     return verified
 
 
@@ -292,7 +309,7 @@ class Index:
         self.pivots = points[net(points, wanted)[0]]
         dealt = written(rows.drop("norm").mapInArrow(self._cells(), "cell int, away double, vec_id long, label string, vector binary"), "dealt")
         # One row a cell, of at most MOST_CELLS.
-        size = min(BLOCK, max(LEAF, BLOCK_BYTES // (8 * dimensions)))
+        size = min(BLOCK, max(64, BLOCK_BYTES // (8 * dimensions)))
         cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("cover")).collect()
         self.blocks = {c["cell"]: -(-c["n"] // size) for c in cells}
         self.cells = np.array(sorted(self.blocks), dtype=np.int64)
