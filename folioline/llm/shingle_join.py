@@ -12,10 +12,17 @@ puts the same n-grams into very many documents; so no frequency table is needed.
 *Counts.* For each candidate pair the overlap is counted in each of four coarse fragments
 separately and summed per pair; the sum decides.
 
+*Fewer candidates.* A document has more segments than it can differ in, so linked documents
+share a known number of them, ``need``. A document that shares fewer with all others together has no
+partner. The others leave out their ``need`` - 1 most frequent shared segments: of ``need`` common
+ones the rarest is left on both sides. So passages of very many documents make no candidates.
+
 *Large groups.* A document is first compared with one other, the smallest member of most of its
-groups. Only pairs of a group that are still in different components after
-these are looked at one by one: in blocks, after a bound on their difference (the parity of
-their n-grams in 256 buckets), so no link that matters for the result is lost.
+groups. Groups that still hold several components are looked at block by block: pairs that
+a bound on their difference (the parities of their n-grams, in buckets) leaves open are
+ranked for each two components of the block, and only the likeliest are compared; what stays apart
+gets the next ranks, and at last all. So no link that matters for the result is lost, and a
+group of near copies costs some pairs a document and not all pairs.
 
 Defined results: null or empty text, or text without words, has an empty set and links with
 nothing; equal texts link; a document shorter than one n-gram is one n-gram; repeated ids
@@ -41,6 +48,11 @@ BAND_RATIO = 1.5
 #: Bits of the filter of document ids, at most; beyond some 30 million ids it lets more pass.
 FILTER_BITS = 1 << 27
 SKETCH_BITS = 256
+#: Parities of a document that may have partners: two for each n-gram, within these limits.
+LEAST_BITS, MOST_BITS = 512, 1 << 14
+#: Ranks of the pairs of two components in a block that are compared in each round.
+RANKS = ((0, 4), (4, 64), (64, 1 << 62))
+_NO_MARK = -(1 << 63)
 #: Documents compared with each other in one block.
 BLOCK = 1000
 #: Signatures that a task gathers before it passes them on.
@@ -64,7 +76,7 @@ class Bands:
     @staticmethod
     def _spare(size: int, difference: int) -> int:
         """Fragments beyond difference + 1: more than the empty segments that a document of this
-        size is likely to have, so that linked documents share one that is not empty."""
+        size is likely to have, so that linked documents share some that are not empty."""
         spare, most = 2, max(2, difference)
         while True:
             fragments = difference + 1 + spare
@@ -85,7 +97,17 @@ class Bands:
         """(band, fragments, spare ones) in which a document of ``n`` n-grams looks for partners."""
         band = self.band(n)
         last = int(np.searchsorted(self.limits, 100 * n // self.percent, side="right")) - 1
-        return [(k, self.most[k] + 1 + self.spare[k], self.spare[k]) for k in range(band, last + 1) if self.most[k]]
+        return [
+            (k, self.most[k] + 1 + self.spare[k], self.spare[k])
+            for k in range(band, last + 1) if self.most[k]
+        ]
+
+    def need(self, band: int, segments: int) -> int:
+        """How many signatures a document with so many segments that are not empty shares with each partner.
+
+        A differing n-gram changes one segment. Where too many are empty these count as well.
+        """
+        return max(segments - self.most[band], 1)
 
 
 def _cuts(grams: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,22 +116,24 @@ def _cuts(grams: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     return part, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
 
 
-def _signatures(grams: np.ndarray, spread: np.ndarray, bands: Bands) -> list[np.ndarray]:
-    """Hashes of (band, fragment, segment) of one sorted set."""
+def _signatures(grams: np.ndarray, spread: np.ndarray, bands: Bands, code_at: int = 0) -> list[np.ndarray]:
+    """Hashes of (band, fragment, segment) of one sorted set; the band modulo 4 is kept at bit ``code_at``."""
     found = []
     for band, fragments, spare in bands.of(grams.size):
         part, starts = _cuts(grams, fragments)
         salt = part[starts] * U64(0x9E3779B97F4A7C15) + U64(band * 0xC2B2AE3D27D4EB4F & (2**64 - 1))
-        found.append(mixed(np.add.reduceat(spread, starts) ^ mixed(salt)))
+        own = [mixed(np.add.reduceat(spread, starts) ^ mixed(salt))]
         if fragments - starts.size > spare:
             # So many empty segments may be all that two linked documents share.
             empty = np.setdiff1d(np.arange(fragments, dtype=U64), part)
-            found.append(mixed(empty * U64(0x9E3779B97F4A7C15) + U64(band + 1), salt=7))
+            own.append(mixed(empty * U64(0x9E3779B97F4A7C15) + U64(band + 1), salt=7))
+        code = U64(3 << code_at)
+        found += [(x & ~code) | U64((band & 3) << code_at) for x in own]
     return found
 
 
-#: Size, digest, parities, band, and non-empty segments in it and in the next band.
-_NUMBERS = ("doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3", "band", "m0", "m1")
+#: Size, digest, parities, band, and signatures shared with any partner in it and the next two bands.
+_NUMBERS = ("doc_id", "n", "d1", "d2", "s0", "s1", "s2", "s3", "band", "w0", "w1", "w2")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -126,7 +150,7 @@ def _digest(spread: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def _set_rows(width: int, percent: int):
-    """Each document's number of n-grams, set digest, parities and numbers of segments."""
+    """Each document's number of n-grams, set digest, parities and signatures needed."""
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +165,7 @@ def _set_rows(width: int, percent: int):
                     numbers[4:8, i] = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
                     numbers[8, i] = bands.band(own.size)
                     for band, fragments, _ in bands.of(own.size):
-                        if band <= numbers[8, i] + 1:
-                            numbers[9 + band - numbers[8, i], i] = _cuts(own, fragments)[1].size
+                        numbers[9 + band - numbers[8, i], i] = bands.need(band, _cuts(own, fragments)[1].size)
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers[1:])], names=list(_NUMBERS))
 
     return run
@@ -164,6 +187,7 @@ def _signature_rows(width: int, percent: int, buckets: int):
     so a segment of a third of all documents meets in a bucket once per task.
     """
     bands, shift = Bands(percent), U64(64 - (buckets - 1).bit_length())
+    code_at = int(shift) - _KEPT_BITS
 
     def packed(sig: np.ndarray, doc: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
         if not sig.size:
@@ -204,9 +228,7 @@ def _signature_rows(width: int, percent: int, buckets: int):
         for ids, sets in _sets(batches, width):
             for doc, own in zip(ids.to_numpy(zero_copy_only=False), sets, strict=True):
                 if own.size:
-                    spread = mixed(own, salt=1)
-                    # Equal sets are found by their digest, whatever their size.
-                    found = [mixed(np.array(_digest(spread)[:1]), salt=3), *_signatures(own, spread, bands)]
+                    found = _signatures(own, mixed(own, salt=1), bands, code_at)
                     sigs += found
                     number = sum(f.size for f in found)
                     docs.append(np.full(number, doc))
@@ -248,7 +270,7 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _segments(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, part, grams): the sorted n-gram hashes in each coarse fragment, of the documents
-    with the given ids and maybe some others.
+    with the given ids and maybe some others; their parities as part -1.
 
     A bitmap of hashed ids, of bounded size, spares a shuffle of all texts.
     """
@@ -273,6 +295,45 @@ def _segments(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _parities(grams: np.ndarray) -> bytes:
+    """Whether an odd number of the n-grams falls into each bucket; more buckets for more of them."""
+    bits = LEAST_BITS
+    while bits < min(2 * grams.size, MOST_BITS):
+        bits *= 2
+    counts = np.bincount(mixed(grams, salt=5) & U64(bits - 1), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+class Parities:
+    """Parities of some documents; of two numbers of buckets the smaller is compared."""
+
+    def __init__(self, blobs: np.ndarray):
+        self.size = np.array([len(x) for x in blobs], dtype=np.int64)
+        self.at, self.tables = {}, {}
+        for size in np.unique(self.size).tolist():
+            # Half as many buckets: two become one, odd if one of them was.
+            rows = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            self.at[size] = np.zeros(self.size.size, dtype=np.int64)
+            self.at[size][rows] = np.arange(rows.size)
+            parts = [np.frombuffer(blobs[i], dtype=U64) for i in rows]
+            half = size // 8
+            self.tables[size] = np.stack([p if p.size == half else p[:half] ^ p[half:] for p in parts])
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """At most the number of n-grams that only one of both has."""
+        found = np.zeros(left.size, dtype=np.int64)
+        size = np.minimum(self.size[left], self.size[right])
+        # Sizes of linked documents are less than a factor of 2 apart, so theirs are at most one step.
+        near = np.maximum(self.size[left], self.size[right]) <= 2 * size
+        for own, table in self.tables.items():
+            pairs = np.flatnonzero((size == own) & near)
+            for at in range(0, pairs.size, 1 << 13):
+                some = pairs[at : at + (1 << 13)]
+                x, y = (table[self.at[own][side[some]]] for side in (left, right))
+                found[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return found
+
+
 def _segment_rows(width: int, shared):
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,16 +344,18 @@ def _segment_rows(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array([p << 62 for p in range(1, PARTS)], dtype=U64)
         for ids, sets in _sets(chosen(batches), width):
-            # The top 6 bytes: within a fragment of one pair they tell n-grams apart.
-            blobs = [
-                piece.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-                for own in sets
-                for piece in np.split(own, np.searchsorted(own, cuts))
-            ]
+            blobs = []
+            for own in sets:
+                blobs.append(_parities(own))
+                # The top 6 bytes: within a fragment of one pair they tell n-grams apart.
+                blobs += [
+                    piece.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                    for piece in np.split(own, np.searchsorted(own, cuts))
+                ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), PARTS)),
-                    pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(sets))),
+                    pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), PARTS + 1)),
+                    pa.array(np.tile(np.arange(-1, PARTS, dtype=np.int32), len(sets))),
                     pa.array(blobs, pa.binary()),
                 ],
                 names=["doc_id", "part", "grams"],
@@ -321,52 +384,66 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _block_pairs(percent: int):
-    """(a, b, shared, need): pairs within sorted runs of one key, of different components.
+def _block_pairs(percent: int, ranks: tuple[int, int]):
+    """(a, b): pairs of documents within sorted runs of one key that are of different components.
 
-    Of the non-empty segments of either document at most as many differ as n-grams may differ;
-    ``need`` is how many must therefore be shared, in all groups together.
+    For each two first components of a run, the open pairs are ranked by their parities and those
+    of the given ranks go on. ``more`` is the signature of a run with further ranks.
     """
-    numbers = ["doc_id", "component", "n", "s0", "s1", "s2", "s3", "band", "m0", "m1"]
+    columns = ["signature", "low", "high", "block", "first", "component", "doc_id", "n", "parity"]
 
     def pairs(rows: dict[str, np.ndarray]) -> np.ndarray:
         key = np.stack([rows["signature"], rows["low"], rows["high"]])
+        run = np.cumsum(np.concatenate([[0], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if key.size else key[0]
+        parities = Parities(rows["parity"])
         found = []
-        for step in range(1, key.shape[1]):
-            left = np.flatnonzero((key[:, step:] == key[:, :-step]).all(axis=0))
+        for step in range(1, run.size):
+            left = np.flatnonzero(run[step:] == run[:-step])
             if not left.size:
                 break
             right = left + step
-            keep = rows["component"][left] != rows["component"][right]
+            keep = rows["first"][left] != rows["first"][right]
             # Pairs inside one block are looked at where the two blocks are one.
             keep &= (rows["block"][left] != rows["block"][right]) | (rows["low"][left] == rows["high"][left])
-            left, right = left[keep], right[keep]
             n, m = rows["n"][left], rows["n"][right]
-            most = (100 - percent) * (n + m) // (100 + percent)
-            apart = sum(np.bitwise_count(rows[s][left] ^ rows[s][right]).astype(np.int64) for s in ("s0", "s1", "s2", "s3"))
-            keep = (apart <= most) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            left, right, most = left[keep], right[keep], most[keep]
-            top = np.maximum(rows["band"][left], rows["band"][right])
-            segments = [
-                np.where(top == rows["band"][i], rows["m0"][i], np.where(top == rows["band"][i] + 1, rows["m1"][i], 0))
-                for i in (left, right)
-            ]
+            keep &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            left, right = left[keep], right[keep]
+            if not left.size:
+                continue
+            most = (100 - percent) * (n[keep] + m[keep]) // (100 + percent)
+            apart = parities.apart(left, right)
+            keep = apart <= most
+            left, right, apart = left[keep], right[keep], apart[keep]
+            one, two = rows["first"][left], rows["first"][right]
             a, b = rows["doc_id"][left], rows["doc_id"][right]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.maximum(*segments) - most]))
+            open_yet = rows["component"][left] != rows["component"][right]
+            found.append(np.stack([
+                run[left], np.minimum(one, two), np.maximum(one, two), apart - most[keep], np.minimum(a, b), np.maximum(a, b), open_yet,
+            ]))
         if not found:
-            return np.zeros((4, 0), np.int64)
-        a, b, need = np.concatenate(found, axis=1)
-        order = np.lexsort((b, a))
-        a, b, need = a[order], b[order], need[order]
-        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if a.size else order
-        shared = np.diff(np.concatenate([head, [a.size]]))
-        return np.stack([a[head], b[head], shared, need[head]])
+            return np.zeros((3, 0), np.int64)
+        table = np.concatenate(found, axis=1)
+        table = table[:, np.lexsort(table[5::-1])]
+        fresh = np.ones(table.shape[1], dtype=bool)
+        fresh[1:] = (table[:3, 1:] != table[:3, :-1]).any(axis=0)
+        head = np.flatnonzero(fresh)
+        rank = np.arange(fresh.size) - head[np.cumsum(fresh) - 1]
+        more = np.unique(rows["signature"][np.searchsorted(run, table[0, rank >= ranks[1]])])
+        table = table[:, (rank >= ranks[0]) & (rank < ranks[1]) & (table[6] > 0)]
+        chosen = np.unique(table[4:6], axis=1)
+        marks = np.stack([np.full(more.size, -1), np.full(more.size, -1), more])
+        return np.concatenate([np.concatenate([chosen, np.full((1, chosen.shape[1]), _NO_MARK)]), marks], axis=1)
+
+    def taken(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]}
+        rows["parity"] = np.empty(batch.num_rows, dtype=object)
+        rows["parity"][:] = batch.column("parity").to_pylist()
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["signature", "low", "high", "block", *numbers]
         kept: dict[str, np.ndarray] | None = None
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            rows = taken(batch)
             if kept is not None:
                 rows = {c: np.concatenate([kept[c], rows[c]]) for c in columns}
             if not rows["signature"].size:
@@ -384,7 +461,10 @@ def _block_pairs(percent: int):
 
 
 def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*map(pa.array, pairs)], names=["a", "b", "shared", "need"])
+    """Columns a and b of a pair, or more."""
+    is_pair = pairs[2] == _NO_MARK
+    columns = [pa.array(column, mask=~is_pair if i < 2 else is_pair) for i, column in enumerate(pairs)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "more"])
 
 
 def _equal(sets: DataFrame) -> DataFrame:
@@ -415,14 +495,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, a_n, b_n) those whose overlaps, summed over fragments, suffice."""
     # The centres, ``a``, are few: they travel once for the members and no member for them.
     x, y = (
-        _segments(docs, pairs.select(F.col(c).alias("doc_id")).distinct(), width).withColumnRenamed("doc_id", c)
-        for c in ("a", "b")
+        segments.where("part >= 0").select(F.col("doc_id").alias(c), "part", F.col("grams").alias(g))
+        for c, g in (("a", "x"), ("b", "y"))
     )
-    x, y = x.withColumnRenamed("grams", "x"), y.withColumnRenamed("grams", "y")
     sizes = pairs.select("a", "b", "a_n", "b_n")
     parts = (
         sizes.select("a", "b").join(y.hint("merge"), "b").join(x.hint("merge"), ["a", "part"]).select("a", "b", "part", "x", "y")
@@ -435,6 +514,34 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return total.join(sizes, ["a", "b"]).where(F.col("overlap") * 100 >= union * percent).select("a", "b")
 
 
+def _groups(named: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """(signature, doc_id): shared segments by which every document meets each partner."""
+    partitions = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 15, 4 << (partitions - 1).bit_length())
+    every = written(
+        named.mapInArrow(_signature_rows(width, percent, buckets), _ROUTED)
+        .repartition("route").mapInArrow(_group_rows, "signature long, doc_id long"),
+        "groups",
+    )
+    sizes = every.groupBy("signature").agg(F.count(F.lit(1)).alias("size"))
+    needs = (
+        sets.select("doc_id", F.posexplode(F.array("w0", "w1", "w2")).alias("next", "need"), "band").where("need > 0")
+        .groupBy("doc_id", ((F.col("band") + F.col("next")) % 4).alias("code")).agg(F.min("need").alias("need"))
+    )
+    return (
+        every.join(sizes.hint("merge"), "signature")
+        .withColumn("code", F.col("signature").bitwiseAND(F.lit(3)))
+        .join(needs.hint("merge"), ["doc_id", "code"])
+        .selectExpr(
+            "signature", "doc_id", "need",
+            "row_number() OVER (PARTITION BY doc_id, code ORDER BY size, signature) AS place",
+            "count(*) OVER (PARTITION BY doc_id, code) AS shared",
+        )
+        .where("place <= shared - need + 1")
+        .select("signature", "doc_id")
+    )
+
+
 def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document of (doc_id, text).
 
@@ -447,13 +554,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     all_sets = written(docs.mapInArrow(_set_rows(width, percent), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
     sets = all_sets.where("doc_id IS NOT NULL")
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(1 << 15, 4 << (partitions - 1).bit_length())
-    groups = written(
-        named.mapInArrow(_signature_rows(width, percent, buckets), _ROUTED)
-        .repartition("route").mapInArrow(_group_rows, "signature long, doc_id long"),
-        "groups",
-    )
+    groups = written(_groups(named, sets, width, percent), "candidates")
+    segments = written(_segments(named, groups.select("doc_id").distinct(), width), "segments")
     # A group's smallest document is its centre. Of its centres a document first tries the one
     # with which it shares most segments: the others count only if this leaves them apart.
     centres = groups.groupBy("signature").agg(F.min("doc_id").alias("centre"))
@@ -466,56 +568,69 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     )
     pairs = written(_bounded(stars, sets, percent), "pairs")
     links = written(
-        _equal(sets).unionByName(_linked(pairs.where("NOT same"), named, width, percent)),
+        _equal(sets).unionByName(_linked(pairs.where("NOT same"), segments, percent)),
         "links",
     )
-    first = written(components(links, "a", "b"), "classes")
+    classes = written(components(links, "a", "b"), "classes")
+    classes = _rest(groups, sets, segments, pairs, links, classes, percent)
+    return (
+        sets.select("doc_id", F.col("n").alias("n_shingles"))
+        .join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .unionByName(
+            all_sets.where("doc_id IS NULL")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        )
+    )
+
 
-    # What the stars left apart: groups with documents of more than one component. Of equal sets
-    # one document stands for all.
+def _rest(groups, sets, segments, tried, links, classes, percent: int) -> DataFrame:
+    """The classes, with what the stars left apart: groups with documents of several components."""
+    # Of equal sets one document stands for all.
     one_each = (
         sets.where("n > 0")
-        .join(first.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-        .groupBy("d1", "d2", "n").agg(F.min_by("component", "doc_id").alias("component"), F.min("doc_id").alias("doc_id"))
-        .select("doc_id", "component")
+        .join(classes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
+        .withColumn("first", F.coalesce("component", "doc_id"))
+        .groupBy("d1", "d2", "n").agg(F.min_by("first", "doc_id").alias("first"), F.min("doc_id").alias("doc_id"))
     )
-    placed = written(groups.join(one_each.hint("merge"), "doc_id"), "members")
+    placed = written(groups.join(one_each.hint("merge"), "doc_id").select("signature", "doc_id", "n", "first"), "members")
     mixed_groups = (
         placed.groupBy("signature")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min("first").alias("low"), F.max("first").alias("high"))
         .where("low != high")
         .select("signature", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
-    apart = placed.join(mixed_groups.hint("merge"), "signature")
-    blocks = (
-        apart.join(sets.drop("d1", "d2").hint("merge"), "doc_id")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .select("signature", "low", "high", "block", "component", *[c for c in _NUMBERS if c not in ("d1", "d2")])
-        .repartition("signature", "low", "high")
-        .sortWithinPartitions("signature", "low", "high")
-    )
-    rest = (
-        blocks.mapInArrow(_block_pairs(percent), "a long, b long, shared long, need long")
-        .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
-        .where("shared >= need").select("a", "b")
+    parities = segments.where("part = -1").select("doc_id", F.col("grams").alias("parity"))
+    apart = written(
+        placed.join(mixed_groups.hint("merge"), "signature").join(parities.distinct().hint("merge"), "doc_id")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))),
+        "apart",
     )
-    rest = rest.join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    rest = written(_bounded(rest, sets, percent), "rest")
-    more = _linked(rest, named, width, percent)
-    classes = components(links.unionByName(more), "a", "b")
-    return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .unionByName(
-            all_sets.where("doc_id IS NULL")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    for ranks in RANKS:
+        now = classes.select(F.col("node").alias("doc_id"), "component")
+        blocks = (
+            apart.join(now.hint("merge"), "doc_id", "left")
+            .withColumn("component", F.coalesce("component", "doc_id"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .withColumn("low", F.least("block", "other"))
+            .withColumn("high", F.greatest("block", "other"))
+            .select("signature", "low", "high", "block", "first", "component", "doc_id", "n", "parity")
+            .repartition("signature", "low", "high")
+            .sortWithinPartitions("signature", "low", "high")
         )
-    )
+        found = written(blocks.mapInArrow(_block_pairs(percent, ranks), "a long, b long, more long").distinct(), "found")
+        rest = found.where("more IS NULL").select("a", "b")
+        rest = rest.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        rest = written(_bounded(rest, sets, percent), "rest")
+        if not rest.isEmpty():
+            tried = tried.unionByName(rest)
+            links = written(links.unionByName(_linked(rest, segments, percent)), "links")
+            classes = written(components(links, "a", "b"), "classes")
+        open_runs = found.where("more IS NOT NULL").select(F.col("more").alias("signature")).distinct()
+        if open_runs.isEmpty():
+            break
+        apart = written(apart.join(open_runs.hint("merge"), "signature", "left_semi"), "apart")
+    return classes
 
 
 def keep_first(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:

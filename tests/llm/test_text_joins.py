@@ -123,8 +123,49 @@ def test_linked_sizes_share_a_segment():
                 both = np.intersect1d(a, b).size
                 if 100 * both < percent * (a.size + b.size - both) or (a == b).all():
                     continue
-                sides = [np.concatenate([[0], *shingle_join._signatures(x, x, bands)]).astype(np.uint64)[1:] for x in (a, b)]
-                assert np.intersect1d(*sides).size
+                sides = [np.concatenate([np.zeros(0, np.uint64), *shingle_join._signatures(x, x, bands)]) for x in (a, b)]
+                # A document that leaves out its need - 1 most frequent ones keeps one of each partner's.
+                band = bands.band(max(a.size, b.size))
+                shared = [x for x in np.intersect1d(*sides) if int(x) & 3 == band & 3]
+                segments = [shingle_join._cuts(x, bands.most[band] + 1 + bands.spare[band])[1].size for x in (a, b)]
+                assert len(shared) >= max(bands.need(band, m) for m in segments) > 0
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 200, 250, 300, 510, 520, 9000, 15000)]
+    sets += [np.union1d(x[: x.size // 2], rng.integers(0, 2**63, x.size // 2, dtype=np.uint64)) for x in sets]
+    blobs = np.empty(len(sets), dtype=object)
+    blobs[:] = [shingle_join._parities(x) for x in sets]
+    parities = shingle_join.Parities(blobs)
+    left, right = (x.reshape(-1) for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    found = parities.apart(left, right)
+    for i, j, apart in zip(left, right, found, strict=True):
+        assert apart <= np.setxor1d(sets[i], sets[j]).size
+    assert (found > 100).sum() > 10
+
+
+@pytest.mark.parametrize("size", [100, 400, 1600])
+def test_pairs_of_a_large_group_grow_with_its_rows(spark, monkeypatch, size):
+    """Near copies around the threshold, and texts that share only a passage with all of them."""
+    rng = random.Random(size)
+    base = [f"b{i}" for i in range(200)]
+    passage = [f"p{i}" for i in range(40)]
+    docs = []
+    for i in range(size):
+        if i % 4:
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 6, 8])):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        else:
+            own = [f"y{rng.randrange(10**9)}" for _ in range(90)] + passage + [f"z{rng.randrange(10**9)}" for _ in range(90)]
+        docs.append((i, " ".join(own)))
+    counted, plain = [], shingle_join._bounded
+    monkeypatch.setattr(shingle_join, "_bounded", lambda pairs, *rest: counted.append(pairs.count()) or plain(pairs, *rest))
+    found = shingle_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), 80, 5).collect()
+    assert sum(counted) < 6 * size
+    if size == 400:
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_classes(docs, 80, 5)
 
 
 def brute_cut(docs, width):
