@@ -2,12 +2,12 @@
 
 Vectors at unit length are cut into halves, each with a codebook of its own (k-means on a
 bounded sample); a vector's cell is its pair of nearest codewords. The distance of a linked
-vector is at most sqrt(2 - 2 t). For another codeword a vector's half has a distance to the
-border of that codeword's region; the multi-sequence traversal visits cells in order of
-the sum of both squared distances, and ends where the recall wanted is reached: a difference of
-that length in an arbitrary direction crosses a border at ``REACH`` standard deviations with a
-probability of less than 1e-4. In cells that it visits, a vector is compared with all
-inhabitants, exactly and in double precision.
+vector is at most sqrt(2 - 2 t), and for another codeword a vector's half has a distance to the
+border of that codeword's region. The multi-sequence traversal visits cells in order of the
+sum of both squared distances and ends where that sum exceeds the squared distance of a link:
+no linked vector lives beyond, so the recall reached is 1 for vectors of any kind. Both ends of a
+link visit each other's cell, so a vector leaves out the cells numbered below its own. In the
+cells visited it is compared with all inhabitants, exactly and in double precision.
 
 A cell's inhabitants are dealt into blocks of about ``BLOCK``; visitors stream past a block. A
 block does not pass on its pairs but each vector's number of links, and links that span
@@ -16,8 +16,9 @@ what is connected, so a large group of copies costs no table of pairs.
 Equal vectors of a label are one class with a number of members from the start.
 
 Defined results: a vector that is null, zero, of unusual length, or holds null or
-non-finite components, and one with a null label, links with nothing; rows that repeat an id count
-as one vector (that with the smallest bytes) and give a row each; rows without id are left out; an
+non-finite components, and one with a null label, links with nothing; labels are compared as their
+strings; rows that repeat an id count as one vector (that with the smallest bytes) and give a row
+each; rows without id link with nothing, have a null component and are kept; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -34,13 +35,18 @@ from folioline.llm.components import components
 from folioline.llm.vectors import matrix, packed, sample, usual_length
 from folioline.session import ship_package, written
 
-SAMPLE = 5000
+#: Vectors that the codebooks are fitted on, at most, and for each codeword.
+SAMPLE, PER_CODE = 20_000, 40
 #: Vectors wanted in a cell.
 OCCUPANCY = 64
-MOST_CODES = 128
-REACH = 4.0
-BLOCK = 2000
+MOST_CODES = 1024
+#: Inhabitants of a block, and bytes of their vectors, at most about.
+BLOCK, BLOCK_BYTES = 8192, 1 << 25
+#: Visitors compared at once.
+VISITORS = 256
 ROUNDS = 12
+#: Rounding of distances to borders.
+SLACK = 1e-9
 
 
 def _codebook(points: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -61,13 +67,17 @@ def _squared(points: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (points**2).sum(axis=1)[:, None] - 2 * points @ codes.T + (codes**2).sum(axis=1)[None, :]
 
 
+def codes_for(rows: int) -> int:
+    """Codewords of each half for so many vectors of a label."""
+    return int(np.clip(np.ceil(np.sqrt(rows / OCCUPANCY)), 1, MOST_CODES))
+
+
 class MultiIndex:
-    def __init__(self, drawn: np.ndarray, rows: int, threshold: float):
+    def __init__(self, drawn: np.ndarray, size: int, threshold: float):
         unit = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
         self.half = drawn.shape[1] // 2
-        size = int(np.clip(np.ceil(np.sqrt(rows / OCCUPANCY)), 1, min(MOST_CODES, len(drawn))))
         self.books = [_codebook(unit[:, : self.half], size, 5), _codebook(unit[:, self.half :], size, 6)]
-        self.margin = np.sqrt(max(0.0, 2 - 2 * threshold)) * min(1.0, REACH / np.sqrt(drawn.shape[1]))
+        self.limit = max(0.0, 2 - 2 * threshold) + SLACK
 
     def _borders(self, points: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(nearest code, squared distance to the border of each code's region)"""
@@ -79,11 +89,14 @@ class MultiIndex:
         return home, np.maximum(gap, 0.0) ** 2
 
     def visits(self, vectors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(home cell, cells visited in order of distance, home first) of each vector."""
+        """(home cell, cells visited in order of distance, home first) of each vector.
+
+        Cells numbered below home are left out: their inhabitants come here.
+        """
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         home1, gap1 = self._borders(unit[:, : self.half], self.books[0])
         home2, gap2 = self._borders(unit[:, self.half :], self.books[1])
-        width, limit = len(self.books[1]), self.margin**2
+        width, limit = len(self.books[1]), self.limit
         cells = []
         for i in range(len(vectors)):
             # Two sorted sequences; only their heads can be within the limit together.
@@ -91,12 +104,13 @@ class MultiIndex:
             total = gap1[i, near1][:, None] + gap2[i, near2][None, :]
             one, two = np.nonzero(total <= limit)
             order = np.argsort(total[one, two], kind="stable")
-            cells.append((near1[one] * width + near2[two])[order])
+            found = (near1[one] * width + near2[two])[order]
+            cells.append(found[found >= home1[i] * width + home2[i]])
         return home1 * width + home2, cells
 
 
-_NAMES = ["label", "cell", "is_visit", "vec_id", "members", "home", "cells", "vector"]
-_ROWS = "label long, cell long, is_visit int, vec_id long, members long, home long, cells array<long>, vector binary"
+_NAMES = ["label", "cell", "is_visit", "vec_id", "members", "home", "vector"]
+_ROWS = "label string, cell long, is_visit int, vec_id long, members long, home long, vector binary"
 
 
 def _cell_rows(index: MultiIndex, dimensions: int):
@@ -109,9 +123,6 @@ def _cell_rows(index: MultiIndex, dimensions: int):
                 home, cells = index.visits(matrix(batch.column("vector"), dimensions))
                 lengths = np.array([c.size for c in cells], dtype=np.int64)
                 visiting = np.repeat(np.arange(len(home)), lengths)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(cells))
-                )
                 for row, cell, is_visit in ((np.arange(len(home)), home, 0), (visiting, np.concatenate(cells), 1)):
                     taken = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
@@ -119,8 +130,6 @@ def _cell_rows(index: MultiIndex, dimensions: int):
                             batch.column("label").take(taken), pa.array(cell.astype(np.int64)),
                             pa.array(np.full(row.size, is_visit, dtype=np.int32)), batch.column("vec_id").take(taken),
                             batch.column("members").take(taken), pa.array(home[row].astype(np.int64)),
-                            # Inhabitants carry their visits, to tell whether they find a visitor themselves.
-                            pa.nulls(row.size, pa.list_(pa.int64())) if is_visit else lists,
                             batch.column("vector").take(taken),
                         ],
                         names=_NAMES,
@@ -157,21 +166,18 @@ class _Block:
         )
         self.vectors = np.concatenate([matrix(p.column("vector"), dimensions) for p in parts])
         self.norms = np.linalg.norm(self.vectors, axis=1)
-        self.cells = [set(c) for p in parts for c in p.column("cells").to_pylist()]
 
     def links(self, batch: pa.RecordBatch, dimensions: int) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 1024):
-            own = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, VISITORS):
+            own = batch.slice(at, VISITORS)
             ids, members, home = (own.column(c).to_numpy() for c in ("vec_id", "members", "home"))
             vectors = matrix(own.column("vector"), dimensions)
             cosine = (vectors @ self.vectors.T) / (np.linalg.norm(vectors, axis=1)[:, None] * self.norms[None, :])
             visitor, other = np.nonzero(cosine >= self.threshold)
             keep = ids[visitor] != self.ids[other]
             visitor, other = visitor[keep], other[keep]
-            # The visitor counts the link. So does the inhabitant, unless it visits the visitor's home.
-            alone = np.zeros(visitor.size, dtype=bool)
-            for i in np.flatnonzero(home[visitor] != self.home[other]):
-                alone[i] = home[visitor[i]] not in self.cells[other[i]]
+            # At home both visit each other. Elsewhere the inhabitant does not come to the visitor's home.
+            alone = home[visitor] != self.home[other]
             found = np.concatenate([ids[visitor], self.ids[other[alone]]])
             number = np.concatenate([self.members[other], members[visitor[alone]]])
             nodes, flat = np.unique(found, return_inverse=True)
@@ -193,15 +199,18 @@ def _linked(dimensions: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, block, waiting = None, None, []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("label", "cell", "block", "is_visit")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cell", "block", "is_visit")])
+            labels = batch.column("label").dictionary_encode()
+            named = labels.indices.to_numpy()
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (named[1:] != named[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if a == b:
                     continue
-                if tuple(keys[:3, a]) != current:
-                    current, block, waiting = tuple(keys[:3, a]), None, []
+                here = (labels.dictionary[int(named[a])].as_py(), *keys[:2, a])
+                if here != current:
+                    current, block, waiting = here, None, []
                 own = batch.slice(a, b - a)
-                if not keys[3, a]:
+                if not keys[2, a]:
                     waiting.append(own)
                 elif waiting or block:
                     block = block or _Block(waiting, dimensions, threshold)
@@ -214,9 +223,9 @@ def _linked(dimensions: int, threshold: float):
 def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
     ship_package(rows.sparkSession)
-    every = written(packed(rows.where("vec_id IS NOT NULL"), "vec_id long, label long"), "vectors")
+    every = written(packed(rows, "vec_id long, label string"), "vectors")
     size = usual_length(every)
-    valid = every.where((F.length("vector") == size) & F.col("label").isNotNull())
+    valid = every.where((F.length("vector") == size) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     one = valid.groupBy("vec_id").agg(F.min(F.struct("vector", "label")).alias("least")).select("vec_id", "least.*")
     classes = written(
         one.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("members")), "classes"
@@ -224,11 +233,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     singles = classes.select("label", F.col("first").alias("vec_id"), "members", "vector")
     count, dimensions = singles.count(), size // 8
     if count and dimensions > 1:
-        labels = max(1, singles.select("label").distinct().count())
-        index = MultiIndex(sample(singles, SAMPLE, dimensions), count // labels, threshold)
+        largest = singles.groupBy("label").count().agg(F.max("count")).first()[0]
+        codes, most = codes_for(largest), max(64, min(BLOCK, BLOCK_BYTES // size))
+        index = MultiIndex(sample(singles, min(SAMPLE, PER_CODE * codes), dimensions), codes, threshold)
         dealt = written(singles.mapInArrow(_cell_rows(index, dimensions), _ROWS), "cells")
         # A crowded cell has several blocks: an inhabitant lives in one, a visitor sees all.
-        crowded = dealt.where("is_visit = 0").groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        crowded = dealt.where("is_visit = 0").groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks"))
         blocks = dealt.join(crowded, ["label", "cell"]).withColumn(
             "block",
             F.explode(F.expr(
@@ -263,5 +273,5 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
             "vec_id", F.coalesce("links", F.lit(0)).alias("n_links"),
             F.coalesce("component", "vec_id").alias("component_id"),
         )
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )

@@ -139,13 +139,18 @@ def _sum_batch(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
     )
 
 
+def _drawn(share: float) -> Column:
+    """Whether a row is of the share, by a hash of its id; some rows are at any size of the table."""
+    return (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < max(1, int(share * (1 << 62)))) | F.lit(share >= 1.0)
+
+
 def learn(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> list[tuple[str, list[int]]]:
     """Language profiles from (doc_id, text, lang): rows of known language, drawn by their id."""
     ship_package(docs.sparkSession)
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
     rows = max(1, known.select("lang").count())
     share = min(1.0, training_rows / rows)
-    drawn = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) | F.lit(share == 1.0))
+    drawn = known.where(_drawn(share))
     sums = drawn.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(
         _sum_rows, "lang string, profile array<long>"
     )
@@ -157,7 +162,17 @@ def learn(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> list[tuple[str
 
 
 def predict(docs: DataFrame, learned: list[tuple[str, list[int]]]) -> DataFrame:
-    """``docs`` with lang_pred and score appended; only ``text`` is looked at."""
+    """``docs`` with lang_pred and score appended; only ``text`` is looked at.
+
+    Columns of the input of these names are replaced.
+    """
+    made = _predicted(docs, learned)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return made.select(*[F.col("row").getField(c).alias(c) for c in kept], "lang_pred", "score")
+
+
+def _predicted(docs: DataFrame, learned: list[tuple[str, list[int]]]) -> DataFrame:
+    """(row, lang_pred, score): the whole row as a struct."""
     ship_package(docs.sparkSession)
     names = np.array([name for name, _ in learned] or ["und"], dtype=object)
     known = np.array([p for _, p in learned], dtype=np.float64).reshape(len(learned), DIMENSIONS)
@@ -183,9 +198,7 @@ def predict(docs: DataFrame, learned: list[tuple[str, list[int]]]) -> DataFrame:
     out = T.StructType(
         [packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
-    made = packed.mapInArrow(run, out)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return made.select(*[F.col("row").getField(c).alias(c) for c in kept], "lang_pred", "score")
+    return packed.mapInArrow(run, out)
 
 
 def held_out() -> Column:
@@ -194,6 +207,11 @@ def held_out() -> Column:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents that have a language; all columns. Texts without letters go."""
+    """The documents that have a language; all columns as they were. Texts without letters go.
+
+    Where no language can be learned, as no row has one, all documents stay.
+    """
     learned = learn(docs.where(~held_out()))
-    return predict(docs, learned).where("lang_pred != 'und'").select(*docs.columns)
+    if not learned:
+        return docs
+    return _predicted(docs, learned).where("lang_pred != 'und'").select("row.*")

@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,24 +98,72 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
 
 
 _ARTICLE = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|a|title|textarea|select)(?=[\s/>])[^>]*>.*?</\1\s*>|<[^>]*>", re.S | re.I)
-
-
-def _unlinked(page: str) -> int:
-    """Characters of text outside links."""
-    return sum(map(len, _UNSEEN.sub(" ", page).split()))
-
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?][^<>]*>", re.S
+)
+#: Elements whose text is no text outside links.
+_UNSEEN = frozenset("script style a title textarea select".split())
+_UNSEEN_END = re.compile(r"</(script|style|a|title|textarea|select)\s*>", re.I)
+
+
+class _Page:
+    """What the containers of a page ask for, found in two passes over it."""
+
+    def __init__(self, page: str):
+        self.articles = [m.start() for m in _ARTICLE.finditer(page)]
+        closers: dict[str, tuple[list[int], list[int]]] = {tag: ([], []) for tag in _UNSEEN}
+        for match in _UNSEEN_END.finditer(page):
+            for places, place in zip(closers[match.group(1).lower()], match.span(), strict=True):
+                places.append(place)
+
+        def after(match: re.Match, skipped: tuple | frozenset) -> int:
+            """Where to go on: behind the element if its text is skipped and it is closed."""
+            tag = (match.group(2) or "").lower()
+            if tag in skipped and not match.group(1):
+                starts, ends = closers[tag]
+                number = bisect_left(starts, match.end())
+                if number < len(ends):
+                    return ends[number]
+            return match.end()
 
-def _holds_article(page: str, at: int, end: int, inside: bool) -> bool:
-    """Whether page[at:end] has all of the page's articles or, where none is marked outside of it,
-    most of the page's text."""
-    if not inside:
-        own = _ARTICLE.search(page, at, end)
-        if _ARTICLE.search(page, 0, at) or _ARTICLE.search(page, end):
-            return False
-        if own:
-            return True
-    return 2 * _unlinked(page[at:end]) > _unlinked(page)
+        # Text outside links up to the end of each piece of it.
+        self.places, self.sums = [0], [0]
+        at = 0
+        while match := _TOKEN.search(page, at):
+            self._text(page, at, match.start())
+            at = after(match, _UNSEEN)
+        self._text(page, at, len(page))
+        self.ends: dict[int, int] = {}
+        opened: dict[str, list[int]] = {}
+        at = 0
+        while match := _TOKEN.search(page, at):
+            at = after(match, ("script", "style"))
+            tag = (match.group(2) or "").lower()
+            if tag and not match.group(1):
+                opened.setdefault(tag, []).append(match.start())
+            elif opened.get(tag):
+                self.ends[opened[tag].pop()] = match.end()
+
+    def _text(self, page: str, at: int, end: int) -> None:
+        if end > at:
+            self.places.append(end)
+            self.sums.append(self.sums[-1] + sum(map(len, page[at:end].split())))
+
+    def closing(self, start: int) -> int | None:
+        """Where the element that begins at ``start`` ends."""
+        return self.ends.get(start)
+
+    def holds_article(self, at: int, end: int, inside: bool) -> bool:
+        """Whether page[at:end] has all of the page's articles or, where none is marked outside of it,
+        most of the page's text."""
+        if not inside:
+            first, last = bisect_left(self.articles, at), bisect_left(self.articles, end)
+            if first or last < len(self.articles):
+                return False
+            if last > first:
+                return True
+        own = self.sums[bisect_right(self.places, end) - 1] - self.sums[bisect_right(self.places, at) - 1]
+        return 2 * own > self.sums[-1]
 
 
 class _Lines:
@@ -155,20 +205,15 @@ class _Lines:
             self.group += 1
 
 
-def _closing(page: str, tag: str, at: int) -> int | None:
-    """Where the element that was opened before ``at`` ends."""
-    depth = 1
-    for match in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.S | re.I).finditer(page, at):
-        if match.group(1) is None:
-            continue
-        depth += -1 if match.group(1) else 1
-        if not depth:
-            return match.end()
-    return None
+@cache
+def _closes(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
 
 
 def _read(page: str, structural: bool) -> _Lines:
     lines, at, inside, links = _Lines(), 0, 0, 0
+    whole = _Page(page) if structural else None
+    unclosed: set[str] = set()
     while match := _TAG.search(page, at):
         if match.start() > at:
             lines.text(page[at : match.start()], links > 0)
@@ -178,15 +223,17 @@ def _read(page: str, structural: bool) -> _Lines:
             continue
         closes, attributes = bool(match.group(1)), match.group(3)
         if tag in RAW and not closes and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            end = _closes(tag).search(page, at) if tag not in unclosed else None
+            if not end:
+                unclosed.add(tag)
             if end or tag in ("script", "style"):
                 lines.end(inside > 0)
                 at = end.end() if end else len(page)
             continue
         if structural and not closes and tag not in VOID and _boilerplate(tag, attributes, inside > 0):
-            end = _closing(page, tag, at)
+            end = whole.closing(match.start())
             named = tag not in CONTAINERS and not _HIDDEN.search(attributes)
-            if end is not None and not (named and _holds_article(page, at, end, inside > 0)):
+            if end is not None and not (named and whole.holds_article(at, end, inside > 0)):
                 lines.end(inside > 0)
                 lines.gap()
                 at = end

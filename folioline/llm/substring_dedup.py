@@ -16,8 +16,8 @@ all documents reaches a reducer once per task.
 
 Defined results: null or empty text has no words; a text shorter than the window stays whole;
 windows are judged on the input; kept words are joined by one space; a repeated row repeats
-all its windows; rows without id go by a hash of their text; an empty table gives an empty
-result; all other columns pass through.
+all its windows; rows without id, and rows whose id has several texts, go by a hash of id and text;
+an empty table gives an empty result; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -199,16 +199,26 @@ def row_key(*content: str) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*content).bitwiseOR(F.lit(-(1 << 63))))
 
 
-def removal_spans(docs: DataFrame, width: int = 35) -> DataFrame:
-    """(doc_id, spans): runs of repeated windows of each document that has any.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, text, doc_id): ``doc_id`` is the row's key, which one text has only."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), row_key("text").alias("doc_id"))
+    versions = packed.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    # Written, so that Spark knows that they are few and moves no texts for them.
+    several = written(versions.where("low != high").select("doc_id", F.lit(True).alias("several")), "several")
+    hashed = F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(1 << 63)))
+    return packed.join(several, "doc_id", "left").select(
+        "row", "text", F.when(F.col("several"), hashed).otherwise(F.col("doc_id")).alias("doc_id")
+    )
+
 
-    A span is first window * 64 + number of windows. Rows without id have their ``row_key`` of
-    the text: equal texts have equal spans.
+def removal_spans(named: DataFrame, width: int = 35) -> DataFrame:
+    """(doc_id, spans): runs of repeated windows of each document of (doc_id, text) that has any.
+
+    A span is first window * 64 + number of windows. Rows with equal ids must have equal texts.
     """
     if not ANCHOR <= width < ANCHOR + _LENGTHS - 1:
         raise ValueError(f"width must be {ANCHOR} to {ANCHOR + _LENGTHS - 2}")
-    ship_package(docs.sparkSession)
-    named = docs.select(row_key("text").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ship_package(named.sparkSession)
     rows = written(
         named.mapInArrow(_run_rows(width), "anchor long, run long, doc_id long, span long, again boolean"), "runs"
     )
@@ -253,12 +263,9 @@ def cut_repeats(docs: DataFrame, width: int = 35, keep_layout: bool = False) ->
     With ``keep_layout`` a text that loses nothing stays as it is. Columns of the input named
     ``n_words`` or ``n_removed`` are replaced.
     """
-    spans = removal_spans(docs, width)
-    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    packed = docs.select(
-        F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"), row_key("text").alias("doc_id")
-    )
-    joined = packed.join(spans, "doc_id", "left").select("row", "text", "spans")
+    keyed = _keyed(docs)
+    spans = removal_spans(keyed.select("doc_id", "text"), width)
+    joined = keyed.join(spans, "doc_id", "left").select("row", "text", "spans")
     out = T.StructType([
         joined.schema["row"], T.StructField("text", T.StringType()),
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),

@@ -26,12 +26,12 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed(rows: DataFrame, keep: str) -> DataFrame:
-    """The columns ``keep`` (a DDL list of longs) and ``vector``: float64 bytes of ``embedding``.
+    """The columns ``keep`` (a DDL list) and ``vector``: float64 bytes of ``embedding``.
 
     A vector that is null, empty or zero, or holds null, NaN or an infinity is null.
     """
-    names = [c.split()[0] for c in keep.split(",")]
-    wide = rows.select(*[F.col(c).cast("long").alias(c) for c in names], F.col("embedding").cast("array<double>"))
+    columns = [c.split() for c in keep.split(",")]
+    wide = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns], F.col("embedding").cast("array<double>"))
     return wide.mapInArrow(_packed_rows, f"{keep}, vector binary")
 
 
@@ -54,6 +54,6 @@ def sample(vectors: DataFrame, size: int, dimensions: int) -> np.ndarray:
     """About ``size`` vectors, drawn by their id, in the order of the ids' hashes."""
     rows = vectors.count()
     share = min(1.0, size / max(1, rows))
-    drawn = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
+    drawn = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 62)) < max(1, int(share * (1 << 62))))
     found = drawn.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * size).collect()
     return np.frombuffer(b"".join(bytes(r["vector"]) for r in found), dtype=np.float64).reshape(len(found), dimensions)

@@ -112,6 +112,45 @@ def test_pipeline_stages(spark):
     ]
 
 
+CLASHING = ["score", "lang_pred", "row", "row_key", "n_words", "n_removed", "whole", "spans", "domain", "component_id", "place"]
+
+
+def test_stages_leave_further_columns_alone(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    given = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    # A row without id, and an id with two texts, of which one is long.
+    long = " ".join(f"w{i % 977}x{i % 1009}" for i in range(60_000))
+    extra = [(None, "some other words here", "en", "src1", 21), (7_000_001, "short text", "en", "src1", 10), (7_000_001, long, "en", "src1", len(long))]
+    rows = spark.createDataFrame([(*r, *CLASHING) for r in extra], ", ".join([docs.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), *[f"{c} string" for c in CLASHING]]))
+    given = given.unionByName(rows.select(given.columns))
+    for name, stage in corpus_pipeline.STAGES:
+        path = corpus_pipeline.written(stage(spark, given, SMALL), name)
+        assert path.count() > 0
+        if name != "best_fit_packing":
+            assert path.schema.simpleString() == given.schema.simpleString()
+            for row in path.where("doc_id < 7000000").collect():
+                assert all(row[c] == f"{c}:{row.doc_id}" for c in CLASHING)
+            if name != "source_mixing":
+                assert {r.n_chars for r in path.where("doc_id = 7000001").collect()} == {10, len(long)}
+        given = path
+
+
+def test_the_learners_share_of_any_table(spark):
+    ids = spark.range(2000).withColumnRenamed("id", "doc_id")
+    for rows in (1, 20_000, 30_000, 10**8, 10**11, 10**14):
+        share = min(1.0, language_id.TRAINING_ROWS / rows)
+        bound = max(1, int(share * 2**62))
+        assert 0 < bound and abs(bound / 2**62 - share) <= 1e-9 * share + 2**-62
+        assert ids.where(language_id._drawn(share)).count() == 2000 if share == 1 else True
+    assert 800 < ids.where(language_id._drawn(0.5)).count() < 1200
+
+
+def test_no_language_to_learn(spark):
+    rows = [(1, "some words", None, "s", 10), (2, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.keep_known_languages(spark, docs, "").count() == 2
+
+
 def test_run_equals_the_stages_and_handles_no_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyarrow import fs
@@ -176,3 +177,13 @@ def test_extraction_query(spark):
 
     wanted = {r.page_id: " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", r.a))).split()) for r in inner}
     assert {r.page_id: r.text for r in rows} == wanted
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='comment'><p>hello there</p></div>" * 100_000, "<nav>x" * 50_000, "<select>x" * 50_000, "<" * 200_000,
+    "<p class=\"" * 50_000, "<a href=x>y" * 50_000, "<!--" * 100_000, "<script>" * 50_000,
+])
+def test_time_grows_with_the_page(page):
+    started = time.perf_counter()
+    found = main_text.main_text("<p>" + "word " * 200 + "</p>" + page)
+    assert found.startswith("word word") and time.perf_counter() - started < 5

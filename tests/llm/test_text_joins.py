@@ -205,6 +205,21 @@ def test_cut_query(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == expected
 
 
+def test_one_id_with_two_texts(spark):
+    """Removal is by row, not by id; and a passage that only such rows share is repeated."""
+    rng = random.Random(13)
+
+    def words_of(n):
+        return [f"q{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage = words_of(50)
+    texts = [(1, words_of(200) + passage), (1, passage + words_of(3)), (1, words_of(12)), (2, words_of(91)), (3, words_of(40) + passage)]
+    rows = [(i, " ".join(t), "", "", 0, "", "") for i, t in texts]
+    found = substring_dedup.cut_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), 35).collect()
+    want = [(i, len(t), 50 * (len(t) not in (12, 91)), " ".join(w for w in t if w not in passage)) for i, t in texts]
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in found) == sorted(want)
+
+
 def test_unchanged_texts_keep_their_layout(spark):
     docs = [(1, "a  b\n c ", "", "", 0, "", ""), (2, None, "", "", 0, "", ""), (3, "x " * 80, "", "", 0, "", "")]
     rows = substring_dedup.cut_repeats(spark.createDataFrame(docs, SCHEMA), 35, keep_layout=True).collect()

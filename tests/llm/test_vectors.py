@@ -78,7 +78,7 @@ def brute_links(rows, threshold):
     own = valid(rows)
     ids = sorted(i for i in own if own[i][1] is not None)
     unit = {i: own[i][0] / np.linalg.norm(own[i][0]) for i in ids}
-    links = {r[0]: set() for r in rows if r[0] is not None}
+    links = {r[0]: set() for r in rows}
     for a in ids:
         for b in ids:
             if a != b and own[a][1] == own[b][1] and unit[a] @ unit[b] >= threshold:
@@ -88,6 +88,8 @@ def brute_links(rows, threshold):
     while changed:
         changed = False
         for a, others in links.items():
+            if not others:
+                continue
             low = min([least[a], *[least[b] for b in others]])
             changed, least[a] = changed or low < least[a], low
     return {i: (len(links[i]), least[i], least[i] == i) for i in links}
@@ -96,11 +98,36 @@ def brute_links(rows, threshold):
 @pytest.mark.parametrize("block", [2000, 7])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "VISITORS", 50)
     monkeypatch.setattr(embedding_dedup, "OCCUPANCY", 8)
     rows = made_vectors()
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == brute_links(rows, 0.98)
-    assert len(found) == len(rows) - 1
+    assert len(found) == len(rows)
+
+
+@pytest.mark.parametrize(("rank", "dimensions"), [(3, 64), (4, 512), (3, 768), (3, 2048)])
+def test_vectors_of_low_rank_lose_no_link(spark, monkeypatch, rank, dimensions):
+    monkeypatch.setattr(embedding_dedup, "OCCUPANCY", 4)
+    rng = np.random.default_rng(rank + dimensions)
+    points = (rng.standard_normal((700, rank)) @ rng.standard_normal((rank, dimensions))).astype(np.float32)
+    rows = [(i, p.tolist(), i % 2) for i, p in enumerate(points)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    unit = points.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    side = np.arange(700) % 2
+    number = ((unit @ unit.T >= 0.98) & (side[:, None] == side[None, :])).sum(axis=1) - 1
+    assert number.sum() > 300
+    assert {r.vec_id: r.n_links for r in found.collect()} == dict(enumerate(number.tolist()))
+
+
+def test_labels_of_other_types(spark):
+    rows = [(0, [1.0, 0.0], 1.2), (1, [1.0, 0.01], 1.7), (2, [1.0, 0.02], 1.2), (3, [1.0, 0.0], None)]
+    links = [1, 0, 1, 0]
+    for kind, make in (("double", lambda x: x), ("string", lambda x: x and f"l{x}")):
+        frame = spark.createDataFrame([(i, v, make(x)) for i, v, x in rows], f"vec_id long, embedding array<float>, label {kind}")
+        found = embedding_dedup.near_duplicates(frame).collect()
+        assert [r.n_links for r in sorted(found)] == links
 
 
 def test_near_duplicates_on_embeddings(spark):
