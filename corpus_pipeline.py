@@ -11,6 +11,13 @@ return the columns of ``documents``:
 4. ``source_mixing``: each leaf of the domain-language-source tree keeps the documents of its
    token-prefix; none is repeated.
 5. ``best_fit_packing``: the kept documents, tokenised and packed into sequences of 2048.
+
+Defined results, for each stage: a null or empty text has no language and goes in stage 1 (where
+no row names a language nothing can be learned, and all stay); equal texts with different ids are
+near duplicates, of which the smallest id stays; repeated rows of one id are one document until the
+mix, and pass it together; rows without id are never near duplicates of others; texts of any length are
+read whole; ties go to the smaller id; further columns, whatever their names, pass through unchanged
+until the last stage, which returns the columns of ``packing.pack``; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -36,22 +43,23 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.cut_repeats(docs, width=35, keep_layout=True)
-    changed = F.col("n_removed") > 0
+    cut = substring_dedup.cut_repeats(
+        docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole")), width=35, keep_layout=True
+    )
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("whole.n_chars")).cast(kind)
     return cut.where("n_words > n_removed").select(
-        *[
-            F.when(changed, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
-            if c == "n_chars" else F.col(c)
-            for c in docs.columns
-        ]
+        *[made.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns]
     )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = substring_dedup.row_key("text", "lang", "source")
-    keyed = docs.withColumn("doc_id", key)
-    chosen = mixing.select_mix(mixing.with_domain(keyed), MIX).select(F.col("doc_id").alias("row_key")).distinct()
-    return docs.withColumn("row_key", key).join(chosen, "row_key", "left_semi").select(*docs.columns)
+    key = substring_dedup.row_key("text", "lang", "source").alias("doc_id")
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), key, "text", "lang", "source")
+    chosen = mixing.select_mix(mixing.with_domain(keyed.drop("whole")), MIX).select("doc_id").distinct()
+    return keyed.select("whole", "doc_id").join(chosen, "doc_id", "left_semi").select("whole.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
