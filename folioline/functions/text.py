@@ -1,10 +1,8 @@
-"""Text functions: whitespace, marker normalisation, sequence similarity."""
+"""Text functions: whitespace and marker normalisation."""
 
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,9 +117,3 @@ def normalize_column(df: DataFrame, text: str, name: str) -> DataFrame:
     return add_once(
         visited, **{name: F.when(F.col(f"{name}_hard"), F.col(slow)).otherwise(fast)}
     ).drop(slow, f"{name}_hard")
-
-
-@lru_cache(maxsize=200_000)
-def similarity(first: str, second: str) -> float:
-    """Ratcliff-Obershelp ratio; not symmetric, the wanted text comes first."""
-    return SequenceMatcher(None, first, second).ratio()

@@ -139,13 +139,12 @@ gate AS (
 _GATE = _gate_cte()
 
 # Matching blocks are found by recursion: the longest common one, then what is left and right of it.
-_FUZZY_GATE = f"""WITH RECURSIVE
-markers(ord, marker, norm, k) AS (VALUES
-  (0, 'licenced under', 'licenced under', 2), (1, 'MIT license', 'mit license', 2),
-  (2, 'all right reserved', 'all right reserved', 3)),
-pages AS (SELECT doc_id, {_PAGE_TEXT} AS page_text FROM documents),
+def _fuzzy_gate(markers: str, text: str) -> str:
+    return f"""WITH RECURSIVE
+{markers},
+pages AS (SELECT doc_id, {text} AS page_text FROM documents),
 normed AS (
-  SELECT doc_id, trim(page_text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank,
+  SELECT doc_id, coalesce(trim(page_text, ' ' || chr(9) || chr(10) || chr(13)), '') = '' AS blank,
          {_NORMALIZED.format(x='page_text')} AS norm FROM pages),
 exact AS (
   SELECT doc_id, min(ord) AS ord FROM normed JOIN markers m
@@ -197,6 +196,46 @@ SELECT doc_id,
        ELSE 'no no_need_page field matched' END AS reason
 FROM found LEFT JOIN markers USING (ord)"""
 
+
+_FUZZY_GATE = _fuzzy_gate(
+    """markers(ord, marker, norm, k) AS (VALUES
+  (0, 'licenced under', 'licenced under', 2), (1, 'MIT license', 'mit license', 2),
+  (2, 'all right reserved', 'all right reserved', 3))""",
+    _PAGE_TEXT,
+)
+_FUZZY_GATE_MANY = _fuzzy_gate(
+    f"""firsts AS (
+  SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord,
+         array_to_string(regexp_extract_all(text, '[^ \\t\\r\\n]+')[1:3], ' ') AS marker
+  FROM benchmark WHERE text IS NOT NULL),
+markers AS (
+  SELECT ord, marker, norm, len(string_split(norm, ' ')) AS k
+  FROM (SELECT ord, marker, {_NORMALIZED.format(x='marker')} AS norm FROM firsts) WHERE norm <> '')""",
+    "text",
+)
+_EXACT_GATE_MANY = f"""
+WITH parts AS (
+  SELECT item_id, unnest(string_split(text, '.')) AS part, generate_subscripts(string_split(text, '.'), 1) AS place
+  FROM benchmark WHERE text IS NOT NULL),
+named AS (
+  SELECT row_number() OVER (ORDER BY item_id, place) AS ord, trim(part, ' ' || chr(9) || chr(10) || chr(13)) AS marker
+  FROM parts),
+markers AS (
+  SELECT ord, marker, norm FROM (SELECT *, {_NORMALIZED.format(x='marker')} AS norm FROM named) WHERE norm <> ''),
+normed AS (
+  SELECT doc_id, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') = '' AS blank,
+         ' ' || {_NORMALIZED.format(x='text')} || ' ' AS norm FROM documents),
+hits AS (
+  SELECT doc_id, min(ord) AS ord FROM normed JOIN markers m ON contains(normed.norm, ' ' || m.norm || ' ')
+  WHERE NOT blank GROUP BY doc_id)
+SELECT doc_id,
+  CASE WHEN blank THEN 'unclear' WHEN ord IS NOT NULL THEN 'yes' ELSE 'no' END AS verdict,
+  coalesce('matched ''' || marker || '''', '') AS raw_reply,
+  CASE WHEN blank THEN 'page has no OCR text (unreadable)'
+       ELSE coalesce('no_need_page field ''' || marker || ''' matched (similarity 1.00)', 'no no_need_page field matched')
+  END AS reason
+FROM normed LEFT JOIN hits USING (doc_id) LEFT JOIN markers USING (ord)"""
+
 _MODEL = (
     "CASE WHEN l_quantity = 1 THEN '' WHEN l_quantity = 2 THEN 'unknown/model' "
     f"WHEN l_returnflag = 'A' THEN {_text(SMALL_MODEL)} "
@@ -614,6 +653,8 @@ SELECT document, {_round("m")} AS quality_score, {_tier(_round("m"))} AS quality
     "normalized_text": f"""SELECT doc_id, md5({_NORMALIZED.format(x="text")}) AS normalized
 FROM documents""",
     "gate_fuzzy": _FUZZY_GATE,
+    "gate_many_exact": _EXACT_GATE_MANY,
+    "gate_many_fuzzy": _FUZZY_GATE_MANY,
     "gate_exact": f"WITH {_GATE} SELECT doc_id, verdict, raw_reply, reason FROM gate",
     "page_split_counts": f"""WITH {_GATE}
 SELECT CASE verdict WHEN 'yes' THEN 'skip' WHEN 'no' THEN 'extract' ELSE 'review' END AS destination,

@@ -85,6 +85,21 @@ def gate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select(F.col("page").alias("doc_id"), *gate.DECISION)
 
 
+def _gate_many(spark: SparkSession, sf_dir: str, markers: list[str], threshold: float) -> DataFrame:
+    decided = gate.gate_pages(spread(views.whole_text(spark, sf_dir)), markers, threshold)
+    return decided.select(F.col("page").alias("doc_id"), *gate.DECISION)
+
+
+def gate_many_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that hold any of the benchmark's sentences, by the automaton."""
+    return _gate_many(spark, sf_dir, views.passage_markers(spark, sf_dir), 1.0)
+
+
+def gate_many_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that come near the beginning of any of the benchmark's passages, by the gram index."""
+    return _gate_many(spark, sf_dir, views.passage_markers(spark, sf_dir, words=3), gate.SIMILARITY_THRESHOLD)
+
+
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with quality and gate decision."""
     decisions = _gate(spark, sf_dir, views.EXACT_MARKERS, 1.0)
@@ -650,7 +665,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: _shipped(query)
     for query in (
         ocr_quality_route, document_quality, normalized_text,
-        gate_exact, gate_fuzzy, page_split_counts, single_document, document_run_lines,
+        gate_exact, gate_fuzzy, gate_many_exact, gate_many_fuzzy, page_split_counts, single_document, document_run_lines,
         page_places,
         call_price, cost_by_document, cost_global, cost_global_stored, cost_block_count, price_overrides,
         group_pages, document_manifest,

@@ -87,6 +87,24 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a page, as it is."""
+    return table(spark, sf_dir, "documents").select(
+        F.lit("").alias("document"), F.col("doc_id").alias("page"), "text"
+    )
+
+
+def passage_markers(spark: SparkSession, sf_dir: str, words: int | None = None) -> list[str]:
+    """A template of the benchmark's sentences, or of the first words of its passages.
+
+    Templates are lists that a user keeps, so they fit the driver.
+    """
+    passages = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").orderBy("item_id").collect()
+    if words:
+        return [" ".join(row["text"].split()[:words]) for row in passages]
+    return [part.strip(" \t\r\n") for row in passages for part in row["text"].split(".")]
+
+
 def call_model(quantity: Column, flag: Column) -> Column:
     return (
         F.when(quantity == 1, "")
