@@ -924,6 +924,16 @@ SELECT vec_id, {_ANGLE} AS deskew_angle,
   CASE WHEN std < 5 THEN 'binarize(skipped: blank page)' ELSE 'binarize(otsu)' END AS steps
 FROM sharp JOIN spread USING (vec_id)""",
     "stream_costs": f"""WITH {_ORDER_CALLS},
+c AS (SELECT model, input_tokens, output_tokens, input_tokens * {_IN} / 1000000 AS input_cost,
+        output_tokens * {_OUT} / 1000000 AS output_cost,
+        input_tokens * {_IN} / 1000000 + output_tokens * {_OUT} / 1000000 AS total_cost
+      FROM calls WHERE model <> '')
+SELECT model, {_TOKEN_SUMS}, {_MONEY_SUMS}, count(*) AS calls FROM c GROUP BY model""",
+    "stream_documents": f"""WITH {_GROUPS}
+SELECT document, page, value, document_index FROM grouped""",
+    "stream_record_costs": f"""WITH last_lines AS (
+  SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1),
+{_ORDER_CALLS.replace('FROM lineitem', 'FROM last_lines').lstrip()},
 c AS (SELECT model, input_tokens, output_tokens, input_tokens * {_IN} / 1000000 AS input_cost,
         output_tokens * {_OUT} / 1000000 AS output_cost,
         input_tokens * {_IN} / 1000000 + output_tokens * {_OUT} / 1000000 AS total_cost

@@ -247,9 +247,9 @@ def price_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- grouping --------------------------------------------------------------------------
 
 
-def _values(lines: DataFrame) -> DataFrame:
+def _values(lines: DataFrame, *others: str) -> DataFrame:
     value = clean_value(F.col("raw_value"), F.lit("STRING"))
-    return lines.select("document", "page", value.alias("value"))
+    return lines.select("document", "page", *others, value.alias("value"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -650,6 +650,40 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.read_done(spark, f"{out}/pages")
 
 
+def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents mixed over five files, grouped once a document is there."""
+
+    def operator(batch: DataFrame) -> DataFrame:
+        return grouping.group_pages(batch.drop("page_count")).drop("segment")
+
+    lines = views.line_pages(spark, sf_dir)
+    pages = _values(lines, "page_count")
+    out = shared_dir(spark, "documents")
+    mixed = pages.withColumn("file", F.pmod(F.xxhash64("document", "page"), F.lit(5)))
+    mixed.repartition(5, "file").drop("file").write.parquet(f"{out}/in")
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    runs.process_documents(arriving, operator, f"{out}/pages", f"{out}/log")
+    return runs.read_done(spark, f"{out}/pages").select("document", "page", "value", "document_index")
+
+
+def stream_record_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by model where each line of an order is the order's record, processed once more."""
+    quantity, flag = F.col("l_quantity"), F.col("l_returnflag")
+    calls = _stream(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("record"),
+        # Lines of one number are told apart by what they are about.
+        F.expr("((l_linenumber * 1000000L + l_partkey) * 100000L + l_suppkey) * 100 + cast(l_quantity as long)").alias("version"),
+        views.call_model(quantity, flag).alias("model"),
+        F.col("l_partkey").alias("input_tokens"), F.col("l_suppkey").alias("output_tokens"),
+    )
+    priced = cost.price_calls(calls, model_pricing(spark))
+    item = F.struct("model", *cost.TOKENS, *cost.COSTS)
+    records = priced.select("record", "version", F.when(F.col("model") != "", F.array(item)).alias("items"))
+    out = shared_dir(spark, "record-costs")
+    runs.refresh_record_costs(records, f"{out}/totals", f"{out}/log")
+    return runs.latest_record_costs(spark, f"{out}/totals")
+
+
 def _shipped(query: Query) -> Query:
     """The query, with this package at hand in the Python workers."""
 
@@ -677,6 +711,6 @@ QUERIES: dict[str, Query] = {
         delete_by_key, delete_survivors, clear_bucket, upload_admission,
         template_names, template_normalise, prompt_text, model_requests, downscale_size,
         skew_angle, luma, laplacian, sharpness, otsu_threshold, enhancement_report,
-        stream_costs, stream_ingest,
+        stream_costs, stream_ingest, stream_documents, stream_record_costs,
     )
 }

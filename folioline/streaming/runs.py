@@ -9,49 +9,64 @@ from pyspark.sql import functions as F
 
 from folioline.operators.cost import COSTS, TOKENS
 from folioline.session import written
+from folioline.streaming.stateful import change_sums, cost_changes, keyed_state, whole_documents
 
 _MONEY = "decimal(38,12)"
 
 
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Take what is there, batch by batch, and stop."""
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def process_new(
+    rows: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+) -> None:
+    """Run a batch operator over the unseen files of a stream, until none is left.
+
+    A batch that is repeated after a failure overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        operator(batch).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
+
+    _run(rows, write, checkpoint)
+
+
+def process_documents(
     rows: DataFrame,
     operator: Callable[[DataFrame], DataFrame],
     out: str,
     checkpoint: str,
-    complete: Callable[[DataFrame], DataFrame] | None = None,
+    page: str = "page",
+    wanted: str = "page_count",
+    arrived: str | None = None,
+    give_up: str = "1 day",
 ) -> None:
-    """Run a batch operator over the unseen files of a stream, until none is left.
+    """``process_new`` for operators that need all pages of a document.
 
-    Grouping needs all pages of a document. With ``complete``, which turns a table of rows
-    into (document, arrived, wanted), the rows of documents whose pages have not all arrived
-    wait in ``{out}/waiting`` for those of later runs; ``read_done`` leaves that folder out.
-    A batch that is repeated after a failure overwrites its own folders.
+    Documents wait in keyed state until they have as many pages as ``wanted`` says; with a time
+    ``arrived``, what has come after ``give_up`` goes to ``{out}/given_up``, unprocessed.
     """
-    spark = rows.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if complete is None:
-            operator(batch).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
-            return
-        earlier = f"{out}/waiting/batch={batch_id - 1}"
-        if batch_id:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(earlier))
-        whole = written(batch, "arrived")
-        ready = complete(whole).where("arrived >= wanted").select("document")
-        operator(whole.join(ready, "document", "left_semi")).write.mode("overwrite").parquet(
-            f"{out}/done/batch={batch_id}"
-        )
-        whole.join(ready, "document", "left_anti").write.mode("overwrite").parquet(
-            f"{out}/waiting/batch={batch_id}"
-        )
+        whole = written(batch, "whole")
+        operator(whole.where("NOT gave_up").drop("gave_up")).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
+        whole.where("gave_up").drop("gave_up").write.mode("overwrite").parquet(f"{out}/given_up/batch={batch_id}")
 
-    query = (
-        rows.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with keyed_state(rows.sparkSession):
+        _run(whole_documents(rows, page, wanted, arrived, give_up), write, checkpoint)
+
+
+def read_given_up(spark: SparkSession, out: str) -> DataFrame:
+    """Pages of documents that stayed incomplete for too long."""
+    return spark.read.parquet(f"{out}/given_up").drop("batch")
 
 
 def read_done(spark: SparkSession, out: str) -> DataFrame:
@@ -76,15 +91,33 @@ def refresh_costs(priced: DataFrame, out: str, checkpoint: str) -> None:
         plain = totals.select("model", *TOKENS, *money, "calls")
         plain.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (
-        live_costs(priced)
-        .writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _run(live_costs(priced), write, checkpoint, mode="complete")
+
+
+def refresh_record_costs(records: DataFrame, out: str, checkpoint: str) -> None:
+    """Totals by model over the latest version of each record, brought up to date per batch.
+
+    A record that is processed again counts once: its earlier costs are taken back. Each batch adds
+    its changes to the totals of the batch before and keeps them as a folder, a row per model.
+    """
+    spark = records.sparkSession
+
+    def write(changes: DataFrame, batch_id: int) -> None:
+        totals = changes.groupBy("model").agg(*change_sums())
+        if batch_id:
+            earlier = spark.read.parquet(f"{out}/batch={batch_id - 1}")
+            totals = totals.unionByName(earlier).groupBy("model").agg(
+                *[F.sum(c).cast(totals.schema[c].dataType).alias(c) for c in totals.columns if c != "model"]
+            )
+        totals.where("calls != 0").coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    with keyed_state(spark):
+        _run(cost_changes(records), write, checkpoint)
+
+
+def latest_record_costs(spark: SparkSession, out: str) -> DataFrame:
+    totals = latest_costs(spark, out)
+    return totals.select("model", *TOKENS, *[F.col(c).cast("double").alias(c) for c in COSTS], "calls")
 
 
 def latest_costs(spark: SparkSession, out: str) -> DataFrame:
