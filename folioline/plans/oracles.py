@@ -942,3 +942,10 @@ SELECT model, {_TOKEN_SUMS}, {_MONEY_SUMS}, count(*) AS calls FROM c GROUP BY mo
     "stream_ingest": f"""WITH {_GROUPS}
 SELECT document, page, value, document_index FROM grouped""",
 }
+
+# What is stored reads back as what was made.
+ORACLES["stored_listing"] = ORACLES["bucket_listing"]
+ORACLES["stored_skip_records"] = ORACLES["skip_records"]
+ORACLES["stored_document_records"] = f"""WITH {_DOCUMENTS}
+SELECT regexp_replace(document, '\\.pdf$', '') AS folder, regexp_replace(file, '\\.pdf$', '') AS stem, document, file,
+       page_count, quality_score, quality_tier, confidence_score, extraction_success, errors, total_cost FROM docs"""

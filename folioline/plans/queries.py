@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioline.functions import labels
+from folioline.functions.names import file_stem
 from folioline.functions.text import clean_value, normalize_column
 from folioline.operators import (
     cost,
@@ -30,8 +31,9 @@ from folioline.operators import (
     templates,
 )
 from folioline.plans import views
+from folioline.schemas import DOCUMENT_RECORD, PAGE_RECORD
 from folioline.session import shared_dir, ship_package, spread, written
-from folioline.sources import files, sinks
+from folioline.sources import files, record_folder, sinks
 from folioline.sources.tables import LARGE_MODEL, model_pricing, tier_models
 from folioline.streaming import runs
 
@@ -466,6 +468,43 @@ def bucket_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of records that lie in folders, one file each."""
+    root = shared_dir(spark, "record-folder")
+    record_folder.write_record_folder(views.record_texts(spark, sf_dir), root, pretty=False)
+    return listings.bucket_listing(
+        views.manifest(spark, sf_dir), record_folder.read_record_folder(spark, root)
+    )
+
+
+def stored_skip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skip records written as files under their pages' names and read back from their bucket."""
+    root = shared_dir(spark, "skip-folder")
+    made = records.skip_records(_decided(spark, sf_dir))
+    record_folder.write_record_folder(sinks.record_files(made, "skip"), root)
+    texts = record_folder.read_record_folder(spark, root, bucket="skip", folder="")
+    back = texts.select(F.from_json("record", PAGE_RECORD).alias("record")).select("record.*")
+    return back.select(
+        "document", F.col("page").cast("long").alias("page"), "image_file", "quality_score", "quality_tier", "page_skipped", "skip_reason",
+        "split_reply", "confidence_score", "extraction_success", F.size("extracted_fields").alias("fields"),
+    )
+
+
+def stored_document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document records written as files into their document's folder and read back."""
+    root = shared_dir(spark, "document-folder")
+    folder = file_stem(F.col("document"))
+    made = sinks.record_files(_document_records(spark, sf_dir), "output", folder, name="file")
+    record_folder.write_record_folder(made, root)
+    texts = record_folder.read_record_folder(spark, root, bucket="output")
+    back = texts.select("folder", "stem", F.from_json("record", DOCUMENT_RECORD).alias("r"))
+    return back.select(
+        "folder", "stem", "r.document", "r.file", "r.page_count", "r.quality_score", "r.quality_tier",
+        "r.confidence_score", "r.extraction_success", F.array_join("r.errors", ";").alias("errors"),
+        F.col("r.cost.totals.total_cost").alias("total_cost"),
+    )
+
+
 def ranked_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.ranked_listing(bucket_listing(spark, sf_dir)).drop("record")
 
@@ -707,7 +746,7 @@ QUERIES: dict[str, Query] = {
         merge_fields, document_confidence, document_calls, document_errors,
         skip_records, review_records, document_records, meta_unpivot, field_list,
         cost_labels, page_labels, run_summary,
-        input_scan, bucket_listing, ranked_listing, cost_sources, record_lookup,
+        input_scan, bucket_listing, stored_listing, stored_skip_records, stored_document_records, ranked_listing, cost_sources, record_lookup,
         delete_by_key, delete_survivors, clear_bucket, upload_admission,
         template_names, template_normalise, prompt_text, model_requests, downscale_size,
         skew_angle, luma, laplacian, sharpness, otsu_threshold, enhancement_report,
