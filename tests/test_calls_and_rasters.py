@@ -1,5 +1,8 @@
+import asyncio
 import math
 import statistics
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -26,6 +29,54 @@ def test_inference_captures_errors(spark):
     assert got[3].success and got[3].raw_response == ""
 
 
+@pytest.mark.parametrize("asynchronous", [False, True])
+def test_a_window_of_calls_runs_at_once_and_keeps_the_order(spark, asynchronous):
+    """Across Arrow batches of three rows; the slowest call comes first."""
+
+    def client():
+        lock, state = threading.Lock(), {"now": 0, "most": 0}
+
+        def enter(request):
+            with lock:
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+            return 0.3 if request == "r0" else 0.05
+
+        def leave(request):
+            with lock:
+                state["now"] -= 1
+                if request == "r7":
+                    raise ValueError("seven")
+                return request, state["most"], 1
+
+        def call(model, request):
+            time.sleep(enter(request))
+            return leave(request)
+
+        async def call_async(model, request):
+            await asyncio.sleep(enter(request))
+            return leave(request)
+
+        return call_async if asynchronous else call
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.range(20).selectExpr("id", "'m' AS model", "concat('r', id) AS request").coalesce(1)
+        for window in (1, 6):
+            rows = inference.run_inference(df, client, window).collect()
+            assert [r.id for r in rows] == list(range(20))
+            assert [r.raw_response for r in rows] == ["" if i == 7 else f"r{i}" for i in range(20)]
+            assert [r.error for r in rows if not r.success] == ["ValueError: seven"]
+            most = max(r.input_tokens for r in rows)
+            assert most == 1 if window == 1 else 4 <= most <= 6
+        assert inference.run_inference(df.limit(0), client, 6).collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    with pytest.raises(ValueError):
+        inference.run_inference(df, client, 0)
+
+
 def test_media_function_falls_back(spark):
     outputs = T.StructType([T.StructField("size", T.LongType())])
 
