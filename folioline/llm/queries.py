@@ -224,6 +224,68 @@ SELECT doc_id, n::BIGINT AS n, CASE WHEN is_plain THEN 'plain' WHEN suffix_first
 FROM parts"""
 
 
+def _components_sql(nodes: str, links: str) -> str:
+    """CTEs ``reach`` and ``component``: the smallest id that links lead to, from (a, b) both ways."""
+    return f"""
+reach AS (
+  SELECT {nodes.split()[0]} AS a, {nodes.split()[0]} AS b FROM {nodes.split()[1]}
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN {links} l ON r.b = l.a),
+component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+#: Sets of word triples, their overlaps by a join on the triples, and what links lead to.
+_JACCARD_SQL = rf"""
+WITH RECURSIVE
+split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ 	-]+') AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS gram
+  FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM grams x JOIN grams y USING (gram)
+  WHERE x.doc_id != y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 90 * (x.n + y.n - n_both)),{_components_sql("doc_id documents", "links")}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN component ON component.a = d.doc_id"""
+
+#: A word goes if a repeated window begins at it or at one of the 34 words before it.
+_WINDOWS_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+starts AS (
+  SELECT row, p, count(*) OVER (PARTITION BY seen) > 1 AS repeated
+  FROM (SELECT row, p, array_to_string(w[p:p + 34], ' ') AS seen FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS p FROM split))),
+words AS (SELECT row, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM split),
+judged AS (
+  SELECT row, p, word, coalesce(max(CASE WHEN repeated THEN p END) OVER (PARTITION BY row ORDER BY p) >= p - 34, false) AS gone
+  FROM words LEFT JOIN starts USING (row, p)),
+kept AS (
+  SELECT row, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS text
+  FROM judged GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (row)"""
+
+_NEAR_VECTORS_SQL = f"""
+WITH RECURSIVE
+own AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x != 0]) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM own x JOIN own y ON x.label = y.label AND x.vec_id != y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+number AS (SELECT a, count(*) AS n FROM links GROUP BY a),{_components_sql("vec_id embeddings", "links")}
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN number ON number.a = e.vec_id JOIN component ON component.a = e.vec_id"""
+
+
 QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -240,7 +302,10 @@ QUERIES = {
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": _JACCARD_SQL,
     "op3_source_mixing": _mix_sql(),
+    "op5_substring_dedup": _WINDOWS_SQL,
+    "op9_embedding_near_dedup": _NEAR_VECTORS_SQL,
     "op11_hard_negatives": _NEGATIVES_SQL,
     "op13_fill_in_middle": _FILL_SQL,
 }
