@@ -7,6 +7,7 @@ stretch of words comes from two running sums (Rabin-Karp).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,6 +106,14 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     return Words(stretch_keys(data, starts, ends, fold), starts, ends, np.searchsorted(starts, offsets), data)
 
 
+def give_back() -> None:
+    """Return unused memory to the system: a worker would keep a batch's for its whole life."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of a text column, null as empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,8 +132,7 @@ def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         own = offsets[row : end + 1]
         yield row, end, data[own[0] : own[-1]], own - own[0]
         row = end
-    # Arrow's pool would keep the batch's memory for the life of the worker.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
