@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioline.llm.hashing import U64, mixed
 from folioline.llm.vectors import matrix, packed, sample, usual_length
 from folioline.session import ship_package, written
 
@@ -134,7 +135,7 @@ def _bucket_rows(hashing: Hashing, dimensions: int, blocks: int, queries: bool):
                 for table, (row, bucket) in enumerate(found):
                     ids = batch.column("vec_id").to_numpy()[row]
                     # A query has one block, a row meets all blocks of queries.
-                    block = [ids // 20 % blocks] if queries else [np.full(row.size, b) for b in range(blocks)]
+                    block = [mixed(ids.view(U64), salt=4) % U64(blocks)] if queries else [np.full(row.size, b) for b in range(blocks)]
                     for own in block:
                         yield pa.RecordBatch.from_arrays(
                             [
