@@ -40,6 +40,25 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The table's URLs have a scheme, a host and a path, which may be empty.
+_CAPTURES_SQL = r"""
+WITH payloads AS (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first FROM payloads WHERE n >= 100 GROUP BY digest),
+cut AS (
+  SELECT *, regexp_extract(trim(coalesce(url, '')), '^[A-Za-z]+://([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?', ['host', 'port', 'path', 'query']) AS u
+  FROM payloads)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first != page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first != page_id THEN first END AS refers_to,
+       CASE WHEN coalesce(url, '') = '' THEN '' ELSE lower(
+         array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www\.', ''), '.')), ',')
+         || CASE WHEN u.port IN (':80', ':443') THEN '' ELSE u.port END || ')'
+         || CASE WHEN u.path = '' THEN '/' ELSE u.path END || CASE WHEN u.query = '?' THEN '' ELSE u.query END) END AS url_key,
+       strftime(make_timestamp((coalesce(page_id + 1704067200, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp
+FROM cut LEFT JOIN firsts USING (digest)"""
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_classes(table(spark, sf_dir, "documents"), percent=90, width=3)
 
@@ -239,7 +258,8 @@ _JACCARD_SQL = rf"""
 WITH RECURSIVE
 split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS w
+                                    '[^ 	-
+]+') AS w
   FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
@@ -258,7 +278,8 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN component ON component.a =
 #: A word goes if a repeated window begins at it or at one of the 34 words before it.
 _WINDOWS_SQL = r"""
 WITH split AS (
-  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 starts AS (
   SELECT row, p, count(*) OVER (PARTITION BY seen) > 1 AS repeated
   FROM (SELECT row, p, array_to_string(w[p:p + 34], ' ') AS seen FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS p FROM split))),
@@ -302,6 +323,7 @@ QUERIES = {
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_index": _CAPTURES_SQL,
     "op2_ngram_jaccard_join": _JACCARD_SQL,
     "op3_source_mixing": _mix_sql(),
     "op5_substring_dedup": _WINDOWS_SQL,

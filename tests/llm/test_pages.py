@@ -66,6 +66,48 @@ def test_archives_roll_over(spark, monkeypatch):
     assert [b.partition(b"\r\n\r\n")[2] for b in bodies] == [p[3] for p in pages]
 
 
+def test_merge_in_passes_with_a_hot_url(spark, monkeypatch):
+    """Runs of a few captures, merged four at a time; two thirds of all pages have one URL and time."""
+    # Tasks of a local session are processes forked with these values.
+    monkeypatch.setattr(capture_index, "ARCHIVE_BYTES", 3000)
+    pages = spark.range(600, numPartitions=6).select(
+        F.col("id").alias("page_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://h/"), F.col("id") % 7)).otherwise("http://hot.example/x").alias("url"),
+        F.concat(F.lit("page "), F.col("id")).alias("html"), F.lit(5).alias("seconds"),
+    )
+    folder = shared_dir(spark, "archives")
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    archive = capture_index._Archive(folder)
+    for row in pages.collect():
+        archive.add(capture_index.record(row.page_id, row.url, 5, row.html.encode(), hashlib.sha256(row.html.encode()).hexdigest(), None))
+    archive.close()
+    assert len(archive.done) > 16
+    files = spark.createDataFrame(archive.done, "archive string, bytes long, records long").repartition(40)
+    index = capture_index.capture_index(files, fan_in=4, range_rows=512).collect()
+    order = sorted(index, key=lambda r: (r.index_part, r.index_nth))
+    keys = [(r.url_key, r.stamp, r.page_id) for r in order]
+    assert keys == sorted(keys) and sorted(k[2] for k in keys) == list(range(600))
+    parts = {r.index_part for r in index if r.url_key == "example,hot)/x"}
+    assert len(parts) > 1 and parts <= set(range(max(parts) + 1))
+
+
+def test_run_stretches(tmp_path):
+    """Every stretch of a run is what a plain filter gives, ties of key and time included."""
+    rng = random.Random(4)
+    rows = sorted(
+        ((f"a{i % 3}", rng.choice(["", "k", "l"]), "t", rng.choice([None, 1, 2]), None, "", 0, "", None, i, 0) for i in range(2000)),
+        key=capture_index._order,
+    )
+    (blocks,) = capture_index._write_run(str(tmp_path), rows)
+    path = blocks.column("run")[0].as_py()
+    assert blocks.num_rows == 4 and list(capture_index._read_run(path)) == rows
+    for a, b in [(0, 1), (511, 512), (512, 1024), (3, 1999), (700, 701)]:
+        low, high = capture_index._order(rows[a]), capture_index._order(rows[b])
+        assert list(capture_index._read_run(path, low, high)) == rows[a:b]
+    assert list(capture_index._read_run(path, capture_index._order(rows[1500]))) == rows[1500:]
+
+
 @pytest.mark.parametrize("runs", [1, 2, 3, 7, 8])
 def test_loser_tree(runs):
     rng = random.Random(runs)
