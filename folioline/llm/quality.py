@@ -2,24 +2,31 @@
 
 The *text* view has the shares of kinds of characters and words, and the hashed words; the
 *page* view has source, language and length as the table gives them. Each has a logistic
-model of its own. Both start from the labelled rows. In each round either names the rows of an
-unlabelled pool that it is surest of, and the other takes these as labelled. At the end each is
-calibrated (Platt) on labelled rows kept back from training, and the log-odds of both, less
+model of its own. Both start from a sample of the labelled rows. In each round either scores the whole
+table and names the rows that it is surest of, and the other takes these as labelled. At the end
+each is calibrated (Platt) on labelled rows kept back from training, and the log-odds of both, less
 the prior counted twice, give the score of every document.
 
-Models are fitted on bounded samples, ``TRAINING_ROWS`` labelled rows and ``POOL_ROWS`` others, drawn
-by id; scoring covers all rows and whole texts. A view gives pseudo-labels only where its
-calibrated probability is beyond ``SURE``: one that knows nothing gives none.
+*Pseudo-labels of any number.* Rows that a view is sure of (calibrated probability of ``SURE`` or more;
+a view that knows nothing is sure of none) are not collected: a pass over the table sums, by
+class, the gradient of the other view's loss on them and a bound of its curvature (a quarter of
+the features' products; for hashed words, whose row has the root of its length as its sum, that sum times
+each). These sums stand for the rows when the other view is fitted again: a quadratic never below the
+rows' own loss, equal to it at the present weights. They are whole numbers of ``_UNIT``, so that
+no order or partitioning changes them. Of a class, such rows together weigh at most as much as its labelled ones.
+
+Only the labelled sample is bounded, ``TRAINING_ROWS`` drawn by the hash of their ids. Labelled rows beyond it
+count as unlabelled, so texts meet the labels in no shuffle but that of the sample.
 
 Defined results: null or empty text has no words and is scored by what is left; null metadata is a
 value of its own; without labelled rows of both kinds every score is the share of good ones (0.5
-without any); a label of a row that is repeated counts as often as it stands there; a null id
-is scored, not learned from; an empty table gives an empty result; further columns are ignored.
+without any); a label of a row that is repeated counts as often as it stands there; a null id has no
+label but is scored like others; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +38,13 @@ from folioline.llm.hashing import Words, pieces, words
 from folioline.session import ship_package, written
 
 TRAINING_ROWS = 6000
-POOL_ROWS = 6000
 ROUNDS = 3
-#: Pseudo-labels that a view gives per class and round.
-PER_ROUND = 300
 SURE = 0.95
 WORD_BITS = 16
 PAGE_BITS = 12
 _STEPS = 60
+#: Sums over the table are whole numbers of this share of one.
+_UNIT = 2.0**-20
 
 _KINDS = 9
 _KIND = np.zeros(256, dtype=np.int64)
@@ -96,18 +102,45 @@ def _page_features(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class View:
-    """Rows of hashed features (bucket lists of any length) and dense ones."""
+    """Rows of hashed features (bucket lists of any length, with counts) and dense ones."""
 
     buckets: np.ndarray
     bounds: np.ndarray
     dense: np.ndarray
     size: int
+    counts: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.counts is None:
+            self.counts = np.ones(len(self.buckets))
 
     def take(self, rows: np.ndarray) -> View:
         lengths = np.diff(self.bounds)[rows]
         total = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(self.bounds[rows] - total[:-1], lengths) + np.arange(total[-1])
-        return View(self.buckets[at], total, self.dense[rows], self.size)
+        return View(self.buckets[at], total, self.dense[rows], self.size, self.counts[at])
+
+    def number(self) -> np.ndarray:
+        """Hashed features of each row, 1 at least."""
+        return np.maximum(_sums(self.counts, self.bounds), 1)
+
+
+@dataclass
+class Sums:
+    """Of rows by class (bad, good): number, gradient and curvature in whole units, class first."""
+
+    number: np.ndarray
+    sparse: np.ndarray
+    sparse_bound: np.ndarray
+    dense: np.ndarray
+    dense_bound: np.ndarray
+
+    @staticmethod
+    def empty(size: int, dense: int) -> Sums:
+        return Sums(*(np.zeros((2, *s), dtype=np.int64) for s in ((1,), (size,), (size,), (dense + 1,), ((dense + 1) ** 2,))))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.number, self.sparse, self.sparse_bound, self.dense, self.dense_bound]
 
 
 class Logistic:
@@ -122,27 +155,67 @@ class Logistic:
         self.bias = 0.0
         self.slope, self.shift = 1.0, 0.0
 
+    def _scaled(self, view: View) -> np.ndarray:
+        return np.clip((view.dense - self.mean) / self.spread, -8, 8)
+
     def raw(self, view: View) -> np.ndarray:
-        number = np.maximum(np.diff(view.bounds), 1)
-        dense = np.clip((view.dense - self.mean) / self.spread, -8, 8)
-        return _sums(self.sparse[view.buckets], view.bounds) / np.sqrt(number) + dense @ self.dense + self.bias
-
-    def fit(self, view: View, labels: np.ndarray) -> None:
-        """Adam on the whole sample; both classes weigh the same."""
-        number = np.maximum(np.diff(view.bounds), 1)
-        dense = np.clip((view.dense - self.mean) / self.spread, -8, 8)
+        sparse = _sums(self.sparse[view.buckets] * view.counts, view.bounds) / np.sqrt(view.number())
+        # Added up column by column: a row's score must not depend on the rows beside it.
+        return sparse + (self._scaled(view) * self.dense).sum(axis=1) + self.bias
+
+    def add_sums(self, view: View, label: int, sums: Sums) -> None:
+        """Add the rows of ``view``, all taken as ``label``, to ``sums``."""
+        if not len(view.dense):
+            return
+        error = _sigmoid(self.raw(view)) - label
+        lengths, root = np.diff(view.bounds), np.sqrt(view.number())
+        dense = np.column_stack([self._scaled(view), np.ones(len(error))])
+        # Each row's share is rounded by itself, so sums are exact.
+        share = np.rint(np.repeat(error / root, lengths) * view.counts / _UNIT)
+        bound = np.rint(0.25 * view.counts / _UNIT)
+        sums.number[label] += len(error)
+        sums.sparse[label] += np.bincount(view.buckets, weights=share, minlength=view.size).astype(np.int64)
+        sums.sparse_bound[label] += np.bincount(view.buckets, weights=bound, minlength=view.size).astype(np.int64)
+        sums.dense[label] += np.rint(dense * error[:, None] / _UNIT).astype(np.int64).sum(axis=0)
+        for i in range(dense.shape[1]):
+            at = slice(i * dense.shape[1], (i + 1) * dense.shape[1])
+            sums.dense_bound[label, at] += np.rint(0.25 * dense[:, i : i + 1] * dense / _UNIT).astype(np.int64).sum(axis=0)
+
+    def surrogate(self, sums: Sums, labels: np.ndarray) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+        """The gradient that the summed rows add, as a function of the weights (sparse, dense, bias)."""
+        start = [self.sparse.copy(), np.append(self.dense, self.bias)]
+        labelled = np.array([(labels == 0).sum(), (labels > 0).sum()])
+        number = sums.number[:, 0]
+        weight = 0.5 / np.maximum(np.maximum(labelled, number), 1) * _UNIT
+        sparse, sparse_bound = weight @ sums.sparse, weight @ sums.sparse_bound
+        dense, dense_bound = weight @ sums.dense, (weight @ sums.dense_bound).reshape(len(start[1]), -1)
+
+        def gradient(parameters: list[np.ndarray]) -> list[np.ndarray]:
+            # Twice each block's curvature bounds that of both together.
+            own = sparse + 2 * sparse_bound * (parameters[0] - start[0])
+            rest = dense + 2 * dense_bound @ (np.concatenate(parameters[1:]) - start[1])
+            return [own, rest[:-1], rest[-1:]]
+
+        return gradient
+
+    def fit(self, view: View, labels: np.ndarray, sums: Sums | None = None) -> None:
+        """Adam on the whole sample, and on ``sums`` of other rows; both classes weigh the same."""
+        root, dense = np.sqrt(view.number()), self._scaled(view)
         share = min(max(labels.mean(), 1e-6), 1 - 1e-6)
         weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) / len(labels)
+        further = self.surrogate(sums, labels) if sums is not None and sums.number.any() else None
         parameters = [self.sparse, self.dense, np.array([self.bias])]
         first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
         for step in range(1, _STEPS + 1):
             self.bias = float(parameters[2][0])
             error = (_sigmoid(self.raw(view)) - labels) * weight
-            spread = np.repeat(error / np.sqrt(number), np.diff(view.bounds))
+            spread = np.repeat(error / root, np.diff(view.bounds)) * view.counts
             gradients = [
                 np.bincount(view.buckets, weights=spread, minlength=view.size) + 1e-4 * self.sparse,
                 dense.T @ error + 1e-4 * self.dense, np.array([error.sum()]),
             ]
+            if further:
+                gradients = [g + f for g, f in zip(gradients, further(parameters), strict=True)]
             for p, g, m, v in zip(parameters, gradients, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -189,95 +262,153 @@ class Model:
         return _sigmoid(odds[0] + odds[1] - prior), _sigmoid(odds[0]), _sigmoid(odds[1])
 
 
-def co_train(views: tuple[View, View], labels: np.ndarray, kept_back: np.ndarray) -> Model:
-    """``labels``: 1, 0, or -1 for rows of the pool. ``kept_back`` rows calibrate only."""
-    known = labels >= 0
-    if not known.any() or labels[known].min() == labels[known].max():
-        return Model(float(labels[known].mean()) if known.any() else 0.5, None)
-    prior = float(np.clip(labels[known].mean(), 1e-6, 1 - 1e-6))
-    train, held = known & ~kept_back, known & kept_back
+def sure_sums(models: list[Logistic], views: tuple[View, View], sums: list[Sums]) -> None:
+    """Add the rows that one view is sure of to the sums of the other."""
+    for giver, taker in ((0, 1), (1, 0)):
+        chance = _sigmoid(models[giver].log_odds(views[giver]))
+        for label, rows in ((0, chance <= 1 - SURE), (1, chance >= SURE)):
+            models[taker].add_sums(views[taker].take(np.flatnonzero(rows)), label, sums[taker])
+
+
+def empty_sums(models: list[Logistic]) -> list[Sums]:
+    return [Sums.empty(len(model.sparse), len(model.dense)) for model in models]
+
+
+def co_train(
+    views: tuple[View, View], labels: np.ndarray, kept_back: np.ndarray, gather: Callable[[list[Logistic]], list[Sums]]
+) -> Model:
+    """Learn from labelled rows (1, 0) and from what ``gather`` sums over all others.
+
+    ``gather`` takes the models of both views; ``kept_back`` rows calibrate only.
+    """
+    if not len(labels) or labels.min() == labels.max():
+        return Model(float(labels.mean()) if len(labels) else 0.5, None)
+    prior = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
+    train, held = ~kept_back, kept_back
     if len(set(labels[held])) < 2 or len(set(labels[train])) < 2:
-        train = held = known
-    own = [labels.astype(np.float64), labels.astype(np.float64)]
-    used = [train.copy(), train.copy()]
+        train = held = np.ones(len(labels), dtype=bool)
+    used, calibration = np.flatnonzero(train), np.flatnonzero(held)
     models = [Logistic(view) for view in views]
-    calibration = np.flatnonzero(held)
+    sums: list[Sums | None] = [None, None]
     for round_no in range(ROUNDS):
-        for model, view, target, rows in zip(models, views, own, used, strict=True):
-            at = np.flatnonzero(rows)
-            model.fit(view.take(at), target[at])
+        for model, view, seen in zip(models, views, sums, strict=True):
+            model.fit(view.take(used), labels[used].astype(np.float64), seen)
             model.calibrate(view.take(calibration), labels[calibration])
-        if round_no == ROUNDS - 1:
-            break
-        for giver in (0, 1):
-            taker = 1 - giver
-            pool = np.flatnonzero(~known & ~used[taker])
-            chance = _sigmoid(models[giver].log_odds(views[giver].take(pool)))
-            for label, sure in ((1, chance), (0, 1 - chance)):
-                best = np.argsort(-sure, kind="stable")[:PER_ROUND]
-                best = pool[best[sure[best] >= SURE]]
-                own[taker][best] = label
-                used[taker][best] = True
+        if round_no < ROUNDS - 1:
+            sums = gather(models)
     return Model(prior, tuple(models))
 
 
+def _page_view(pages: np.ndarray) -> View:
+    return View(pages.ravel(), np.arange(len(pages) + 1) * pages.shape[1], np.zeros((len(pages), 1)), 1 << PAGE_BITS)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[View, View]]]:
+    """(first row, end, both views) of stretches of a batch (text, page, ...)."""
+    pages = batch.column("page").flatten().to_numpy().reshape(batch.num_rows, len(_PAGE_COLUMNS))
+    for row, end, data, offsets in pieces(batch.column("text")):
+        found = words(data, offsets, fold=False)
+        yield row, end, (View(word_buckets(found), found.first, shape(found, offsets), 1 << WORD_BITS), _page_view(pages[row:end]))
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row's distinct buckets with their counts, at most 2**WORD_BITS, and its dense features."""
     for batch in batches:
-        for row, end, data, offsets in pieces(batch.column("text")):
-            found = words(data, offsets, fold=False)
-            dense, buckets = shape(found, offsets), word_buckets(found).astype(np.int32)
-            blobs = [buckets[a:b].tobytes() for a, b in zip(found.first, found.first[1:], strict=False)]
+        for row, end, (text, _) in _pieces(batch):
+            cells = [np.unique(text.buckets[a:b], return_counts=True) for a, b in zip(text.bounds, text.bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c).slice(row, end - row) for c in ("doc_id", "label", "page")],
-                    pa.array(blobs, pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary()),
+                    *[pa.array([c[i].astype(np.int32).tobytes() for c in cells], pa.binary()) for i in (0, 1)],
+                    pa.array([d.tobytes() for d in text.dense], pa.binary()),
                 ],
-                names=["doc_id", "label", "page", "buckets", "dense"],
+                names=["doc_id", "label", "page", "buckets", "counts", "dense"],
             )
 
 
-def _drawn(docs: DataFrame, size: int, rows: int) -> DataFrame:
-    """About ``size`` of ``rows`` documents, by the hash of their ids."""
-    share = min(1.0, size / max(1, rows))
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
+def _drawn(known: DataFrame, size: int, rows: int) -> DataFrame:
+    """About ``size`` of ``rows`` labels, by the hash of their ids, which is added as ``draw``."""
+    bound = max(1, int(min(1.0, size / max(1, rows)) * 2**62))
+    drawn = known.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 2))
+    return drawn.where(F.col("draw") <= bound)
 
 
-def _views(blobs: list[bytes], dense: np.ndarray, pages: np.ndarray) -> tuple[View, View]:
-    lengths = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-    text = View(
-        np.frombuffer(b"".join(blobs), dtype=np.int32).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]),
-        dense, 1 << WORD_BITS,
-    )
-    page = View(
-        pages.ravel(), np.arange(len(pages) + 1) * pages.shape[1], np.zeros((len(pages), 1)), 1 << PAGE_BITS
-    )
-    return text, page
+def _views(rows: list) -> tuple[View, View]:
+    blobs = [[np.frombuffer(bytes(r[c]), dtype=np.int32) for r in rows] for c in ("buckets", "counts")]
+    buckets, counts = (np.concatenate(b).astype(np.int64) for b in blobs)
+    bounds = np.concatenate([[0], np.cumsum([len(b) for b in blobs[0]])])
+    dense = np.stack([np.frombuffer(bytes(r["dense"])) for r in rows])
+    return View(buckets, bounds, dense, 1 << WORD_BITS, counts.astype(np.float64)), _page_view(np.array([r["page"] for r in rows], dtype=np.int64))
+
+
+def _input(docs: DataFrame) -> DataFrame:
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *_PAGE_COLUMNS)
+    return _page_features(named).select("doc_id", "text", "page")
+
+
+def _sum_rows(models: list[Logistic], labelled: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = empty_sums(models)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            other = ~np.isin(ids.fill_null(0).to_numpy(), labelled) | ids.is_null().to_numpy(zero_copy_only=False)
+            for row, end, views in _pieces(batch):
+                rows = np.flatnonzero(other[row:end])
+                sure_sums(models, (views[0].take(rows), views[1].take(rows)), sums)
+        for taker, held in enumerate(sums):
+            for kind, values in enumerate(held.parts()):
+                flat = values.ravel()
+                at = np.flatnonzero(flat)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), taker * 5 + kind), pa.int32()), pa.array(at, pa.int32()), pa.array(flat[at], pa.int64())],
+                    names=["part", "at", "amount"],
+                )
+
+    return run
+
+
+def gather_sums(docs: DataFrame, models: list[Logistic], labelled: np.ndarray) -> list[Sums]:
+    """The sums over all rows whose id is not in ``labelled``, the ids of the bounded sample.
+
+    What comes back has a fixed size, that of both models' weights.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((models, labelled))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sum_rows(*shared.value)(batches)
+
+    found = _input(docs).mapInArrow(run, "part int, at int, amount long").groupBy("part", "at").agg(F.sum("amount").alias("amount"))
+    sums = empty_sums(models)
+    total = found.toArrow()
+    part, at, amount = (total.column(c).to_numpy() for c in ("part", "at", "amount"))
+    for taker, held in enumerate(sums):
+        for kind, values in enumerate(held.parts()):
+            own = part == taker * 5 + kind
+            values.reshape(-1)[at[own]] = amount[own]
+    return sums
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of ``labels`` (doc_id, quality: 1 good, 0 bad) for documents like ``docs``."""
     ship_package(docs.sparkSession)
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
-    rows, labelled = docs.count(), known.count()
-    wanted = _page_features(docs.select("doc_id", "text", *_PAGE_COLUMNS)).where("doc_id IS NOT NULL")
-    marked = wanted.join(_drawn(known, TRAINING_ROWS, labelled), "doc_id")
-    pool = (
-        _drawn(wanted, POOL_ROWS, max(1, rows - labelled)).join(known.select("doc_id"), "doc_id", "left_anti")
-        .withColumn("label", F.lit(-1))
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")
     )
-    columns = ["doc_id", "text", "label", "page"]
-    sample = marked.select(columns).unionByName(pool.select(columns)).mapInArrow(
-        _feature_rows, "doc_id long, label int, page array<long>, buckets binary, dense binary"
+    drawn = written(
+        _drawn(known, TRAINING_ROWS, known.count()).orderBy("draw", "doc_id", "label").limit(2 * TRAINING_ROWS), "labels"
     )
-    # Bounded by the two sizes; written first, so that no order of arrival matters.
-    found = written(sample, "features").orderBy("doc_id", "label").limit(2 * (TRAINING_ROWS + POOL_ROWS)).collect()
+    sample = _input(docs).join(drawn, "doc_id").select("doc_id", "text", "label", "page").mapInArrow(
+        _feature_rows, "doc_id long, label int, page array<long>, buckets binary, counts binary, dense binary"
+    )
+    # Written first, so that no order of arrival matters. Ids may repeat in the documents, hence the limit.
+    order = [F.xxhash64("doc_id", F.lit(1)), "doc_id", "label", F.sha2("buckets", 256), F.sha2("dense", 256), "page"]
+    found = written(sample, "features").orderBy(*order).limit(2 * TRAINING_ROWS).collect()
     if not found:
         return Model(0.5, None)
-    dense = np.stack([np.frombuffer(bytes(r["dense"])) for r in found])
-    pages = np.array([r["page"] for r in found], dtype=np.int64)
     target = np.array([r["label"] for r in found])
     kept_back = np.array([r["doc_id"] // 7 % 4 == 0 for r in found])
-    return co_train(_views([bytes(r["buckets"]) for r in found], dense, pages), target, kept_back)
+    labelled = np.unique([r["doc_id"] for r in found])
+    return co_train(_views(found), target, kept_back, lambda models: gather_sums(docs, models, labelled))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -287,20 +418,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = batch.column("page").flatten().to_numpy().reshape(batch.num_rows, len(_PAGE_COLUMNS))
-            for row, end, data, offsets in pieces(batch.column("text")):
-                found = words(data, offsets, fold=False)
-                text = View(word_buckets(found), found.first, shape(found, offsets), 1 << WORD_BITS)
-                page = View(
-                    pages[row:end].ravel(), np.arange(end - row + 1) * pages.shape[1], np.zeros((end - row, 1)), 1 << PAGE_BITS
-                )
-                scores = shared.value.score((text, page))
+            for row, end, views in _pieces(batch):
+                scores = shared.value.score(views)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, end - row), *map(pa.array, scores), pa.array(scores[0] >= 0.5)],
                     names=["doc_id", "score", "text_score", "page_score", "keep"],
                 )
 
-    rows = _page_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *_PAGE_COLUMNS))
-    return rows.select("doc_id", "text", "page").mapInArrow(
+    return _input(docs).mapInArrow(
         run, "doc_id long, score double, text_score double, page_score double, keep boolean"
     )

@@ -62,22 +62,113 @@ def test_quality_of_rows_kept_back(spark):
     assert found.count() == 1000
 
 
-def test_views_teach_each_other():
+def hinted(n=1200, known=200):
     """The page view alone knows a hint that few labelled rows show; the text view learns it."""
     rng = np.random.default_rng(2)
-    n = 1200
     truth = rng.integers(0, 2, n)
     pages = np.stack([truth * 2 + 5, rng.integers(100, 110, n)], axis=1)
     dense = np.stack([truth + rng.normal(0, 0.8, n), rng.normal(0, 1, n)], axis=1)
     text = quality.View(np.zeros(0, np.int64), np.zeros(n + 1, np.int64), dense, 1 << quality.WORD_BITS)
-    page = quality.View(pages.ravel(), np.arange(n + 1) * 2, np.zeros((n, 1)), 1 << quality.PAGE_BITS)
-    labels = np.where(np.arange(n) < 200, truth, -1)
-    model = quality.co_train((text, page), labels, np.arange(n) % 4 == 0)
-    score, text_score, page_score = model.score((text, page))
+    return (text, quality._page_view(pages)), truth, np.arange(known), np.arange(known, n)
+
+
+def rows_of(views, rows):
+    return tuple(view.take(rows) for view in views)
+
+
+def test_views_teach_each_other():
+    views, truth, known, pool = hinted()
+    given = []
+
+    def gather(models):
+        sums = quality.empty_sums(models)
+        quality.sure_sums(models, rows_of(views, pool), sums)
+        chance = quality._sigmoid(models[1].log_odds(views[1]))[pool]
+        given.append((sums[0].number.ravel().tolist(), [(chance <= 1 - quality.SURE).sum(), (chance >= quality.SURE).sum()]))
+        return sums
+
+    model = quality.co_train(rows_of(views, known), truth[known], known % 4 == 0, gather)
+    score, text_score, page_score = model.score(views)
+    # Every row that the page view is sure of is taken, however many there are.
+    assert len(given) == quality.ROUNDS - 1 and all(took == sure and min(took) > 300 for took, sure in given)
     assert np.mean((score > 0.5) == truth) > 0.98 and np.mean((page_score > 0.5) == truth) > 0.98
     assert ((score >= 0) & (score <= 1)).all() and np.mean((text_score > 0.5) == truth) > 0.65
 
 
+def test_sums_stand_for_their_rows():
+    """The quadratic of the sums equals the rows' loss where it starts and is nowhere below it."""
+    rng = np.random.default_rng(5)
+    n = 40
+    bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 9, n))])
+    view = quality.View(rng.integers(0, 30, bounds[-1]), bounds, rng.normal(0, 2, (n, 3)), 30, rng.integers(1, 4, bounds[-1]).astype(float))
+    model = quality.Logistic(view)
+    model.sparse, model.dense, model.bias = rng.normal(0, 1, 30), rng.normal(0, 1, 3), 0.3
+    label = rng.integers(0, 2, n)
+    sums = quality.Sums.empty(30, 3)
+    for rows in np.array_split(rng.permutation(n), 7):
+        for kind in (0, 1):
+            model.add_sums(view.take(rows[label[rows] == kind]), kind, sums)
+    whole = quality.Sums.empty(30, 3)
+    for kind in (0, 1):
+        model.add_sums(view.take(np.flatnonzero(label == kind)), kind, whole)
+    assert all((a == b).all() for a, b in zip(sums.parts(), whole.parts(), strict=True))
+    weight = np.where(label > 0, 0.5 / (label > 0).sum(), 0.5 / (label == 0).sum())
+    start = [model.sparse.copy(), model.dense.copy(), np.array([model.bias])]
+    gradient = model.surrogate(sums, label[:0])
+
+    def loss(parameters):
+        model.sparse, model.dense, model.bias = parameters[0], parameters[1], float(parameters[2][0])
+        raw = model.raw(view)
+        return (weight * (np.logaddexp(0, raw) - label * raw)).sum()
+
+    base, slope = loss(start), gradient(start)
+    for size in (1e-4, 0.1, 1.0, 5.0):
+        move = [rng.normal(0, size, len(p)) for p in start]
+        moved = [p + m for p, m in zip(start, move, strict=True)]
+        # A quadratic's rise is its mean slope along the way.
+        rise = sum(((a + b) / 2 * m).sum() for a, b, m in zip(slope, gradient(moved), move, strict=True))
+        assert loss(moved) <= base + rise + 1e-4
+    step = [rng.normal(0, 1e-4, len(p)) for p in start]
+    change = loss([p + s for p, s in zip(start, step, strict=True)]) - loss([p - s for p, s in zip(start, step, strict=True)])
+    assert change / 2 == pytest.approx(sum((g * s).sum() for g, s in zip(slope, step, strict=True)), abs=1e-7)
+
+
+def test_learning_equals_plain_numpy(spark):
+    """The model of whole tables is the one of the same co-training over all rows in memory."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    rows = quality._input(docs).orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    parts = [views for *_, views in quality._pieces(rows)]
+    text = quality.View(
+        np.concatenate([t.buckets for t, _ in parts]),
+        np.concatenate([[0], np.cumsum(np.concatenate([np.diff(t.bounds) for t, _ in parts]))]),
+        np.concatenate([t.dense for t, _ in parts]), 1 << quality.WORD_BITS,
+    )
+    page = quality._page_view(np.concatenate([p.buckets.reshape(-1, 3) for _, p in parts]))
+    ids = np.array(rows.column("doc_id").to_pylist())
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    known, pool = (np.flatnonzero([(i in truth) == k for i in ids]) for k in (True, False))
+
+    def gather(models):
+        sums = quality.empty_sums(models)
+        quality.sure_sums(models, rows_of((text, page), pool), sums)
+        return sums
+
+    plain = quality.co_train(
+        rows_of((text, page), known), np.array([truth[i] for i in ids[known]]), ids[known] // 7 % 4 == 0, gather
+    )
+    for ours, theirs in zip(model.score((text, page)), plain.score((text, page)), strict=True):
+        assert np.abs(ours - theirs).max() < 1e-6
+    seen = quality.gather_sums(docs, list(model.views), ids[known])
+    want = quality.empty_sums(list(model.views))
+    quality.sure_sums(list(model.views), rows_of((text, page), pool), want)
+    for a, b in zip(seen, want, strict=True):
+        assert all((x == y).all() for x, y in zip(a.parts(), b.parts(), strict=True))
+        shuffled = quality.gather_sums(docs.repartition(5, "n_chars"), list(model.views), ids[known])
+    for a, b in zip(seen, shuffled, strict=True):
+        assert all((x == y).all() for x, y in zip(a.parts(), b.parts(), strict=True))
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 0, 0), (2, 0, 0)]])
 def test_quality_edges(spark, labels):
     rows = [(1, "a text", "en", "s", 6), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "x", "en", "s", 1), (1, "a text", "en", "s", 6)]
