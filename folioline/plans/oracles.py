@@ -913,6 +913,9 @@ FROM (SELECT vec_id, x, y, gray, lag(gray) OVER r AS l, lead(gray) OVER r AS ri,
     "otsu_threshold": f"""WITH {_OTSU}
 SELECT vec_id, level::INT AS threshold, round(std, 9) AS std, std < 5 AS blank
 FROM best JOIN spread USING (vec_id) WHERE r = 1""",
+    "banded_measures": f"""WITH {_OTSU}
+SELECT vec_id, sharpness, level::INT AS threshold, round(std, 9) AS std, std < 5 AS blank
+FROM best JOIN spread USING (vec_id) JOIN sharp USING (vec_id) WHERE r = 1""",
     "enhancement_report": f"""WITH {_OTSU}
 SELECT vec_id, {_ANGLE} AS deskew_angle,
   'grayscale;' || CASE WHEN sharpness < 50 THEN 'deblur(wiener+unsharp)'

@@ -15,6 +15,7 @@ from folioline.functions import labels
 from folioline.functions.names import file_stem
 from folioline.functions.text import clean_value, normalize_column
 from folioline.operators import (
+    bands,
     cost,
     gate,
     grouping,
@@ -638,6 +639,14 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def banded_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpness and threshold of the rasters, each in bands of at most three rows."""
+    cut = bands.cut_bands(views.rasters(spark, sf_dir), pixels=24)
+    return bands.band_measures(cut).select(
+        F.col("page").alias("vec_id"), "sharpness", "threshold", F.round("std", 9).alias("std"), "blank"
+    )
+
+
 def enhancement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step list of each raster; its label stands for the skew angle."""
     measured = _measures(spark, sf_dir)
@@ -749,7 +758,7 @@ QUERIES: dict[str, Query] = {
         input_scan, bucket_listing, stored_listing, stored_skip_records, stored_document_records, ranked_listing, cost_sources, record_lookup,
         delete_by_key, delete_survivors, clear_bucket, upload_admission,
         template_names, template_normalise, prompt_text, model_requests, downscale_size,
-        skew_angle, luma, laplacian, sharpness, otsu_threshold, enhancement_report,
+        skew_angle, luma, laplacian, sharpness, otsu_threshold, banded_measures, enhancement_report,
         stream_costs, stream_ingest, stream_documents, stream_record_costs,
     )
 }
