@@ -841,6 +841,12 @@ FROM wanted LEFT JOIN counts USING (kind, bucket, target)""",
     "delete_survivors": f"""WITH {_FILES}, {_REQUESTS}
 SELECT bucket, folder, name, size FROM files
 WHERE (bucket, folder, name) NOT IN (SELECT (bucket, folder, name) FROM matches)""",
+    "stored_deletes": f"""WITH {_FILES}, {_REQUESTS}
+SELECT bucket, folder, name FROM files
+WHERE name LIKE '%.json' AND (bucket, folder, name) NOT IN (SELECT (bucket, folder, name) FROM matches)""",
+    "stored_clear": f"""WITH {_RECORDS}
+SELECT bucket, count(*) AS records FROM records
+WHERE bucket <> 'skip' AND NOT (bucket = 'input' AND folder <> '') GROUP BY bucket""",
     "clear_bucket": f"""WITH {_FILES}
 SELECT bucket, count(DISTINCT CASE WHEN folder <> '' THEN 'd:' || split_part(folder, '/', 1) ELSE 'f:' || name END)
   AS removed FROM files

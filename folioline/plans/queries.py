@@ -34,7 +34,7 @@ from folioline.operators import (
 from folioline.plans import views
 from folioline.schemas import DOCUMENT_RECORD, PAGE_RECORD
 from folioline.session import shared_dir, ship_package, spread, written
-from folioline.sources import files, record_folder, sinks
+from folioline.sources import files, record_folder, removal, sinks
 from folioline.sources.tables import LARGE_MODEL, model_pricing, tier_models
 from folioline.streaming import runs
 
@@ -540,6 +540,32 @@ def clear_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.clear_counts(views.manifest(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder of record files, and its manifest."""
+    root = shared_dir(spark, "record-folder")
+    record_folder.write_record_folder(views.record_texts(spark, sf_dir), root, pretty=False)
+    return root, _stored_names(spark, root)
+
+
+def _stored_names(spark: SparkSession, root: str) -> DataFrame:
+    names = record_folder.read_record_folder(spark, root)
+    return names.select("bucket", "folder", F.concat("stem", F.lit(".json")).alias("name"))
+
+
+def stored_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a folder of records holds after delete requests were applied to it."""
+    root, manifest = _stored(spark, sf_dir)
+    removal.delete_stored(manifest, views.delete_requests(spark, sf_dir), root)
+    return _stored_names(spark, root)
+
+
+def stored_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by bucket after two of the buckets were cleared."""
+    root, manifest = _stored(spark, sf_dir)
+    removal.clear_stored(manifest, ["input", "skip"], root)
+    return _stored_names(spark, root).groupBy("bucket").agg(F.count(F.lit(1)).alias("records"))
+
+
 def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.admit_uploads(views.uploads(spark, sf_dir))
 
@@ -756,7 +782,7 @@ QUERIES: dict[str, Query] = {
         skip_records, review_records, document_records, meta_unpivot, field_list,
         cost_labels, page_labels, run_summary,
         input_scan, bucket_listing, stored_listing, stored_skip_records, stored_document_records, ranked_listing, cost_sources, record_lookup,
-        delete_by_key, delete_survivors, clear_bucket, upload_admission,
+        delete_by_key, delete_survivors, clear_bucket, stored_deletes, stored_clear, upload_admission,
         template_names, template_normalise, prompt_text, model_requests, downscale_size,
         skew_angle, luma, laplacian, sharpness, otsu_threshold, banded_measures, enhancement_report,
         stream_costs, stream_ingest, stream_documents, stream_record_costs,
