@@ -1,6 +1,7 @@
 """Many markers: the automaton, the gram index and the ratio of many pairs, against plain loops."""
 
 import random
+import tracemalloc
 from difflib import SequenceMatcher
 
 import pytest
@@ -68,6 +69,22 @@ def test_index_equals_comparing_all_windows():
         assert got[-2:] == [(None, 0.0)] * 2
 
 
+def test_common_pairs_of_letters_make_no_table_of_hits():
+    """Every window shares most of its pairs with most markers; none comes near one of them."""
+    rng = random.Random(21)
+
+    def words(n, size):
+        return " ".join("".join(rng.choice("aeinrst") for _ in range(size)) for _ in range(n))
+
+    index = GramIndex([words(3, 4) for _ in range(400)], 0.85)
+    text = words(20_000, 4)
+    tracemalloc.start()
+    index.best([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
 def test_a_thousand_markers_equal_the_plan_and_the_loop(spark, monkeypatch):
     rng = random.Random(13)
     words = ["".join(rng.choice("abcdefghilnorst") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
