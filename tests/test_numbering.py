@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioline.operators.numbering import number_rows, running_total
+from folioline import session
+from folioline.operators import grouping
+from folioline.operators.numbering import key_sizes, number_rows, running_total
 
 
 @pytest.mark.parametrize("hot_rows", [0, 200, 10**6])
@@ -36,3 +38,22 @@ def test_running_total_with_weights(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 5, 3), ("a", 9, 1)], "k string, v int, w int")
     got = running_total(df, ["k"], "v", "w", F.floor(F.col("v") / 4)).orderBy("v").collect()
     assert [(r.before, r.total) for r in got] == [(0, 6), (2, 6), (5, 6)]
+
+
+def test_tasks_grow_with_the_rows_and_not_each_task(spark, monkeypatch):
+    """A table of many rows is dealt to more tasks than there are shuffle partitions, keys whole."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    df = spark.range(20000).select(F.floor(F.col("id") / 4).cast("string").alias("document"), F.col("id").alias("page"))
+    numbered = number_rows(df, ["document"], ["page"], F.lit(0), "no")
+    assert numbered.rdd.getNumPartitions() == 40
+    assert numbered.groupBy("no").count().collect() and numbered.agg(F.max("no")).first()[0] == 4
+    grouped = grouping.group_pages(df.select("*", F.lit("v").alias("value"), F.lit(7).alias("more")), keep=("more",))
+    assert grouped.rdd.getNumPartitions() == 40
+    assert grouped.filter("document_index = 1 AND more = 7").count() == 20000
+
+
+def test_sizes_hold_few_sums_and_find_hot_keys(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    sizes = key_sizes(df, ["k"], 1500)
+    assert sizes.rows == 3000 and [r.k for r in sizes.hot.collect()] == ["hot"]
+    assert key_sizes(df, ["k"], 2000).hot is None and key_sizes(df.limit(0), ["k"], 0).rows == 0
