@@ -3,13 +3,15 @@ from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioline.operators.cost import price_calls
 from folioline.operators.grouping import group_pages
 from folioline.session import shared_dir
 from folioline.sources.tables import SMALL_MODEL, model_pricing
-from folioline.streaming import runs
+from folioline.streaming import runs, stateful
 
 
 def test_each_file_is_taken_once(spark, tmp_path):
@@ -137,3 +139,41 @@ def test_costs_refresh(spark, tmp_path):
     second = run(50)
     assert second[SMALL_MODEL].input_tokens == 150 and second["other"].calls == 2
     assert second[SMALL_MODEL].input_cost == 150 * 0.15 / 1e6
+
+
+def test_a_waiting_document_costs_one_read_and_one_write_a_batch(monkeypatch):
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value, self.map = None, {}
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {
+                "get": lambda: self.value, "exists": lambda: self.value is not None,
+                "update": lambda v: setattr(self, "value", v), "containsKey": lambda k: k in self.map,
+                "updateValue": self.map.__setitem__, "values": lambda: list(self.map.values()),
+                "clear": lambda: (setattr(self, "value", None), self.map.clear()),
+            }[name]
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            return State()
+
+    monkeypatch.setattr(stateful, "FEW_PAGES", 3, raising=False)
+    schema = T.StructType.fromDDL("document string, page int, page_count int")
+    for wanted, most in ((3, 2), (5, 40)):
+        waiting = stateful._Waiting(schema, "page", "page_count", None)
+        waiting.init(Handle())
+        made = []
+        for page in (1, 2, 2, 3, 4, 5)[: wanted + 1]:
+            assert made == []
+            calls.clear()
+            made = [tuple(r) for r in waiting.handleInputRows(("d",), iter([Row(document="d", page=page, page_count=wanted)]), None)]
+            assert len(calls) <= most
+        assert sorted(made) == [("d", p, wanted, False) for p in range(1, wanted + 1)]
+        assert waiting.tally.value is None and not waiting.pages.map
