@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioline.session import written
+from folioline.session import discard, written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(links: DataFrame, left: str, right: str, max_rounds: int = 60) ->
     edges = written(edges.where("u != v").distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        edges = written(_small_star(_large_star(edges)), "links")
+        last, edges = edges, written(_small_star(_large_star(edges)), "links")
+        discard(last)
         now = _state(edges)
         if now == before:
             break

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from folioline.llm.components import components
 from folioline.llm.hashing import U64, mixed, pieces, shingles, words
-from folioline.session import ship_package, written
+from folioline.session import discard, ship_package, written
 
 #: Ratio of a band's upper to its lower size.
 BAND_RATIO = 1.5
@@ -528,7 +528,7 @@ def _groups(named: DataFrame, sets: DataFrame, width: int, percent: int) -> Data
         sets.select("doc_id", F.posexplode(F.array("w0", "w1", "w2")).alias("next", "need"), "band").where("need > 0")
         .groupBy("doc_id", ((F.col("band") + F.col("next")) % 4).alias("code")).agg(F.min("need").alias("need"))
     )
-    return (
+    kept = (
         every.join(sizes.hint("merge"), "signature")
         .withColumn("code", F.col("signature").bitwiseAND(F.lit(3)))
         .join(needs.hint("merge"), ["doc_id", "code"])
@@ -540,6 +540,9 @@ def _groups(named: DataFrame, sets: DataFrame, width: int, percent: int) -> Data
         .where("place <= shared - need + 1")
         .select("signature", "doc_id")
     )
+    kept = written(kept, "candidates")
+    discard(every)
+    return kept
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
@@ -554,7 +557,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     all_sets = written(docs.mapInArrow(_set_rows(width, percent), ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
     sets = all_sets.where("doc_id IS NOT NULL")
 
-    groups = written(_groups(named, sets, width, percent), "candidates")
+    groups = _groups(named, sets, width, percent)
     segments = written(_segments(named, groups.select("doc_id").distinct(), width), "segments")
     # A group's smallest document is its centre. Of its centres a document first tries the one
     # with which it shares most segments: the others count only if this leaves them apart.
@@ -573,6 +576,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     )
     classes = written(components(links, "a", "b"), "classes")
     classes = _rest(groups, sets, segments, pairs, links, classes, percent)
+    # The classes are written: only they and the sets are read from here on.
+    discard(groups, segments, pairs, links)
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles"))
         .join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -600,6 +605,7 @@ def _rest(groups, sets, segments, tried, links, classes, percent: int) -> DataFr
         .where("low != high")
         .select("signature", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
+    gone = [placed]
     parities = segments.where("part = -1").select("doc_id", F.col("grams").alias("parity"))
     apart = written(
         placed.join(mixed_groups.hint("merge"), "signature").join(parities.distinct().hint("merge"), "doc_id")
@@ -622,14 +628,17 @@ def _rest(groups, sets, segments, tried, links, classes, percent: int) -> DataFr
         rest = found.where("more IS NULL").select("a", "b")
         rest = rest.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         rest = written(_bounded(rest, sets, percent), "rest")
+        gone += [found, rest, apart]
         if not rest.isEmpty():
             tried = tried.unionByName(rest)
             links = written(links.unionByName(_linked(rest, segments, percent)), "links")
+            gone.append(links)
             classes = written(components(links, "a", "b"), "classes")
         open_runs = found.where("more IS NOT NULL").select(F.col("more").alias("signature")).distinct()
         if open_runs.isEmpty():
             break
         apart = written(apart.join(open_runs.hint("merge"), "signature", "left_semi"), "apart")
+    discard(*gone, apart)
     return classes
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioline.llm.hashing import U64, Words, mixed, pieces, running_hash, stretch_hash, words
-from folioline.session import ship_package, written
+from folioline.session import discard, ship_package, written
 
 #: Words of an anchor; at most the window.
 ANCHOR = 12
@@ -254,7 +254,9 @@ def removal_spans(named: DataFrame, width: int = 35) -> DataFrame:
         .unionByName(windows.where("h1 IS NULL").select("doc_id", "span"))
         .unionByName(across)
     )
-    return repeated.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    spans = written(repeated.groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(rows, judged, windows)
+    return spans
 
 
 def cut_repeats(docs: DataFrame, width: int = 35, keep_layout: bool = False) -> DataFrame:
