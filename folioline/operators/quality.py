@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folioline.functions.once import add_once
 from folioline.functions.rounding import mean_of_tenths, round_binary
-from folioline.functions.text import number_text, visible_chars
+from folioline.functions.text import count_visible, number_text, visible_chars
+from folioline.session import ship_package
 
 PAGE = ["document", "page"]
 
@@ -88,42 +94,45 @@ def page_quality_of_arrays(
 ) -> DataFrame:
     """``page_quality`` where each page's row holds its words and confidences as arrays.
 
-    The sums are made within the row: nothing is exploded or shuffled.
+    The sums are made by Arrow batches of pages: nothing is exploded or shuffled.
     """
-    pairs = F.arrays_zip(F.col(text).alias("text"), F.col(conf).alias("conf"))
-    sized = F.transform(
-        pairs,
-        lambda w: F.struct(
-            visible_chars(F.coalesce(w.text, F.lit(""))).alias("chars"),
-            number_text(w.conf.cast("string")).try_cast("double").alias("number"),
-        ),
-    )
-    countable = F.transform(
-        F.filter(sized, lambda w: (w.chars > 0) & (w.number >= 0)),
-        lambda w: F.struct(
-            w.chars.cast("bigint").alias("chars"),
-            F.when(F.isnan(w.number), F.lit(-1.0)).otherwise(F.least(w.number, F.lit(100.0))).alias("confidence"),
-        ),
+    ship_package(pages.sparkSession)
+    kept = [c for c in pages.columns if c not in (text, conf)]
+    numbers = F.transform(F.col(conf), lambda c: number_text(c.cast("string")).try_cast("double"))
+    found = pages.select(*kept, _array_sums(F.col(text).cast("array<string>"), numbers).alias("_found"))
+    zero = F.lit(0).cast("bigint")
+    sums = [F.nullif(f"_sums.{n}", zero).alias(n) for n in _COUNTS]
+    return _scored(
+        add_once(found, _sums=F.col("_found")).select(*kept, *sums, F.col("_sums.weighted").alias("weighted")),
+        kept, clear_above, blurry_from,
     )
 
-    def add(sums: Column, word: Column) -> Column:
-        chars = F.when(word.confidence >= READABLE_CONFIDENCE, word.chars).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(
-            (sums.words + 1).alias("words"),
-            (sums.all_chars + word.chars).alias("all_chars"),
-            (sums.readable_words + F.when(chars > 0, 1).otherwise(0)).alias("readable_words"),
-            (sums.readable_chars + chars).alias("readable_chars"),
-            (sums.weighted + word.confidence * chars).alias("weighted"),
-        )
 
-    zero = F.lit(0).cast("bigint")
-    names = ["words", "all_chars", "readable_words", "readable_chars"]
-    start = F.struct(*[zero.alias(n) for n in names], F.lit(0.0).alias("weighted"))
-    kept = [c for c in pages.columns if c not in (text, conf)]
-    summed = pages.select(*kept, F.aggregate(countable, start, add).alias("_sums"))
-    sums = [F.nullif(f"_sums.{n}", zero).alias(n) for n in names]
-    return _scored(
-        summed.select(*kept, *sums, F.col("_sums.weighted").alias("weighted")), kept, clear_above, blurry_from
+_COUNTS = ["words", "all_chars", "readable_words", "readable_chars"]
+
+
+@F.arrow_udf(T.StructType([*[T.StructField(n, T.LongType()) for n in _COUNTS], T.StructField("weighted", T.DoubleType())]))
+def _array_sums(text: pa.Array, number: pa.Array) -> pa.Array:
+    """The sums of each page over its words with visible characters and a number from 0 or NaN."""
+    # Words and numbers meet by place; what only one of the lists has does not count.
+    sizes = [pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (text, number)]
+    size = np.minimum(*sizes)
+    row = np.repeat(np.arange(size.size), size)
+    place = np.arange(row.size) - np.repeat(np.cumsum(size) - size, size)
+    words, numbers = (place + np.repeat(np.cumsum(n) - n, size) for n in sizes)
+    chars = count_visible(text.flatten())[words]
+    value = number.flatten().fill_null(-1.0).to_numpy(zero_copy_only=False)[numbers]
+    counts = (chars > 0) & ((value >= 0) | np.isnan(value))
+    row, chars, value = row[counts], chars[counts], value[counts]
+    confidence = np.where(np.isnan(value), -1.0, np.minimum(value, 100.0))
+    readable = confidence >= READABLE_CONFIDENCE
+    # In the order of the words, so that sums of fractions are always the same.
+    sums = [
+        np.bincount(row, weights=weights, minlength=size.size)
+        for weights in (np.ones(row.size), chars, readable, np.where(readable, chars, 0), np.where(readable, confidence * chars, 0.0))
+    ]
+    return pa.StructArray.from_arrays(
+        [*[pa.array(x.astype(np.int64)) for x in sums[:4]], pa.array(sums[4])], names=[*_COUNTS, "weighted"]
     )
 
 

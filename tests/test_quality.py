@@ -1,8 +1,10 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from folioline.functions.text import count_visible, visible_chars
 from folioline.operators import quality, routing
 from folioline.sources.files import ocr_words
 from folioline.sources.tables import TIER_MODELS, tier_models
@@ -101,3 +103,30 @@ def test_arrays_give_the_same_as_long_words(spark):
     assert wide.columns == long.columns
     assert wide.orderBy("page").collect() == long.orderBy("page").collect()
     assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+
+
+def test_visible_characters_of_batches(spark):
+    """Batches count as the column function does, over every kind of white space and sliced arrays."""
+    texts = [None, "", "a b", "é ü\u0085", " x　語 ", "  \U0001f600\x1f\t", "“q”…", "、¡‐", " "] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [r.n or 0 for r in df.select("i", visible_chars(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert count_visible(pa.array(texts)).tolist() == want
+    assert count_visible(pa.array(texts).slice(4, 9)).tolist() == want[4:13]
+    assert count_visible(pa.array([], pa.string())).tolist() == [] and count_visible(pa.array([None], pa.string())).tolist() == [0]
+
+
+def test_arrays_of_unequal_lengths_and_nulls(spark):
+    data = [
+        (1, ["ab", "c", None, "word"], ["90", "n/a", "80", "29.9"]), (2, None, ["1"]), (3, ["x"], None), (4, [], []),
+        (5, ["abc", "d"], ["NaN"]), (6, ["one"], ["1e9", "5"]), (7, ["q", "r"], ["5d", "-3"]), (8, ["a", "b", "c"], ["33.3", "33.3", "33.1"]),
+    ]
+    pages = spark.createDataFrame(data, "page int, text array<string>, conf array<string>")
+    got = {r.page: (r.ocr_word_count, r.ocr_char_count, r.ocr_readable_word_count, r.ocr_mean_confidence) for r in quality.page_quality_of_arrays(pages).collect()}
+    empty = (0.0, 0.0, 0.0, 0.0)
+    assert got == {1: (2.0, 6.0, 1.0, 90.0), 2: empty, 3: empty, 4: empty, 5: (1.0, 3.0, 0.0, 0.0), 6: (1.0, 3.0, 1.0, 100.0), 7: empty, 8: (3.0, 3.0, 3.0, 33.2)}
+
+
+def test_sums_of_arrays_leave_the_interpreter(spark):
+    pages = spark.createDataFrame([(1, ["a"], ["90"])], "page int, text array<string>, conf array<string>")
+    plan = quality.page_quality_of_arrays(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_array_sums(") == 1 and "aggregate(" not in plan
