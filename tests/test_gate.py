@@ -102,3 +102,20 @@ def test_gate_needs_no_shuffle(spark):
     df = spark.createDataFrame([("d", 1, "t")], "document string, page int, text string")
     plan = gate.gate_pages(df, ["a b", "c"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_windows_of_joined_texts_end_with_their_text(spark, monkeypatch):
+    """Texts of a batch are compared in one string: no window passes from one to the next, in pieces or not."""
+    texts = ["the packlng", "list of all", "packlng list", "x", "packing\nlisk é", "a 語 packlng 1ist", "pakking list"]
+    want = [by_hand(t, ["packing list", "é packing"]) for t in texts]
+    assert decide(spark, texts, ["packing list", "é packing"]) == want
+    norms = [normalize_text(t) for t in texts]
+    for prune in (True, False):
+        near = gate._nearest(norms, ["packing list"], 0.85, prune)
+        assert [top for top, _ in near] == [None, None, 0, None, 0, 0, 0]
+
+
+def test_windows_leave_the_interpreter(spark):
+    df = spark.createDataFrame([("d", 1, "packlng list")], "document string, page int, text string")
+    plan = gate.gate_pages(df, ["packing list"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "filter(" not in plan
