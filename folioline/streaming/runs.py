@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioline.operators.cost import COSTS, TOKENS
 from folioline.session import written
+from folioline.streaming import kept
 from folioline.streaming.stateful import change_sums, cost_changes, keyed_state, whole_documents
 
 _MONEY = "decimal(38,12)"
@@ -51,8 +52,10 @@ def process_documents(
 ) -> None:
     """``process_new`` for operators that need all pages of a document.
 
-    Documents wait in keyed state until they have as many pages as ``wanted`` says; with a time
-    ``arrived``, what has come after ``give_up`` goes to ``{out}/given_up``, unprocessed.
+    Documents wait until they have as many pages as ``wanted`` says; with a time ``arrived``, what has
+    come after ``give_up`` goes to ``{out}/given_up``, unprocessed. Without a time pages wait in tables
+    beside the checkpoint's own (``kept``), with one in keyed state, which needs a call for each document.
+    A checkpoint that has keyed state goes on with it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -60,6 +63,17 @@ def process_documents(
         operator(whole.where("NOT gave_up").drop("gave_up")).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
         whole.where("gave_up").drop("gave_up").write.mode("overwrite").parquet(f"{out}/given_up/batch={batch_id}")
 
+    waiting = kept.WaitingPages(f"{checkpoint}/kept", rows.schema, page, wanted)
+
+    def write_whole(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        operator(waiting.take(batch, batch_id)).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
+        batch.limit(0).write.mode("overwrite").parquet(f"{out}/given_up/batch={batch_id}")
+        waiting.forget_whole(spark, batch_id)
+
+    if arrived is None and not kept.there_is(rows.sparkSession, f"{checkpoint}/state"):
+        _run(rows, write_whole, checkpoint)
+        return
     with keyed_state(rows.sparkSession):
         _run(whole_documents(rows, page, wanted, arrived, give_up), write, checkpoint)
 
