@@ -1,4 +1,4 @@
-"""What a stream keeps between its batches, as tables: pages that wait.
+"""What a stream keeps between its batches, as tables: pages that wait, latest costs of records.
 
 Each batch stores what it adds as a run, and reads the runs of the batches before; steps are those of
 plain tables, without a call for each key. Sixteen runs become one, and sixteen of those, so that a
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,3 +174,48 @@ class WaitingPages(Kept):
         """The documents that ``take`` gave are no longer needed."""
         system, place = _folder(spark, f"{self.at((number, 1))}/_to=whole")
         system.delete(place, True)
+
+
+class LatestCosts(Kept):
+    """The latest version of each record, with its items."""
+
+    def __init__(self, path: str):
+        super().__init__(path, T.StructType())
+
+    def take(self, batch: DataFrame, number: int, items: Column) -> DataFrame:
+        """Keep the versions of a batch that are above the known ones.
+
+        Gives (items, earlier): of each such record what counts now and what counted before. ``items``
+        makes them of a record's own once its newest version is known.
+        """
+        spark = batch.sparkSession
+        self.tidy(spark, number)
+        rows = batch.select("record", F.col("version").cast("long").alias("version"), "items").where("version IS NOT NULL")
+        count = rows.count()
+        scaled(spark, count)
+        # Of equal versions the first read counts.
+        placed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_place", F.struct("version", -F.col("_id")))
+        newest = placed.groupBy("record").agg(F.max("version").alias("version"), F.max_by("items", "_place").alias("items"))
+        newest = newest.select("record", "version", items.alias("items"))
+        self.schema, kind = newest.schema, newest.schema["items"].dataType
+        before = runs_before(number)
+        if before:
+            known = _of_new_keys(self.read(spark, before), rows, count, "record")
+            both = newest.withColumn("_new", F.lit(True)).unionByName(known.withColumn("_new", F.lit(False)))
+            old, new = (F.when(side, F.col("version")) for side in (~F.col("_new"), F.col("_new")))
+            sides = both.groupBy("record").agg(
+                F.max(new).alias("version"), F.max(old).alias("_known"),
+                F.max_by("items", new).alias("items"), F.max_by("items", old).alias("earlier"),
+            )
+            newest = sides.where("version IS NOT NULL AND (_known IS NULL OR version > _known)").drop("_known")
+        else:
+            newest = newest.withColumn("earlier", F.lit(None).cast(kind))
+        own = (number, 1)
+        self._write(newest, own)
+        self.merge(spark, number, _latest)
+        taken = T.StructType([T.StructField("items", kind), T.StructField("earlier", kind)])
+        return spark.read.schema(taken).parquet(self.at(own))
+
+
+def _latest(rows: DataFrame, _: bool) -> DataFrame:
+    return rows.groupBy("record").agg(F.max("version").alias("version"), F.max_by("items", "version").alias("items"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioline.operators.cost import COSTS, TOKENS
 from folioline.session import written
 from folioline.streaming import kept
-from folioline.streaming.stateful import change_sums, cost_changes, keyed_state, whole_documents
+from folioline.streaming.stateful import change_sums, cost_changes, exact_items, keyed_state, whole_documents
 
 _MONEY = "decimal(38,12)"
 
@@ -112,7 +112,9 @@ def refresh_record_costs(records: DataFrame, out: str, checkpoint: str) -> None:
     """Totals by model over the latest version of each record, brought up to date per batch.
 
     A record that is processed again counts once: its earlier costs are taken back. Each batch adds
-    its changes to the totals of the batch before and keeps them as a folder, a row per model.
+    its changes to the totals of the batch before and keeps them as a folder, a row per model. The
+    latest versions are tables beside the checkpoint's own (``kept``); a checkpoint that has keyed
+    state goes on with it.
     """
     spark = records.sparkSession
 
@@ -125,6 +127,16 @@ def refresh_record_costs(records: DataFrame, out: str, checkpoint: str) -> None:
             )
         totals.where("calls != 0").coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    latest = kept.LatestCosts(f"{checkpoint}/kept")
+
+    def write_latest(batch: DataFrame, batch_id: int) -> None:
+        taken = latest.take(batch, batch_id, exact_items(F.col("items")))
+        sides = [taken.select(F.lit(sign).alias("sign"), F.inline(side)) for sign, side in ((1, "items"), (-1, "earlier"))]
+        write(sides[0].unionByName(sides[1]) if batch_id else sides[0], batch_id)
+
+    if not kept.there_is(spark, f"{checkpoint}/state"):
+        _run(records, write_latest, checkpoint)
+        return
     with keyed_state(spark):
         _run(cost_changes(records), write, checkpoint)
 

@@ -1,8 +1,11 @@
-"""Pages that wait, kept as runs of tables."""
+"""Pages that wait and latest costs, kept as runs of tables."""
 
 import random
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from folioline.operators.grouping import group_pages
 from folioline.session import shared_dir
 from folioline.streaming import kept, runs
@@ -63,3 +66,41 @@ def test_waiting_pages_are_tables_and_a_batch_adds_its_own(spark, tmp_path):
     assert not Path(out, "log", "state").exists()
     assert runs.read_done(spark, f"{out}/pages").count() == 1500
     assert sizes[3] < 1.5 * sizes[0]
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+def test_latest_costs_of_many_batches(spark, monkeypatch, fan):
+    monkeypatch.setattr(kept, "FAN", fan)
+    monkeypatch.setattr(kept, "FEW_NEW", 2)
+    draw = random.Random(fan)
+    latest = kept.LatestCosts(shared_dir(spark, "test-latest"))
+    known = {}
+    for number in range(7):
+        rows = [
+            (draw.choice([None, *"abcdefghij"]), draw.choice([None, 1, 2, 3, 4]), draw.choice([None, [], [number], [number, i]]))
+            for i in range(2 if number == 5 else 8)
+        ]
+        best, want = {}, []
+        for record, version, items in rows:
+            if version is not None and version > best.get(record, (-1,))[0]:
+                best[record] = (version, items)
+        for record, (version, items) in best.items():
+            if version > known.get(record, (-1, None))[0]:
+                want.append((items, known.get(record, (-1, None))[1]))
+                known[record] = (version, items)
+        for _ in range(2):
+            batch = spark.createDataFrame(rows, "record string, version int, items array<int>").coalesce(1)
+            got = latest.take(batch, number, F.col("items")).collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_record_costs_need_no_keyed_state(spark, tmp_path):
+    item = "model string, input_tokens long, output_tokens long, input_cost double, output_cost double, total_cost double"
+    schema = f"record string, version long, items array<struct<{item}>>"
+    rows = [(f"r{i % 50}", i, [("m", i, 1, 0.1, None, 0.1)]) for i in range(200)]
+    out = shared_dir(spark, "test-no-state")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    runs.refresh_record_costs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), f"{out}/totals", f"{out}/log")
+    (got,) = runs.latest_record_costs(spark, f"{out}/totals").collect()
+    assert tuple(got) == ("m", sum(range(150, 200)), 50, 5.0, 0.0, 5.0, 50)
+    assert not Path(out, "log", "state").exists()
